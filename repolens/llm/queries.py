@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import risk_rules
+from . import bpe, risk_rules
 from .scratch import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), "doc_id")
+
+
 def op10_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = Scratch(spark).table(risk_rules.text_counts(table(spark, sf_dir, "documents"), "doc_id", "lang"), "counts")
     cutoffs = risk_rules.calibrate(counts, table(spark, sf_dir, "labels"), "lang")
@@ -24,7 +29,7 @@ def op10_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op10_risk_rules": op10_risk_rules}
+    return {"op3_bpe": op3_bpe, "op10_risk_rules": op10_risk_rules}
 
 
 def oracle_sql() -> dict[str, str]:
