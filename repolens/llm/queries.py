@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, risk_rules
+from . import bpe, packing, risk_rules
 from .scratch import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), "doc_id")
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = Scratch(spark).table(risk_rules.text_counts(table(spark, sf_dir, "documents"), "doc_id", "lang"), "counts")
     cutoffs = risk_rules.calibrate(counts, table(spark, sf_dir, "labels"), "lang")
@@ -29,7 +33,7 @@ def op10_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op3_bpe": op3_bpe, "op10_risk_rules": op10_risk_rules}
+    return {"op3_bpe": op3_bpe, "op7_packing": op7_packing, "op10_risk_rules": op10_risk_rules}
 
 
 def oracle_sql() -> dict[str, str]:
