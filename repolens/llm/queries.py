@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, risk_rules
+from . import bpe, langid, packing, risk_rules
 from .scratch import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def held_out() -> Column:
+    """A fifth of the documents, by their id alone."""
+    return F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+
+
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs.filter(~held_out()))
+    return langid.predict(docs.withColumn("held_out", held_out()), model, "doc_id", "held_out")
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), "doc_id")
 
@@ -33,7 +44,7 @@ def op10_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op3_bpe": op3_bpe, "op7_packing": op7_packing, "op10_risk_rules": op10_risk_rules}
+    return {"op1_langid": op1_langid, "op3_bpe": op3_bpe, "op7_packing": op7_packing, "op10_risk_rules": op10_risk_rules}
 
 
 def oracle_sql() -> dict[str, str]:
