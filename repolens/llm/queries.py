@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, packing, risk_rules
+from . import bpe, chat, langid, packing, quality_cnn, risk_rules
 from .scratch import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,45 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), "doc_id")
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.sql("select cast(-1 as bigint) conv_id, turn, role, '</s>[INST] ok [/INST]' text from values (cast(0 as bigint), 'user'), (cast(1 as bigint), 'assistant') as t(turn, role)")
+    chats = chat.format_chat(rows.unionByName(own).withColumn("parts", chat.text_parts(F.col("text"))))
+    turns = F.transform(chat.read_turns(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    loss = chat.read_loss(F.col("formatted"), F.col("loss_spans"))
+    return chats.select(
+        "conv_id",
+        F.size(turns).cast("long").alias("n_turns"),
+        F.sha2(F.array_join(turns, ""), 256).alias("turns_sha256"),
+        F.char_length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+OP4_SQL = r"""
+with rows as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, 0, 'user', '</s>[INST] ok [/INST]'
+  union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+marked as (
+  select *, regexp_replace(role, '([<\[])(\\*)(\||/?s>|/?INST\])', '\1\2\\\3', 'g') as r, regexp_replace(text, '([<\[])(\\*)(\||/?s>|/?INST\])', '\1\2\\\3', 'g') as t from rows)
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, t)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn nulls first, role, t) filter (role = 'assistant'), '')) as loss_sha256,
+  cast(sum(length('<|turn|>' || r || '<|say|>' || t || '<|end|>' || chr(10))) as bigint) as formatted_chars
+from marked group by conv_id
+"""
+
+
+def op5_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    model = quality_cnn.fit(docs.filter(~held_out()).join(labels.filter(~held_out()), "doc_id"))
+    return quality_cnn.score(docs.withColumn("held_out", held_out()), model, "doc_id", "held_out").withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -44,8 +83,8 @@ def op10_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_langid": op1_langid, "op3_bpe": op3_bpe, "op7_packing": op7_packing, "op10_risk_rules": op10_risk_rules}
+    return {"op1_langid": op1_langid, "op3_bpe": op3_bpe, "op4_chat": op4_chat, "op5_quality_cnn": op5_quality_cnn, "op7_packing": op7_packing, "op10_risk_rules": op10_risk_rules}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_chat": OP4_SQL}
