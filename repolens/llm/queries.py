@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, packing, quality_cnn, risk_rules
+from . import bpe, chat, jaccard_join, langid, packing, quality_cnn, risk_rules
 from .scratch import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.withColumn("held_out", held_out()), model, "doc_id", "held_out")
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), "doc_id")
 
@@ -83,7 +87,7 @@ def op10_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_langid": op1_langid, "op3_bpe": op3_bpe, "op4_chat": op4_chat, "op5_quality_cnn": op5_quality_cnn, "op7_packing": op7_packing, "op10_risk_rules": op10_risk_rules}
+    return {"op1_langid": op1_langid, "op2_jaccard_join": op2_jaccard_join, "op3_bpe": op3_bpe, "op4_chat": op4_chat, "op5_quality_cnn": op5_quality_cnn, "op7_packing": op7_packing, "op10_risk_rules": op10_risk_rules}
 
 
 def oracle_sql() -> dict[str, str]:
