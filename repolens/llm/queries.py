@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, jaccard_join, langid, packing, quality_cnn, risk_rules
-from .scratch import Scratch
+from . import bpe, chat, jaccard_join, langid, packing, quality_cnn, risk_rules, shards, span_dedup
+from .scratch import Scratch, new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -76,10 +76,31 @@ def op5_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_cnn.score(docs.withColumn("held_out", held_out()), model, "doc_id", "held_out").withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+ARRIVALS = 4
+
+
+def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents arrive in parts by a hash of their id, are compacted, and are read back from the last manifest."""
+    docs = table(spark, sf_dir, "documents")
+    store = shards.Store(spark, new_path(spark, "shards"), shards.Policy(least=2 * shards.MB, target=64 * shards.MB))
+    for i in range(ARRIVALS):
+        store.append(docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS)) == i))
+        store.compact(docs.schema)
+        store.vacuum()
+    version, listed = store.manifest()
+    rows = store.read_with_shard(docs.schema)
+    return rows.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), "shard", F.lit(version).alias("version"), F.lit(len(listed)).alias("n_shards"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranges of each document that repeat an earlier passage; documents without one have no row."""
+    return span_dedup.repeated_ranges(table(spark, sf_dir, "documents"))
+
+
 def op10_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = Scratch(spark).table(risk_rules.text_counts(table(spark, sf_dir, "documents"), "doc_id", "lang"), "counts")
     cutoffs = risk_rules.calibrate(counts, table(spark, sf_dir, "labels"), "lang")
@@ -87,7 +108,7 @@ def op10_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_langid": op1_langid, "op2_jaccard_join": op2_jaccard_join, "op3_bpe": op3_bpe, "op4_chat": op4_chat, "op5_quality_cnn": op5_quality_cnn, "op7_packing": op7_packing, "op10_risk_rules": op10_risk_rules}
+    return {"op1_langid": op1_langid, "op2_jaccard_join": op2_jaccard_join, "op3_bpe": op3_bpe, "op4_chat": op4_chat, "op5_quality_cnn": op5_quality_cnn, "op6_shards": op6_shards, "op7_packing": op7_packing, "op8_span_dedup": op8_span_dedup, "op10_risk_rules": op10_risk_rules}
 
 
 def oracle_sql() -> dict[str, str]:
