@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, jaccard_join, langid, packing, quality_cnn, risk_rules, shards, span_dedup
+from . import bpe, chat, edit_fingerprint, jaccard_join, langid, packing, quality_cnn, risk_rules, shards, span_dedup
 from .scratch import Scratch, new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,6 +101,10 @@ def op8_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_dedup.repeated_ranges(table(spark, sf_dir, "documents"))
 
 
+def op9_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_fingerprint.with_edits(table(spark, sf_dir, "documents"))
+
+
 def op10_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = Scratch(spark).table(risk_rules.text_counts(table(spark, sf_dir, "documents"), "doc_id", "lang"), "counts")
     cutoffs = risk_rules.calibrate(counts, table(spark, sf_dir, "labels"), "lang")
@@ -108,7 +112,7 @@ def op10_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_langid": op1_langid, "op2_jaccard_join": op2_jaccard_join, "op3_bpe": op3_bpe, "op4_chat": op4_chat, "op5_quality_cnn": op5_quality_cnn, "op6_shards": op6_shards, "op7_packing": op7_packing, "op8_span_dedup": op8_span_dedup, "op10_risk_rules": op10_risk_rules}
+    return {"op1_langid": op1_langid, "op2_jaccard_join": op2_jaccard_join, "op3_bpe": op3_bpe, "op4_chat": op4_chat, "op5_quality_cnn": op5_quality_cnn, "op6_shards": op6_shards, "op7_packing": op7_packing, "op8_span_dedup": op8_span_dedup, "op9_edit_fingerprint": op9_edit_fingerprint, "op10_risk_rules": op10_risk_rules}
 
 
 def oracle_sql() -> dict[str, str]:
