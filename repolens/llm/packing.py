@@ -20,10 +20,9 @@ columns are ignored; an empty table gives an empty result. Long texts are cut, n
 
 from __future__ import annotations
 
-import re
+import json
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
+from .bpe import byte_letters
 from .scratch import Scratch
 from .textnum import slices
 
 WINDOW, OPEN, FAN_IN, END = 2048, 64, 256, 1
-CACHE_CHUNKS = 400_000
 #: Sequences of one task or merging group are numbered from a multiple of this.
 SPAN = 1 << 36
 #: Levels of merging are numbered apart from the tasks.
@@ -44,39 +43,32 @@ LEVEL = 1 << 20
 PIECE = [StructField(c, LongType()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]
 SCHEMA = StructType([*PIECE, StructField("part", LongType()), StructField("ids", BinaryType())])
 
-#: Where splitting before each space and around each line feed could cut inside a pre-token.
-_RUNS = re.compile(r"\s{2}(?:\s|\Z)|\0")
+#: Fixed value: how byte-level vocabularies split a text before their merges.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 class ByteEncoder:
-    """Ids of texts by the tokenizers library, with a table of recent chunks.
+    """Ids of a byte-level vocabulary, as the tokenizers library gives them.
 
-    A chunk is a word with the space before it. The file's pre-tokenizer always cuts
-    there, unless three or more white-space characters follow each other; texts with
-    such runs, or with special strings, are encoded as they are.
+    In these files a token's id is its merge's rank, and so the vocabulary alone tells the
+    merges; other files are refused. Special strings in a text become their ids.
     """
 
     def __init__(self, spec: str):
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        self.tokenizer = Tokenizer.from_str(spec)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.table: dict[str, bytes] = {}
+        spec = json.loads(spec)
+        letters = {c: b for b, c in byte_letters().items()}
+        vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
+        pairs = [m if isinstance(m, (list, tuple)) else m.split(" ") for m in merges]
+        if any(vocab[a + b] != 256 + i for i, (a, b) in enumerate(pairs)):
+            raise ValueError("ids are not the ranks of merges")
+        ranks = {bytes(letters[c] for c in s): i for s, i in vocab.items()}
+        self.encoding = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={t["content"]: t["id"] for t in spec["added_tokens"]})
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        plain = [not _RUNS.search(t) and not any(s in t for s in self.special) for t in texts]
-        split = [t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") for t, p in zip(texts, plain, strict=True) if p]
-        if len(self.table) > CACHE_CHUNKS:
-            self.table.clear()
-        table = self.table
-        if new := list(set(chain.from_iterable(split)).difference(table)):
-            table.update(zip(new, self._encode(new), strict=True))
-        whole = iter(self._encode([t for t, p in zip(texts, plain, strict=True) if not p]))
-        chunks = iter(split)
-        return [b"".join([table[c] for c in next(chunks)]) if p else next(whole) for p in plain]
+    def encode(self, text: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
+        return self.encoding.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
 
 
 class Packer:
@@ -162,8 +154,8 @@ def pack(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
         for whole in batches:
             for b in slices(whole, "__text"):
                 texts = [t or "" for t in b.column(1).to_pylist()]
-                for doc, ids in zip(b.column(0).to_pylist(), encoder.encode_batch(texts), strict=True):
-                    packer.add(doc, ids + mark)
+                for doc, text_ in zip(b.column(0).to_pylist(), texts, strict=True):
+                    packer.add(doc, encoder.encode(text_) + mark)
                 if packer.rows:
                     yield packer.batch(part)
         if packer.open:

@@ -54,14 +54,14 @@ def test_pieces_are_whole_and_full(spark):
         assert check(rows, texts, 128) < 128  # only the last sequence
 
 
-def test_chunks_equal_the_library():
+def test_ids_equal_the_library():
     rng = random.Random(11)
     lib = Tokenizer.from_file(PATH)
     enc = packing.ByteEncoder(open(PATH, encoding="utf-8").read())
-    texts = ["".join(rng.choices(" \n\t ab'sé1.", k=rng.randint(0, 12))) for _ in range(3000)]
-    got = enc.encode_batch(texts)
-    for t, g in zip(texts, got):
-        assert np.frombuffer(g, "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids, repr(t)
+    texts = ["".join(rng.choices([*" \n\t ab'sé1.日", "<|endoftext|>", "\u00a0", "\x1c"], k=rng.randint(0, 12))) for _ in range(3000)]
+    texts += ['a' * 30_000, ' ' * 30_000, '\n ' * 9_000, '^' * 30_000]
+    for t in texts:
+        assert np.frombuffer(enc.encode(t), "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids, repr(t)
 
 
 def test_query_and_empty(spark):
