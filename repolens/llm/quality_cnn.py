@@ -92,14 +92,18 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
-def _sample(labelled: DataFrame, training: Training, text: str, doc_id: str, label: str) -> tuple[list, dict[int, int]]:
-    """(label, chunk bytes) rows on the driver, of bounded number and size; and how many rows each label has."""
-    rows = labelled.filter(F.col(label).isin(0, 1)).select(F.col(label).cast("int").alias("y"), F.col(text).alias("__text"), F.xxhash64(F.col(doc_id).cast("string"), F.lit("quality")).alias("h"))
-    counts = {r["y"]: r["n"] for r in labelled.filter(F.col(label).isin(0, 1)).groupBy(F.col(label).cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
+def _sample(docs: DataFrame, labels: DataFrame, training: Training, text: str, doc_id: str, label: str) -> tuple[list, dict[int, int]]:
+    """(label, chunk bytes) rows on the driver, of bounded number and size; and how many labels there are of each kind.
+
+    The labels are sampled before the join, so their side is small whatever the input, and no text is shuffled.
+    """
+    known = labels.filter(F.col(label).isin(0, 1)).select(F.col(doc_id).alias("__id"), F.col(label).cast("int").alias("y"), F.xxhash64(F.col(doc_id).cast("string"), F.lit("quality")).alias("h"))
+    counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     share = F.lit(0.0)
     for y, n in sorted(counts.items()):
         share = F.when(F.col("y") == y, F.lit(min(1.0, training.per_label / n))).otherwise(share)
-    taken = rows.filter(F.pmod("h", F.lit(1 << 30)) < share * float(1 << 30)).select("h", "y", "__text")
+    few = known.filter(F.pmod("h", F.lit(1 << 30)) < share * float(1 << 30))
+    taken = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(few), "__id").select("h", "y", "__text")
     schema = StructType([StructField("h", taken.schema["h"].dataType), StructField("y", IntegerType()), StructField("chunks", BinaryType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,9 +122,9 @@ def _sample(labelled: DataFrame, training: Training, text: str, doc_id: str, lab
     return list(zip(got["y"].to_pylist(), got["chunks"].to_pylist(), strict=True)), counts
 
 
-def fit(labelled: DataFrame, training: Training = Training(), text: str = "text", doc_id: str = "doc_id", label: str = "quality") -> Model:
-    """Fit on a bounded sample of ``labelled``, rows with a text and a label of 0 or 1; deterministic."""
-    rows, counts = _sample(labelled, training, text, doc_id, label)
+def fit(docs: DataFrame, labels: DataFrame, training: Training = Training(), text: str = "text", doc_id: str = "doc_id", label: str = "quality") -> Model:
+    """Fit on a bounded sample of the documents that have a label of 0 or 1; deterministic."""
+    rows, counts = _sample(docs, labels, training, text, doc_id, label)
     rng = np.random.default_rng(training.seed)
     tables = rng.normal(0, 0.1, (WIDTH, 256, training.filters)).astype(np.float32)
     share = (counts.get(1, 0) + 0.5) / (sum(counts.values()) + 1)

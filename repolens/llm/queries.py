@@ -72,7 +72,7 @@ from marked group by conv_id
 def op5_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    model = quality_cnn.fit(docs.filter(~held_out()).join(labels.filter(~held_out()), "doc_id"))
+    model = quality_cnn.fit(docs, labels.filter(~held_out()))
     return quality_cnn.score(docs.withColumn("held_out", held_out()), model, "doc_id", "held_out").withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 

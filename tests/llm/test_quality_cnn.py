@@ -46,13 +46,13 @@ def test_held_out_auc(spark):
 
 def test_rows_and_whole_texts(spark):
     train = spark.createDataFrame([(i, "good words here and there " * 4, 1) for i in range(40)] + [(100 + i, "bad$$$ bad### " * 6, 0) for i in range(40)] + [(900, None, 1), (901, "x", None)], "doc_id long, text string, quality int")
-    model = Q.fit(train)
+    model = Q.fit(train.drop("quality"), train)
     texts = [None, "", "good words here and there " * 4, "bad$$$ bad### " * 6, "good words here and there " * 4 + "bad$$$ bad### " * 6, "g", "good words here " * 9000]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'x' as score").repartition(2)
     got = {r.doc_id: r.score for r in Q.score(docs, model, "doc_id").collect()}
     assert got[0] == got[1] and got[2] > 0.7 and got[3] < 0.3
     assert got[4] < got[2]
     assert Q.score(docs.limit(0), model, "doc_id").count() == 0
-    one = Q.fit(train.filter("quality = 1"))
+    one = Q.fit(train, train.filter("quality = 1"))
     assert len({r.score for r in Q.score(docs.filter("doc_id < 2"), one, "doc_id").collect()}) == 1
     assert len(model.scores(pa.array([], pa.string()))) == 0
