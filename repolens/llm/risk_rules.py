@@ -6,7 +6,8 @@ A cutoff may be used only if an exact binomial (Clopper-Pearson) upper bound on
 false rejection rate, among documents labelled good, is at most ``alpha``. The bounds
 hold at the same time for all rules and cutoffs that are tried in all strata: the
 error ``delta`` is divided by their number (Bonferroni). Of the cutoffs that pass, the
-strictest is taken; a stratum or rule with too few labels gets none, and rejects none.
+strictest is taken; a stratum or rule with too few labels gets none, and rejects none. Nor
+does a rule that rejects hardly any of the documents labelled bad: it could only do harm.
 
 Rows: nulls in text count as no words; a null or unseen stratum uses cutoffs that hold
 for all strata together (stratum ``*``), which count among the tests. Repeated rows and
@@ -42,10 +43,11 @@ GRID = {
 
 @dataclass(frozen=True)
 class Policy:
-    """``alpha``: the largest false rejection rate of a rule in a stratum; ``delta``: the chance that any bound fails."""
+    """``alpha``: the largest false rejection rate of a rule in a stratum; ``delta``: the chance that any bound fails; ``power``: the least share of bad documents that a rule must reject to be used."""
 
     alpha: float = 0.01
     delta: float = 0.05
+    power: float = 0.03
 
 
 def upper_bound(k: int, n: int, delta: float) -> float:
@@ -164,22 +166,29 @@ def calibrate(counts: DataFrame, labels: DataFrame, stratum: str | None, policy:
     What reaches the driver is one row for each stratum and no documents. Strata of fewer
     good labels than could ever certify a cutoff are left to ``*``.
     """
-    good = labels.filter(F.col(quality) == 1).select(F.col(doc_id).alias("__id")).distinct()
+    known = labels.filter(F.col(quality).isin(0, 1)).select(F.col(doc_id).alias("__id"), F.col(quality).alias("__good")).distinct()
     stats = counts.filter(~base_failed()).select(F.col(doc_id).alias("__id"), (F.col(stratum) if stratum else F.lit(None)).cast("string").alias("stratum"), *[c.alias(k) for k, c in statistics().items()])
     tried = [(k, cut) for k, cuts in GRID.items() for cut in cuts]
-    failed = [F.count_if(F.col(k) > cut).alias(f"f{i}") for i, (k, cut) in enumerate(tried)]
-    by = stats.join(good, "__id").groupBy("stratum").agg(F.count("*").alias("n"), *failed)
+    good, bad = F.col("__good") == 1, F.col("__good") == 0
+    sums = ["n", "bad"]
+    failed = [F.count_if(good).alias("n"), F.count_if(bad).alias("bad")]
+    for i, (k, cut) in enumerate(tried):
+        failed += [F.count_if(good & (F.col(k) > cut)).alias(f"f{i}"), F.count_if(bad & (F.col(k) > cut)).alias(f"b{i}")]
+        sums += [f"f{i}", f"b{i}"]
+    by = stats.join(known, "__id").groupBy("stratum").agg(*failed)
     least = int(log(policy.delta / len(tried)) / log1p(-policy.alpha))
     rows = by.filter((F.col("n") >= least) & F.col("stratum").isNotNull()).collect()
-    total = by.agg(F.sum("n").alias("n"), *[F.sum(f"f{i}").alias(f"f{i}") for i in range(len(tried))]).first()
+    total = by.agg(*[F.sum(c).alias(c) for c in sums]).first()
     groups = {r["stratum"]: r for r in rows} | ({"*": total} if total["n"] else {})
     share = policy.delta / max(1, len(groups) * len(tried))
     out: dict[str, dict[str, float]] = {}
     for name, r in groups.items():
-        out[name] = {}
+        out[name], done = {}, set()
         for i, (k, cut) in enumerate(tried):
-            if k not in out[name] and upper_bound(r[f"f{i}"], r["n"], share) <= policy.alpha:
-                out[name][k] = cut
+            if k not in done and upper_bound(r[f"f{i}"], r["n"], share) <= policy.alpha:
+                done.add(k)
+                if r[f"b{i}"] >= policy.power * max(r["bad"], 1):
+                    out[name][k] = cut
     return out
 
 
