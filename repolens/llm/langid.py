@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, DoubleType, FloatType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, FloatType, IntegerType, LongType, StringType, StructField, StructType
 
 from .textnum import LOWER, mix, slices, utf8
 
@@ -38,12 +38,12 @@ UNKNOWN = "und"
 class Training:
     """``per_language`` bounds the sample; ``epochs``, ``rate`` and ``decay`` are the optimiser's."""
 
-    per_language: int = 400
-    epochs: int = 120
-    rate: float = 0.05
+    per_language: int = 200
+    epochs: int = 40
+    rate: float = 0.01
     decay: float = 1e-5
     #: Least gap between the two best codewords, as a share of the loss of a coin's toss for each bit.
-    ambiguous: float = 0.02
+    ambiguous: float = 0.08
 
 
 def codewords(n: int, seed: int = 1) -> np.ndarray:
@@ -123,7 +123,7 @@ class Model:
 
 
 def training_sample(labelled: DataFrame, per_language: int, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:
-    """(lang, features, weights) of at most about ``per_language`` documents of each language.
+    """(lang, hash of the id, features, weights) of at most about ``per_language`` documents of each language.
 
     A document is taken if a hash of its id falls below its language's share, so no
     language is gathered in one place, whatever its part of the rows.
@@ -133,14 +133,14 @@ def training_sample(labelled: DataFrame, per_language: int, text: str = "text",
     share = F.lit(0.0)
     for name, n in sorted(counts.items()):
         share = F.when(F.col("lang") == name, F.lit(min(1.0, per_language / n))).otherwise(share)
-    taken = rows.filter(F.pmod("h", F.lit(1 << 30)) < share * float(1 << 30)).select("lang", "text")
-    schema = StructType([StructField("lang", StringType()), StructField("at", ArrayType(IntegerType())), StructField("weight", ArrayType(FloatType()))])
+    taken = rows.filter(F.pmod("h", F.lit(1 << 30)) < share * float(1 << 30)).select("lang", "text", "h")
+    schema = StructType([StructField("lang", StringType()), StructField("h", LongType()), StructField("at", ArrayType(IntegerType())), StructField("weight", ArrayType(FloatType()))])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lang_, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for lang_, t, h in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 at, w = _features(np.frombuffer(t.encode(), np.uint8))
-                yield pa.RecordBatch.from_arrays([pa.array([lang_]), pa.array([at.astype(np.int32)], pa.list_(pa.int32())), pa.array([w], pa.list_(pa.float32()))], schema.names)
+                yield pa.RecordBatch.from_arrays([pa.array([lang_]), pa.array([h]), pa.array([at.astype(np.int32)], pa.list_(pa.int32())), pa.array([w], pa.list_(pa.float32()))], schema.names)
 
     return taken.mapInArrow(count, schema)
 
@@ -152,34 +152,36 @@ def fit(labelled: DataFrame, training: Training = Training(), text: str = "text"
     languages = sorted(set(names))
     if not languages:
         return Model([], np.ones((1, 1), np.int8), np.zeros((DIM, 1), np.float32), np.zeros(1), training.ambiguous)
-    firsts = [x.as_py()[:64] for x in table["at"]]
-    table = table.take(pa.array(sorted(range(len(names)), key=lambda i: (names[i], firsts[i]))))  # whatever the order in which rows came
+    order = sorted(range(len(names)), key=lambda i: (names[i], table["h"][i].as_py()))  # whatever the order in which rows came
+    table = table.take(pa.array(order))
     names = table["lang"].to_pylist()
     code = codewords(len(languages))
-    at = [np.asarray(x, np.int64) for x in table["at"].combine_chunks().to_numpy(zero_copy_only=False)]
-    weight = [np.asarray(x) for x in table["weight"].combine_chunks().to_numpy(zero_copy_only=False)]
-    row = np.concatenate([[0], np.cumsum([len(x) for x in at])])
-    used, cols = np.unique(np.concatenate(at), return_inverse=True)
-    vals = np.concatenate(weight).astype(np.float64)
-    doc = np.repeat(np.arange(len(at)), np.diff(row))
+    lists = table["at"].combine_chunks()
+    row = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+    used, cols = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+    v = table["weight"].combine_chunks().flatten().to_numpy()
+    doc = np.repeat(np.arange(len(names)), np.diff(row))
     which = np.array([languages.index(x) for x in names])
-    target = code[which].astype(np.float64)
-    share = (1 / np.bincount(which))[which] / len(languages)  # each language weighs alike
-    w, bias = np.zeros((len(used), code.shape[1])), np.zeros(code.shape[1])
-    # Weights are stored for shares of n-grams, which are small: gradients are scaled by the root mean square of a feature.
-    scale = 1 / np.sqrt(np.bincount(cols, vals**2, len(used)) / len(at) + 1e-8)
-    v = vals * scale[cols]
+    target = code[which].astype(np.float32)
+    share = (1 / np.bincount(which)[which] / len(languages)).astype(np.float32)[:, None]  # each language weighs alike
+    # Shares of n-grams are small: they are scaled by the root mean square of their feature, and to a length of about one.
+    scale = (1 / np.sqrt(np.bincount(cols, v.astype(np.float64) ** 2, len(used)) / len(names) + 1e-8)).astype(np.float32)
+    scale /= np.sqrt(max(len(v) / len(names), 1), dtype=np.float32)
+    v = v * scale[cols]
+    by_col = np.argsort(cols, kind="stable")
+    col_start, doc_by_col, v_by_col = np.searchsorted(cols[by_col], np.arange(len(used))), doc[by_col], v[by_col, None]
+    w, bias = np.zeros((len(used), code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
     m, s = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, training.epochs + 1):
-        margin = np.stack([np.bincount(doc, v * w[cols, b], len(at)) for b in range(w.shape[1])], 1) + bias
-        g = -target / (1 + np.exp(np.clip(target * margin, -50, 50))) * share[:, None]
-        grad = np.stack([np.bincount(cols, v * g[doc, b], len(used)) for b in range(w.shape[1])], 1) + training.decay * w
+        margin = np.add.reduceat(v[:, None] * w[cols], row[:-1], axis=0) + bias
+        g = -target / (1 + np.exp(np.clip(target * margin, -50, 50))) * share
+        grad = np.add.reduceat(v_by_col * g[doc_by_col], col_start, axis=0) + training.decay * w
         m, s = 0.9 * m + 0.1 * grad, 0.99 * s + 0.01 * grad**2
         w -= training.rate * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-8)
         bias -= training.rate * g.sum(0)
     weights = np.zeros((DIM, code.shape[1]), np.float32)
     weights[used] = w * scale[:, None]
-    return Model(languages, code, weights, bias, training.ambiguous)
+    return Model(languages, code, weights, bias.astype(np.float64), training.ambiguous)
 
 
 def predict(docs: DataFrame, model: Model, *keep: str, text: str = "text") -> DataFrame:
