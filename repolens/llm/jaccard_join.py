@@ -17,7 +17,8 @@ No pairs within a group are emitted. Equal sets are one node. In each group of n
 an equal block, every node is first compared with the group's first node alone; the
 components of these links are contracted. Only nodes of different components are compared
 further: in small groups each with each; the nodes of large groups choose new blocks
-once more, now from all of their blocks and the rarest first, and meet on these. Every
+once more, now from all of their blocks and the rarest first, and meet on these in cells
+of bounded size, which emit only pairs whose sketches may link. Every
 link between different texts is so either found or implied by found ones.
 
 Shingles and sets are known by 64-bit hashes. The pigeonhole argument needs more non-empty
@@ -47,6 +48,8 @@ from .textnum import LOWER_CODE, mix, row_of, shingles, signed, slices, utf8, wo
 WORDS, PERCENT = 5, 80
 #: Groups of equal blocks up to this size are compared each with each, across components.
 SMALL_GROUP = 64
+#: Members of a large group that are compared with as many others at a time.
+CHUNK = 256
 SEEN = 1 << 20
 FILTER_BITS = 1 << 24
 #: Sets below this size have a block for each shingle.
@@ -254,11 +257,82 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -
     return scratch.table(with_both(close, "shingles").mapInArrow(exact, PAIR), "links")
 
 
-def _across(groups: DataFrame) -> DataFrame:
-    """Distinct pairs of nodes of different components and fitting sizes that share a key; ``groups`` is (key, sid, comp)."""
-    left = groups.select("key", F.col("sid").alias("a"), F.col("comp").alias("ca"))
-    right = groups.select("key", F.col("sid").alias("b"), F.col("comp").alias("cb"))
-    return left.join(right, "key").filter("a < b and ca <> cb").select("a", "b").distinct()
+def _cell(percent: int):
+    """Pairs of one cell of a large group whose sketches may link, each in the least of the groups that it shares.
+
+    Sides: bit 1 for the left, bit 2 for the right.
+    """
+
+    def run(key, table):
+        own, keys = key[0].as_py(), [x.values.to_numpy() for x in table["keys"].combine_chunks()]
+        n = table["n"].to_numpy().astype(np.int64)
+        sid, comp, side = (table[c].to_numpy() for c in ("sid", "comp", "side"))
+        raw = [np.frombuffer(x, np.uint8) for x in table["sketch"].to_pylist()]
+        size = np.array([len(x) for x in raw])
+        small = size.min()
+        folded = np.stack([_fold(x, small) for x in raw])
+        whole = {z: np.flatnonzero(size == z) for z in np.unique(size)}
+        right = np.flatnonzero(side & 2)
+        out_a, out_b = [], []
+        for i in np.flatnonzero(side & 1):
+            j = right[(comp[right] != comp[i]) & (sid[right] > sid[i] if side[i] == 3 else True)]
+            most = differences(n[j], n[i], percent)
+            keep = (np.abs(n[j] - n[i]) <= most) & (np.bitwise_count(folded[j] ^ folded[i]).sum(1) <= most)
+            j, most = j[keep], most[keep]
+            if size[i] > small and len(j):  # the full sketches of the larger ones tell more
+                same = np.isin(j, whole[size[i]])
+                bad = [np.bitwise_count(raw[x] ^ raw[i]).sum() > m for x, m in zip(j[same], most[same], strict=True)]
+                j = np.concatenate([j[~same], j[same][~np.array(bad, bool)]])
+            j = j[[np.intersect1d(keys[x], keys[i], assume_unique=True)[0] == own for x in j]] if len(j) else j
+            out_a.append(np.minimum(sid[j], sid[i]))
+            out_b.append(np.maximum(sid[j], sid[i]))
+        return pa.table([pa.array(np.concatenate(x) if x else [], pa.int64()) for x in (out_a, out_b)], names=PAIR.names)
+
+    return run
+
+
+def _across(groups: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs of nodes of different components that share a key; ``groups`` is (key, sid, comp), ``sizes`` (key, size).
+
+    Small groups are joined with themselves. Large ones are cut into chunks, and each pair
+    of chunks is compared by sketches in a cell of bounded size, which emits what may link.
+    """
+    sized = groups.join(sizes, "key")
+    small = sized.filter(F.col("size") <= SMALL_GROUP)
+    left = small.select("key", F.col("sid").alias("a"), F.col("comp").alias("ca"))
+    right = small.select("key", F.col("sid").alias("b"), F.col("comp").alias("cb"))
+    pairs = left.join(right, "key").filter("a < b and ca <> cb").select("a", "b")
+
+    chunk = F.floor((F.row_number().over(Window.partitionBy("key").orderBy("sid")) - 1) / CHUNK)
+    large = sized.filter(F.col("size") > SMALL_GROUP).withColumn("c", chunk)
+    shared = large.groupBy("sid").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    large = large.join(sets.select("sid", "n", "sketch"), "sid").join(shared, "sid")
+    last = F.floor((F.col("size") - 1) / CHUNK)
+    cells = F.transform(F.sequence(F.lit(0).cast("long"), last), lambda k: F.struct(F.least(k, F.col("c")).alias("i"), F.greatest(k, F.col("c")).alias("j")))
+    dealt = large.withColumn("cell", F.explode(cells)).select("key", "cell.*", "sid", "comp", "n", "sketch", "keys", (F.when(F.col("cell.i") == F.col("cell.j"), 3).when(F.col("cell.i") == F.col("c"), 1).otherwise(2)).alias("side"))
+    near = dealt.groupBy("key", "i", "j").applyInArrow(_cell(percent), PAIR)
+    return pairs.unionAll(near).distinct()
+
+
+def _mixed(groups: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, sid, comp) of the groups (key, sid) that hold nodes of several components, and the groups' (key, size)."""
+    placed = groups.join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", F.coalesce("label", "sid").alias("comp"))
+    sizes = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).filter("low < high").select("key", "size")
+    return placed.join(sizes.select("key"), "key"), sizes
+
+
+def _merge(labels: DataFrame | None, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """``labels`` (node, label) with the components that ``links`` (a, b) join; links may name new nodes."""
+    if labels is None:
+        return components(links, scratch)
+    if links.isEmpty():
+        return labels
+    of = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"l{side}"))
+    contracted = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    upper = components(contracted, scratch).select(F.col("node").alias("label"), F.col("label").alias("top"))
+    new = upper.join(labels.select(F.col("node").alias("label")), "label", "left_anti").select(F.col("label").alias("node"), "label")
+    out = labels.unionByName(new).join(upper, "label", "left").select("node", F.coalesce("top", "label").alias("label"))
+    return scratch.table(out, "labels")
 
 
 def _rarest(sets: DataFrame, hot: DataFrame, percent: int) -> DataFrame:
@@ -290,24 +364,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     nodes = shared.select("sid").unionAll(shared.select("first")).distinct()
     own = facts.join(nodes, "sid", "left_semi").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
     sets = scratch.table(_sets(rows, nodes, k).join(own, ["sid", "doc_id"], "left_semi"), "sets")
-    links = _verify(shared.selectExpr("sid as a", "first as b").distinct(), sets, percent, scratch)
-    comps = components(links, scratch)
-
-    members = shared.select("key", "sid").unionAll(shared.select("key", F.col("first").alias("sid")).distinct())
-    members = members.join(comps.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", F.coalesce("label", "sid").alias("comp"))
-    mixed = members.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).filter("low < high").select("key", "size")
-    mixed = scratch.table(members.join(mixed, "key"), "mixed")
-    more = _verify(_across(mixed.filter(F.col("size") <= SMALL_GROUP)), sets, percent, scratch)
-    hot = mixed.filter(F.col("size") > SMALL_GROUP).select("sid", "comp").distinct()
+    labels = _merge(None, _verify(shared.selectExpr("sid as a", "first as b").distinct(), sets, percent, scratch), scratch)
+
+    members = scratch.table(shared.select("key", "sid").unionAll(shared.select("key", F.col("first").alias("sid")).distinct()), "members")
+    mixed, sizes = _mixed(members, labels)
+    labels = _merge(labels, _verify(_across(mixed, sizes.filter(F.col("size") <= SMALL_GROUP), sets, percent), sets, percent, scratch), scratch)
+    mixed, sizes = _mixed(members, labels)
+    hot = scratch.table(mixed.join(sizes.filter(F.col("size") > SMALL_GROUP), "key").select("sid").distinct(), "hot")
     if not hot.isEmpty():
-        again = scratch.table(_rarest(sets, hot, percent).join(hot, "sid"), "again")
-        more = more.unionAll(_verify(_across(again), sets, percent, scratch))
-    named = comps.select("node", "label")
-    label = lambda side: named.select(F.col("node").alias(side), F.col("label").alias(f"l{side}"))
-    contracted = more.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
-    upper = components(contracted, scratch).select(F.col("node").alias("label"), F.col("label").alias("top"))
-    lower = comps.select(F.col("node").alias("sid"), "label").unionAll(upper.select(F.col("label").alias("sid"), "label").join(comps.select(F.col("node").alias("sid")), "sid", "left_anti").select("sid", "label"))
-    final = scratch.table(lower.join(upper, "label", "left").select("sid", F.coalesce("top", "label").alias("label")), "final")
+        again = scratch.table(_rarest(sets, hot, percent), "again")
+        labels = _merge(labels, _verify(_across(*_mixed(again, labels), sets, percent), sets, percent, scratch), scratch)
+        scratch.drop(again)
+    scratch.drop(shared, sets, members, hot)
+    final = labels.select(F.col("node").alias("sid"), "label")
 
     placed = facts.join(final, "sid", "left").select("doc_id", "n_shingles", "sid", F.coalesce("label", "sid").alias("label"))
     least = placed.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))

@@ -70,6 +70,7 @@ def corpus():
 @pytest.mark.parametrize("small", [64, 3])
 def test_equals_all_pairs(spark, monkeypatch, small):
     monkeypatch.setattr(J, "SMALL_GROUP", small)
+    monkeypatch.setattr(J, "CHUNK", 256 if small > 3 else 5)
     rows = corpus()
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as sid").repartition(7)
     assert sorted(map(tuple, J.near_duplicates(df).collect())) == brute(rows)
