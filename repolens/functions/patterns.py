@@ -12,7 +12,6 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 
 def glob_to_regex(glob: str) -> str:
