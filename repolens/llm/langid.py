@@ -84,7 +84,7 @@ def _has_letter(texts: pa.Array) -> np.ndarray:
 
 
 def _features(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Features of one text, and their weights: the root of their share, at length 1."""
+    """Features of one text, and their shares of its n-grams."""
     idx = np.concatenate([f for f, _ in _positions(data, np.array([0, len(data)]))])
     at, n = np.unique(idx, return_counts=True)
     v = n.astype(np.float64)

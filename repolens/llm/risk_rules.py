@@ -25,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .textnum import lines, row_of, shingles, slices, utf8, words
+from .textnum import SPACE, lines, row_of, shingles, slices, utf8, words
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -77,7 +78,8 @@ def _repeat_words(hashes: np.ndarray, row: np.ndarray) -> np.ndarray:
     windows, w_row = shingles(hashes, row, 3)
     keep = np.repeat(n >= 3, np.diff(w_row))
     windows, doc = windows[keep], row_of(w_row)[keep]
-    start = np.repeat(row[:-1], np.maximum(n - 2, 0)) + np.arange(len(windows)) - np.repeat(np.concatenate([[0], np.cumsum(np.maximum(n - 2, 0))])[:-1], np.maximum(n - 2, 0))
+    count = np.maximum(n - 2, 0)
+    start = np.repeat(row[:-1] - (np.cumsum(count) - count), count) + np.arange(len(windows))
     order = np.lexsort((windows, doc))
     same = (windows[order][1:] == windows[order][:-1]) & (doc[order][1:] == doc[order][:-1])
     twice = np.zeros(len(windows), bool)
@@ -109,8 +111,6 @@ def _counts(column: pa.Array) -> dict[str, np.ndarray]:
         total = np.concatenate([[0], np.cumsum(mask)])
         return total[offsets[1:]] - total[offsets[:-1]]
 
-    from .textnum import SPACE
-
     begins = (data & 0xC0) != 0x80
     upper, lower = (data >= 65) & (data <= 90), (data >= 97) & (data <= 122)
     duplicate, n_lines = _duplicate_lines(data, offsets)
@@ -130,8 +130,6 @@ def text_counts(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
     """The columns ``keep`` and the counts of each text. One row for each row of ``docs``."""
     rows = docs.select(*keep, F.col(text).alias("__text"))
     fields = [f for f in rows.schema.fields if f.name != "__text"]
-    from pyspark.sql.types import LongType, StructField, StructType
-
     schema = StructType(fields + [StructField(c, LongType()) for c in COUNTS])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
