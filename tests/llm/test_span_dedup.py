@@ -79,6 +79,34 @@ def test_passage_of_fifty_words_is_caught(spark):
     assert {r.doc_id for r in got} == {1, 2, 3, 4} and {r.first_doc_id for r in got} == {0}
 
 
+def test_long_sentences_equal_windows_of_fifty_words(spark):
+    """Passages without stops or with one, at every offset: of each later window of 50 words that repeats a part goes."""
+    rng = random.Random(12)
+    rows = []
+    for n in range(120):
+        size, stop = rng.choice([(51, 0), (60, 0), (90, 0), (51, 25), (52, 10), (51, 40)])
+        passage = [f"p{n}x{i}" + "." * (i == stop > 0) for i in range(size)]
+        for k in range(2):
+            own = [f"o{n}y{k}z{i}" for i in range(24 + n % 13 * k)]
+            rows.append((2 * n + k, " ".join([*own, *passage, *own])))
+    got = defaultdict(set)
+    for r in S.repeated_ranges(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect():
+        got[r.doc_id] |= set(range(r.start, r.end))
+    seen, repeats = {}, 0
+    for i, text in rows:
+        ws = [(m[0], m.start()) for m in re.finditer("[^ ]+", text)]
+        for j in range(len(ws) - 49):
+            if seen.setdefault(tuple(w for w, _ in ws[j : j + 50]), i) != i:
+                repeats += 1
+                assert any(a in got[i] for _, a in ws[j : j + 50]), (i, j)
+        passage = [a for w, a in ws if w.startswith("p")]
+        whole = set(range(passage[0], text.index(" o", passage[-1]) + 1))
+        assert got[i] <= whole if i % 2 else not got[i]
+        if i % 2 and "." not in text and i // 2 % 13 % 12:  # cut at other places in both
+            assert got[i] == whole
+    assert repeats > 500
+
+
 def test_rows(spark):
     long = " ".join(f"w{i}" for i in range(60))
     df = spark.createDataFrame([(None, long), (1, long), (1, long), (2, None), (3, long.upper())], "doc_id long, text string")
