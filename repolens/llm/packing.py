@@ -21,6 +21,7 @@ columns are ignored; an empty table gives an empty result. Long texts are cut, n
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -46,18 +47,26 @@ SCHEMA = StructType([*PIECE, StructField("part", LongType()), StructField("ids",
 #: Fixed value: how byte-level vocabularies split a text before their merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: Texts with longer runs of white space are encoded by the tokenizers library.
+LONG_SPACE = 100_000
+SPACES = re.compile(rf"\s{{{LONG_SPACE}}}")
+
 
 class ByteEncoder:
     """Ids of a byte-level vocabulary, as the tokenizers library gives them.
 
     In these files a token's id is its merge's rank, and so the vocabulary alone tells the
     merges; other files are refused. Special strings in a text become their ids.
+
+    tiktoken gives the ids. It fails on about a million characters of white space in a row;
+    texts with a long run are left to the tokenizers library itself.
     """
 
     def __init__(self, spec: str):
         import tiktoken
 
-        spec = json.loads(spec)
+        self.text, spec = spec, json.loads(spec)
+        self.library = None
         letters = {c: b for b, c in byte_letters().items()}
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         pairs = [m if isinstance(m, (list, tuple)) else m.split(" ") for m in merges]
@@ -68,6 +77,12 @@ class ByteEncoder:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
+        if len(text) > LONG_SPACE and SPACES.search(text):
+            if self.library is None:
+                from tokenizers import Tokenizer
+
+                self.library = Tokenizer.from_str(self.text)
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return self.encoding.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
 
 

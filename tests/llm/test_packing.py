@@ -64,6 +64,13 @@ def test_ids_equal_the_library():
         assert np.frombuffer(enc.encode(t), "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_long_white_space_equals_the_library():
+    lib = Tokenizer.from_file(PATH)
+    enc = packing.ByteEncoder(open(PATH, encoding="utf-8").read())
+    for t in ("a" + " " * 2_000_000 + "b", "\n" * 2_000_000, " " * 1_200_000):
+        assert np.array_equal(np.frombuffer(enc.encode(t), "<u4"), lib.encode(t, add_special_tokens=False).ids), (t[:2], len(t))
+
+
 def test_query_and_empty(spark):
     from repolens.llm.queries import op7_packing
 
