@@ -363,7 +363,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     shared = scratch.table(shared.filter("sid <> first and sid <> before").select("key", "sid", "first"), "shared")
     nodes = shared.select("sid").unionAll(shared.select("first")).distinct()
     own = facts.join(nodes, "sid", "left_semi").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
-    sets = scratch.table(_sets(rows, nodes, k).join(own, ["sid", "doc_id"], "left_semi"), "sets")
+    sets = scratch.table(_sets(rows, nodes, k).join(own, ["sid", "doc_id"], "left_semi").dropDuplicates(["sid"]), "sets")
     labels = _merge(None, _verify(shared.selectExpr("sid as a", "first as b").distinct(), sets, percent, scratch), scratch)
 
     members = scratch.table(shared.select("key", "sid").unionAll(shared.select("key", F.col("first").alias("sid")).distinct()), "members")

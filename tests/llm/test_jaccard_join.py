@@ -76,6 +76,19 @@ def test_equals_all_pairs(spark, monkeypatch, small):
     assert sorted(map(tuple, J.near_duplicates(df).collect())) == brute(rows)
 
 
+def test_repeated_rows_of_large_groups(spark, monkeypatch):
+    """Rows of equal doc_id and text are one set, and rarest blocks are chosen from it once."""
+    monkeypatch.setattr(J, "SMALL_GROUP", 3)
+    monkeypatch.setattr(J, "CHUNK", 5)
+    held, real = [], J._rarest
+    monkeypatch.setattr(J, "_rarest", lambda sets, hot, percent: held.append(sets.groupBy("sid").count().filter("count > 1").count()) or real(sets, hot, percent))
+    rows = corpus()
+    rows += [r for r in rows if r[0] % 3 == 0] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    assert sorted(map(tuple, J.near_duplicates(df).collect())) == brute(rows)
+    assert held == [0]
+
+
 def test_query(spark):
     for sf in ("sf0.001", "sf0.01"):
         rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").collect()]
