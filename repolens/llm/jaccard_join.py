@@ -1,25 +1,34 @@
 """Near duplicates by an exact Jaccard join over word shingles (operator 2).
 
 Parity sketches. A document's set of shingle hashes is XORed into blocks: a shingle
-toggles a code in one of ``blocks(band)`` blocks, so documents that differ in d shingles
+toggles a code in one of some number of blocks, so documents that differ in d shingles
 differ in at most d blocks. At Jaccard J or more, sets of n1 and n2 shingles differ in at
 most (n1 + n2) (1 - J) / (1 + J) shingles. By the pigeonhole principle, of any d + 1 blocks of
 one document at least one equals the other's. Documents are joined within bands of size,
 a pair in the band of its larger set; a set near the end of its band takes part in the
-next one too. Both sides choose their d + 1 blocks by one order, so that the choices meet:
-blocks of most shingles first, as they are the most telling.
+next one too. Both sides choose their d + 1 blocks by one order, so that the choices meet.
+
+This is done twice. The first pass takes few, large blocks, those of most shingles first, and
+only tells which sets share one with another set; the others are linked with nothing. For
+the sets that are left, the second pass counts every block of a finer partition and each
+set chooses its rarest blocks, by count and key. A passage that many documents share
+gives frequent blocks, which come last and are not chosen as long as a document has
+enough others. A set whose own, unshared blocks are d + 1 or more has no partner.
 
 A second sketch has a bit for each shingle's hash, toggled by it. The Hamming distance of
 two such sketches is a lower bound of the sets' difference, and most candidates that do
 not link fall to it. The others are verified on the full sets.
 
 No pairs within a group are emitted. Equal sets are one node. In each group of nodes with
-an equal block, every node is first compared with the group's first node alone; the
-components of these links are contracted. Only nodes of different components are compared
-further: in small groups each with each; the nodes of large groups choose new blocks
-once more, now from all of their blocks and the rarest first, and meet on these in cells
-of bounded size, which emit only pairs whose sketches may link. Every
-link between different texts is so either found or implied by found ones.
+an equal block, every node is first compared with the group's pivot alone: the node with the
+smallest share of unshared blocks, which in a group of edited copies is the least edited
+one. The components of these links are contracted. Then only nodes outside of the pivot's
+component are compared with nodes of other components in their group, by the sketches
+within the join, and only pairs that may link leave it. This is the same for groups of
+any size. Every link between different texts is so either found or implied by found ones.
+
+Hot blocks: counts, pivots and components of blocks are sums and minima, taken in part
+before the shuffle; rows of a block meet them in joins, which Spark splits where a key is skewed.
 
 Shingles and sets are known by 64-bit hashes. The pigeonhole argument needs more non-empty
 blocks than differences; for small sets each shingle is a block, for others the chance of
@@ -37,19 +46,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from .components import components
 from .scratch import Scratch
 from .textnum import LOWER_CODE, mix, row_of, shingles, signed, slices, utf8, words
 
 WORDS, PERCENT = 5, 80
-#: Groups of equal blocks up to this size are compared each with each, across components.
-SMALL_GROUP = 64
-#: Members of a large group that are compared with as many others at a time.
-CHUNK = 256
 SEEN = 1 << 20
 FILTER_BITS = 1 << 24
 #: Sets below this size have a block for each shingle.
@@ -76,18 +81,21 @@ def band(n: np.ndarray) -> np.ndarray:
     return np.frexp(n.astype(np.float64))[1].astype(np.int64)
 
 
-def blocks(b: np.ndarray) -> np.ndarray:
-    return np.where(b <= 6, 64, (1 << b) // 3)
+def blocks(b: np.ndarray, fine: bool) -> np.ndarray:
+    return np.where(b <= 6, 64, (1 << b) if fine else (1 << b) // 3)
+
 
+def sketches(sets: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bit sketches of the sets, as 64-bit integers and their offsets: of 4 to 8 bits a shingle, a power of two and 128 at least.
 
-def sketches(sets: np.ndarray, row: np.ndarray) -> list[bytes]:
-    """A bit sketch of each set, of 2 to 4 bits a shingle and a power of two in length."""
-    size = np.maximum(1 << (band(np.diff(row)) + 1), 64)
+    The sketch of a set in band b is folded to half its length where it meets sets of band b - 1.
+    """
+    size = 1 << (np.maximum(band(np.diff(row)), 5) + 2)
     start = np.concatenate([[0], np.cumsum(size)])
     r = row_of(row)
     at = start[r] + (mix(sets) & (size[r] - 1).astype(U)).astype(np.int64)
-    bits = np.packbits((np.bincount(at, minlength=start[-1]) & 1).astype(np.uint8))
-    return [bits[a // 8 : b // 8].tobytes() for a, b in zip(start[:-1], start[1:], strict=True)]
+    bits = np.packbits((np.bincount(at, minlength=start[-1]) & 1).astype(np.uint8), bitorder="little")
+    return bits.view(np.int64), start // 64
 
 
 def differences(n: np.ndarray, largest: np.ndarray, percent: int) -> np.ndarray:
@@ -96,9 +104,9 @@ def differences(n: np.ndarray, largest: np.ndarray, percent: int) -> np.ndarray:
 
 
 def block_keys(sets: np.ndarray, row: np.ndarray, percent: int = PERCENT, every: bool = False):
-    """(row, key, band, how many to choose) of the blocks of each set, in each band where it takes part.
+    """(row, key, band, how many to choose) of the blocks of each set, in each band where it takes part; rows of a set and band follow each other.
 
-    Without ``every`` only the chosen blocks: those of most shingles.
+    With ``every`` all blocks of the finer partition; else the chosen blocks of the coarser one: those of most shingles.
     """
     n = np.diff(row)
     out = []
@@ -112,7 +120,7 @@ def block_keys(sets: np.ndarray, row: np.ndarray, percent: int = PERCENT, every:
         r = np.repeat(np.arange(len(here)), size)
         first = np.concatenate([[0], np.cumsum(size)])
         u = sets[np.repeat(row[:-1][here] - first[:-1], size) + np.arange(first[-1])]
-        m = blocks(b[here])[r]
+        m = blocks(b[here], every)[r]
         own = ((1 << b[here]) <= TOKEN_BLOCKS_BELOW)[r]  # by band, so that both sides agree
         place = np.where(own, np.arange(len(u)) - first[r], ((u >> U(20)) % m.astype(U)).astype(np.int64))
         width = max(int(m.max()), int(size.max())) + 1
@@ -137,18 +145,11 @@ def block_keys(sets: np.ndarray, row: np.ndarray, percent: int = PERCENT, every:
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _facts(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles and sid (null without shingles) of every row."""
-    schema = StructType([StructField("doc_id", LongType()), StructField("n_shingles", LongType()), StructField("sid", LongType())])
+BASE = StructType([StructField("doc_id", LongType()), StructField("n_shingles", LongType()), StructField("sid", LongType()), StructField("keys", ArrayType(LongType()))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in slices(whole, "__text"):
-                sets, row = shingle_sets(b.column(1), k)
-                n = np.diff(row)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(signed(set_ids(sets, row)), pa.int64(), mask=n == 0)], schema.names)
 
-    return docs.mapInArrow(run, schema)
+def _lists(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(signed(values)))
 
 
 def _fresh(ids: np.ndarray, n: np.ndarray, seen: set[int]) -> np.ndarray:
@@ -168,24 +169,26 @@ def _take(sets: np.ndarray, row: np.ndarray, keep: np.ndarray) -> tuple[np.ndarr
     return sets[np.repeat(keep, n)], np.concatenate([[0], np.cumsum(n[keep])])
 
 
-def _chosen(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(key, sid) of the chosen blocks of every set."""
-    schema = StructType([StructField("key", LongType()), StructField("sid", LongType())])
+def _base(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """BASE of every row: ``sid`` is null without shingles; ``keys`` are the chosen coarse blocks of a set, empty if this task has given them before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for whole in batches:
             for b in slices(whole, "__text"):
                 sets, row = shingle_sets(b.column(1), k)
-                ids = set_ids(sets, row)
-                keep = _fresh(ids, np.diff(row), seen)
+                ids, n = set_ids(sets, row), np.diff(row)
+                keep = _fresh(ids, np.where(b.column(0).is_valid().to_numpy(zero_copy_only=False), n, 0), seen)
                 r, key, _, _ = block_keys(*_take(sets, row, keep), percent)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(signed(ids[keep][r]))], schema.names)
+                r = np.flatnonzero(keep)[r]
+                order = np.argsort(r, kind="stable")
+                keys = _lists(key[order], np.concatenate([[0], np.cumsum(np.bincount(r, minlength=len(n)))]))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(signed(ids), pa.int64(), mask=n == 0), keys], BASE.names)
 
-    return docs.filter("doc_id is not null").mapInArrow(run, schema)
+    return docs.mapInArrow(run, BASE)
 
 
-SETS = StructType([StructField("doc_id", LongType()), StructField("sid", LongType()), StructField("n", IntegerType()), StructField("sketch", BinaryType()), StructField("shingles", ArrayType(LongType()))])
+SETS = StructType([StructField("doc_id", LongType()), StructField("sid", LongType()), StructField("n", IntegerType()), StructField("sketch", ArrayType(LongType())), StructField("shingles", ArrayType(LongType()))])
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
@@ -209,122 +212,104 @@ def _sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
                 bucket = np.where(p > 0, 1 + (p - 1) // 32768, 0)
                 keep = ((table[bucket, at // 8] >> (at % 8).astype(np.uint8)) & 1).astype(bool) & (np.diff(row) > 0)
                 some, r = _take(sets, row, keep)
-                column = pa.ListArray.from_arrays(pa.array(r, pa.int32()), pa.array(signed(some)))
-                yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep)), pa.array(signed(ids[keep])), pa.array(np.diff(r), pa.int32()), pa.array(sketches(some, r), pa.binary()), column], SETS.names)
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep)), pa.array(signed(ids[keep])), pa.array(np.diff(r), pa.int32()), _lists(*sketches(some, r)), _lists(some, r)], SETS.names)
 
     return docs.filter("doc_id is not null").mapInArrow(run, SETS)
 
 
-def _fold(sketch: np.ndarray, size: int) -> np.ndarray:
-    while len(sketch) > size:
-        sketch = sketch[: len(sketch) // 2] ^ sketch[len(sketch) // 2 :]
-    return sketch
+def _shared(keys: DataFrame) -> DataFrame:
+    """(key, n) of the keys that different sets have; ``n`` counts rows."""
+    return keys.groupBy("key").agg(F.min("sid").alias("low"), F.max("sid").alias("high"), F.count("*").alias("n")).filter("low < high").select("key", "n")
 
 
-PAIR = StructType([StructField("a", LongType()), StructField("b", LongType())])
+BLOCKS = StructType([StructField("sid", LongType()), StructField("band", IntegerType()), StructField("need", IntegerType()), StructField("keys", ArrayType(LongType()))])
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """Those of the distinct pairs (a, b) whose sets link."""
+def _every_block(sets: DataFrame, percent: int) -> DataFrame:
+    """BLOCKS: all fine blocks of each set in each band where it takes part, and how many it must choose."""
 
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            a_id, b_id, n1, n2, s1, s2 = b.columns
-            n1, n2 = n1.to_numpy().astype(np.int64), n2.to_numpy().astype(np.int64)
-            most = differences(n1, n2, percent)
-            keep = np.zeros(len(n1), bool)
-            for i, (x, y) in enumerate(zip(s1.to_pylist(), s2.to_pylist(), strict=True)):
-                if abs(n1[i] - n2[i]) <= most[i]:
-                    size = min(len(x), len(y))
-                    x, y = _fold(np.frombuffer(x, np.uint8), size), _fold(np.frombuffer(y, np.uint8), size)
-                    keep[i] = np.bitwise_count(x ^ y).sum() <= most[i]
-            yield pa.RecordBatch.from_arrays([a_id.filter(pa.array(keep)), b_id.filter(pa.array(keep))], PAIR.names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                row = np.concatenate([[0], np.cumsum(b.column(1).value_lengths().to_numpy())]).astype(np.int64)
+                flat = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(U)
+                r, key, bands, need = block_keys(flat, row, percent, every=True)
+                new = np.flatnonzero(np.append(True, (r[1:] != r[:-1]) | (bands[1:] != bands[:-1]))) if len(r) else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(r[new])), pa.array(bands[new], pa.int32()), pa.array(need[new], pa.int32()), _lists(key, np.append(new, len(r)))], BLOCKS.names)
 
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = x.values.to_numpy(), y.values.to_numpy()
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep, pa.bool_())), b.column(1).filter(pa.array(keep, pa.bool_()))], PAIR.names)
+    return sets.select("sid", "shingles").mapInArrow(run, BLOCKS)
 
-    def with_both(p: DataFrame, *cols: str) -> DataFrame:
-        one = lambda side, n: sets.select(F.col("sid").alias(side), *[F.col(c).alias(f"{c}{n}") for c in cols])
-        return p.join(one("a", 1), "a").join(one("b", 2), "b").select("a", "b", *[f"{c}{n}" for c in cols for n in (1, 2)])
 
-    close = scratch.table(with_both(pairs, "n", "sketch").mapInArrow(near, PAIR), "close")
-    return scratch.table(with_both(close, "shingles").mapInArrow(exact, PAIR), "links")
+def _rarest(every: DataFrame, shared: DataFrame) -> DataFrame:
+    """(key, band, sid, private): the blocks of each set that are among its ``need`` rarest and are shared, and which part of its blocks aren't.
 
+    Unshared blocks are the rarest; they only count, as nothing meets them.
+    """
+    of_set = Window.partitionBy("sid", "band")
+    rows = every.select("sid", "band", "need", F.size("keys").alias("total"), F.explode("keys").alias("key")).join(shared, "key")
+    placed = rows.withColumn("place", F.row_number().over(of_set.orderBy("n", "key"))).withColumn("own", F.col("total") - F.count("*").over(of_set))
+    return placed.filter("place + own <= need").select("key", "band", "sid", (F.col("own") / F.col("total")).alias("private"))
 
-def _cell(percent: int):
-    """Pairs of one cell of a large group whose sketches may link, each in the least of the groups that it shares.
 
-    Sides: bit 1 for the left, bit 2 for the right.
-    """
+def _differ_at_most(n1: Column, n2: Column, percent: int) -> Column:
+    return F.floor((n1 + n2) * (100 - percent) / (100 + percent))
+
+
+def _folded(sketch: Column, width: Column) -> Column:
+    """A sketch at the width of a band, of which it has the length or twice that."""
+    half = F.zip_with(F.slice(sketch, F.lit(1), width), F.slice(sketch, width + 1, width), lambda x, y: x.bitwiseXOR(y))
+    return F.when(F.size(sketch) > width, half).otherwise(sketch)
+
+
+def _hamming(x: Column, y: Column) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda total, n: total + n)
+
 
-    def run(key, table):
-        own, keys = key[0].as_py(), [x.values.to_numpy() for x in table["keys"].combine_chunks()]
-        n = table["n"].to_numpy().astype(np.int64)
-        sid, comp, side = (table[c].to_numpy() for c in ("sid", "comp", "side"))
-        raw = [np.frombuffer(x, np.uint8) for x in table["sketch"].to_pylist()]
-        size = np.array([len(x) for x in raw])
-        small = size.min()
-        folded = np.stack([_fold(x, small) for x in raw])
-        whole = {z: np.flatnonzero(size == z) for z in np.unique(size)}
-        right = np.flatnonzero(side & 2)
-        out_a, out_b = [], []
-        for i in np.flatnonzero(side & 1):
-            j = right[(comp[right] != comp[i]) & (sid[right] > sid[i] if side[i] == 3 else True)]
-            most = differences(n[j], n[i], percent)
-            keep = (np.abs(n[j] - n[i]) <= most) & (np.bitwise_count(folded[j] ^ folded[i]).sum(1) <= most)
-            j, most = j[keep], most[keep]
-            if size[i] > small and len(j):  # the full sketches of the larger ones tell more
-                same = np.isin(j, whole[size[i]])
-                bad = [np.bitwise_count(raw[x] ^ raw[i]).sum() > m for x, m in zip(j[same], most[same], strict=True)]
-                j = np.concatenate([j[~same], j[same][~np.array(bad, bool)]])
-            j = j[[np.intersect1d(keys[x], keys[i], assume_unique=True)[0] == own for x in j]] if len(j) else j
-            out_a.append(np.minimum(sid[j], sid[i]))
-            out_b.append(np.maximum(sid[j], sid[i]))
-        return pa.table([pa.array(np.concatenate(x) if x else [], pa.int64()) for x in (out_a, out_b)], names=PAIR.names)
-
-    return run
-
-
-def _across(groups: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs of nodes of different components that share a key; ``groups`` is (key, sid, comp), ``sizes`` (key, size).
-
-    Small groups are joined with themselves. Large ones are cut into chunks, and each pair
-    of chunks is compared by sketches in a cell of bounded size, which emits what may link.
+def _width() -> Column:
+    """The length of sketches in a ``band``, in 64-bit integers."""
+    return F.expr("shiftleft(1, greatest(band, 6) - 5)")
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the distinct pairs (a, b) whose full sets link."""
+    one = lambda side: sets.select(F.col("sid").alias(side), F.col("shingles").alias(f"s{side}"))
+    both = F.size(F.array_intersect("sa", "sb"))
+    return pairs.join(one("a"), "a").join(one("b"), "b").filter(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+
+
+def _close(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The distinct (a, b) of ``pairs`` (a, b, band) whose sketches may link."""
+    one = lambda side: sets.select(F.col("sid").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}"))
+    most, width = _differ_at_most(F.col("na"), F.col("nb"), percent), _width()
+    rows = pairs.join(one("a"), "a").join(one("b"), "b")
+    return rows.filter((F.abs(F.col("na") - F.col("nb")) <= most) & (_hamming(_folded(F.col("sa"), width), _folded(F.col("sb"), width)) <= most)).select("a", "b").distinct()
+
+
+def _across(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Distinct pairs of nodes of different components that share a key of ``members`` (key, band, sid, pivot) and whose sketches may link.
+
+    One of a pair is not of its pivot's component. Pairs are compared by their sketches within the join.
     """
-    sized = groups.join(sizes, "key")
-    small = sized.filter(F.col("size") <= SMALL_GROUP)
-    left = small.select("key", F.col("sid").alias("a"), F.col("comp").alias("ca"))
-    right = small.select("key", F.col("sid").alias("b"), F.col("comp").alias("cb"))
-    pairs = left.join(right, "key").filter("a < b and ca <> cb").select("a", "b")
-
-    chunk = F.floor((F.row_number().over(Window.partitionBy("key").orderBy("sid")) - 1) / CHUNK)
-    large = sized.filter(F.col("size") > SMALL_GROUP).withColumn("c", chunk)
-    shared = large.groupBy("sid").agg(F.sort_array(F.collect_set("key")).alias("keys"))
-    large = large.join(sets.select("sid", "n", "sketch"), "sid").join(shared, "sid")
-    last = F.floor((F.col("size") - 1) / CHUNK)
-    cells = F.transform(F.sequence(F.lit(0).cast("long"), last), lambda k: F.struct(F.least(k, F.col("c")).alias("i"), F.greatest(k, F.col("c")).alias("j")))
-    dealt = large.withColumn("cell", F.explode(cells)).select("key", "cell.*", "sid", "comp", "n", "sketch", "keys", (F.when(F.col("cell.i") == F.col("cell.j"), 3).when(F.col("cell.i") == F.col("c"), 1).otherwise(2)).alias("side"))
-    near = dealt.groupBy("key", "i", "j").applyInArrow(_cell(percent), PAIR)
-    return pairs.unionAll(near).distinct()
-
-
-def _mixed(groups: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(key, sid, comp) of the groups (key, sid) that hold nodes of several components, and the groups' (key, size)."""
-    placed = groups.join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", F.coalesce("label", "sid").alias("comp"))
-    sizes = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).filter("low < high").select("key", "size")
-    return placed.join(sizes.select("key"), "key"), sizes
-
-
-def _merge(labels: DataFrame | None, links: DataFrame, scratch: Scratch) -> DataFrame:
+    of = lambda node, label: labels.select(F.col("node").alias(node), F.col("label").alias(label))
+    placed = members.join(of("sid", "l1"), "sid", "left").join(of("pivot", "l2"), "pivot", "left").select("key", "band", "sid", F.coalesce("l1", "sid").alias("comp"), F.coalesce("l2", "pivot").alias("home"))
+    placed = scratch.table(placed, "placed")
+    outside = placed.filter("comp <> home")
+    mixed = placed.join(outside.select("key").distinct(), "key", "left_semi").join(sets.select("sid", "n", "sketch"), "sid")
+    mixed = scratch.table(mixed.select("key", "sid", "comp", "home", "n", _folded(F.col("sketch"), _width()).alias("sketch")), "mixed")
+    left = mixed.filter("comp <> home").select("key", F.col("sid").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    right = mixed.select("key", F.col("sid").alias("b"), F.col("comp").alias("cb"), F.col("home").alias("hb"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    most = _differ_at_most(F.col("na"), F.col("nb"), percent)
+    once = (F.col("cb") == F.col("hb")) | (F.col("a") < F.col("b"))  # of two outside, each pair once
+    near = (F.col("ca") != F.col("cb")) & once & (F.abs(F.col("na") - F.col("nb")) <= most) & (_hamming(F.col("sa"), F.col("sb")) <= most)
+    met = left.alias("x").join(right.alias("y"), (F.col("x.key") == F.col("y.key")) & near)
+    out = scratch.table(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "across")
+    scratch.drop(placed, mixed)
+    return out
+
+
+def _merge(labels: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     """``labels`` (node, label) with the components that ``links`` (a, b) join; links may name new nodes."""
-    if labels is None:
-        return components(links, scratch)
     if links.isEmpty():
         return labels
     of = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"l{side}"))
@@ -335,49 +320,32 @@ def _merge(labels: DataFrame | None, links: DataFrame, scratch: Scratch) -> Data
     return scratch.table(out, "labels")
 
 
-def _rarest(sets: DataFrame, hot: DataFrame, percent: int) -> DataFrame:
-    """(key, sid) of the blocks of the hot nodes, now chosen from all of them, the rarest first."""
-    schema = StructType([StructField("sid", LongType()), StructField("band", IntegerType()), StructField("need", IntegerType()), StructField("key", LongType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            column = b.column(1)
-            row = np.concatenate([[0], np.cumsum([len(x) for x in column])]).astype(np.int64)
-            flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(U)
-            r, key, bands, need = block_keys(flat, row, percent, every=True)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(r)), pa.array(bands, pa.int32()), pa.array(need, pa.int32()), pa.array(signed(key))], schema.names)
-
-    keys = sets.join(hot, "sid", "left_semi").select("sid", "shingles").mapInArrow(run, schema)
-    counted = keys.join(keys.groupBy("key").agg(F.count("*").alias("n")), "key")
-    order = Window.partitionBy("sid", "band").orderBy("n", "key")
-    return counted.withColumn("place", F.row_number().over(order)).filter("place <= need and n > 1").select("key", "sid")
-
-
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = WORDS, percent: int = PERCENT, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id that links reach) for each row of ``docs``."""
     scratch = scratch or Scratch(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("__text"))
-    facts = scratch.table(_facts(rows, k), "facts")
-    by_key = Window.partitionBy("key").orderBy("sid")
-    shared = _chosen(rows, k, percent).select("key", "sid", F.first("sid").over(by_key.rowsBetween(Window.unboundedPreceding, 0)).alias("first"), F.lag("sid").over(by_key).alias("before"))
-    shared = scratch.table(shared.filter("sid <> first and sid <> before").select("key", "sid", "first"), "shared")
-    nodes = shared.select("sid").unionAll(shared.select("first")).distinct()
-    own = facts.join(nodes, "sid", "left_semi").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
+    base = scratch.table(_base(rows, k, percent), "base")
+    facts, coarse = base.select("doc_id", "n_shingles", "sid"), base.select("sid", F.explode("keys").alias("key"))
+
+    shared = scratch.table(_shared(coarse).select("key"), "shared")
+    nodes = scratch.table(coarse.join(shared, "key").select("sid").distinct(), "nodes")
+    own = facts.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id")).join(nodes, "sid", "left_semi")
     sets = scratch.table(_sets(rows, nodes, k).join(own, ["sid", "doc_id"], "left_semi").dropDuplicates(["sid"]), "sets")
-    labels = _merge(None, _verify(shared.selectExpr("sid as a", "first as b").distinct(), sets, percent, scratch), scratch)
-
-    members = scratch.table(shared.select("key", "sid").unionAll(shared.select("key", F.col("first").alias("sid")).distinct()), "members")
-    mixed, sizes = _mixed(members, labels)
-    labels = _merge(labels, _verify(_across(mixed, sizes.filter(F.col("size") <= SMALL_GROUP), sets, percent), sets, percent, scratch), scratch)
-    mixed, sizes = _mixed(members, labels)
-    hot = scratch.table(mixed.join(sizes.filter(F.col("size") > SMALL_GROUP), "key").select("sid").distinct(), "hot")
-    if not hot.isEmpty():
-        again = scratch.table(_rarest(sets, hot, percent), "again")
-        labels = _merge(labels, _verify(_across(*_mixed(again, labels), sets, percent), sets, percent, scratch), scratch)
-        scratch.drop(again)
-    scratch.drop(shared, sets, members, hot)
-    final = labels.select(F.col("node").alias("sid"), "label")
-
-    placed = facts.join(final, "sid", "left").select("doc_id", "n_shingles", "sid", F.coalesce("label", "sid").alias("label"))
+
+    every = scratch.table(_every_block(sets, percent), "every")
+    counts = scratch.table(_shared(every.select("sid", F.explode("keys").alias("key"))), "counts")
+    rarest = scratch.table(_rarest(every, counts), "rarest")
+    pivots = rarest.groupBy("key").agg(F.min(F.struct("private", "sid")).alias("least"), F.min("sid").alias("low"), F.max("sid").alias("high")).filter("low < high").select("key", F.col("least.sid").alias("pivot"))
+    members = scratch.table(rarest.join(pivots, "key").select("key", "band", "sid", "pivot"), "members")
+    scratch.drop(shared, nodes, every, counts, rarest)
+
+    star = scratch.table(_close(members.filter("sid <> pivot").select(F.least("sid", "pivot").alias("a"), F.greatest("sid", "pivot").alias("b"), "band").distinct(), sets, percent), "star")
+    labels = components(_linked(star, sets, percent), scratch)
+    across = _across(members, labels, sets, percent, scratch)
+    links = scratch.table(_linked(across, sets, percent), "links")
+    labels = _merge(labels, links, scratch)
+    scratch.drop(sets, members, star, across, links)
+
+    placed = facts.join(labels.select(F.col("node").alias("sid"), "label"), "sid", "left").select("doc_id", "n_shingles", F.coalesce("label", "sid").alias("label"))
     least = placed.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
     return placed.join(least, "label", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))

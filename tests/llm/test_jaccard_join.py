@@ -1,8 +1,10 @@
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from repolens.llm import jaccard_join as J
 from repolens.llm.components import components
@@ -25,16 +27,19 @@ def brute(rows):
             x = root[x]
         return x
 
+    def link(a, b, both):
+        if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+            x, y = find(rows[a][0]), find(rows[b][0])
+            root[max(x, y)] = min(x, y)
+
     by = {}
     for n, s in enumerate(sets):
         for x in s:
             by.setdefault(x, []).append(n)
-    pairs = {(a, b) for g in by.values() if len(g) < 400 for k, a in enumerate(g) for b in g[k + 1 :]}
-    for a, b in pairs:
-        both = len(sets[a] & sets[b])
-        if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
-            x, y = find(rows[a][0]), find(rows[b][0])
-            root[max(x, y)] = min(x, y)
+    for a, s in enumerate(sets):
+        both_of = Counter(b for x in s for b in by[x] if b > a)
+        for b, both in both_of.items():
+            link(a, b, both)
     return sorted((i, len(s), find(i)) for (i, _), s in zip(rows, sets))
 
 
@@ -67,26 +72,42 @@ def corpus():
     return [*enumerate(texts)]
 
 
-@pytest.mark.parametrize("small", [64, 3])
-def test_equals_all_pairs(spark, monkeypatch, small):
-    monkeypatch.setattr(J, "SMALL_GROUP", small)
-    monkeypatch.setattr(J, "CHUNK", 256 if small > 3 else 5)
+def test_equals_all_pairs(spark):
     rows = corpus()
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as sid").repartition(7)
     assert sorted(map(tuple, J.near_duplicates(df).collect())) == brute(rows)
 
 
-def test_repeated_rows_of_large_groups(spark, monkeypatch):
-    """Rows of equal doc_id and text are one set, and rarest blocks are chosen from it once."""
-    monkeypatch.setattr(J, "SMALL_GROUP", 3)
-    monkeypatch.setattr(J, "CHUNK", 5)
-    held, real = [], J._rarest
-    monkeypatch.setattr(J, "_rarest", lambda sets, hot, percent: held.append(sets.groupBy("sid").count().filter("count > 1").count()) or real(sets, hot, percent))
+def test_repeated_rows(spark):
+    """Rows of equal doc_id and text are one set, and its rarest blocks are counted once."""
     rows = corpus()
     rows += [r for r in rows if r[0] % 3 == 0] * 2
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
     assert sorted(map(tuple, J.near_duplicates(df).collect())) == brute(rows)
-    assert held == [0]
+
+
+@pytest.mark.parametrize("n", [200, 800])
+def test_a_passage_of_all_documents_makes_no_pairs(spark, n, monkeypatch):
+    """What is compared grows with the number of documents that share a passage, not with its square."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    passage = [word() for _ in range(60)]
+    rows = [(i, " ".join([word() for _ in range(rng.randint(60, 120))] + passage)) for i in range(n)]
+    held, real = [], J._across
+    monkeypatch.setattr(J, "_across", lambda members, *a: held.append(members.count()) or real(members, *a))
+    got = J.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert sorted(map(tuple, got)) == brute(rows)
+    assert held[0] <= n
+
+
+def test_a_large_group_of_far_copies(spark):
+    """Copies of one text with up to a fifth of their words changed: some link with the others and some don't."""
+    rng = random.Random(5)
+    base = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(120)]
+    rows = [*enumerate(variants(rng, base, 700, 9))]
+    got = sorted(map(tuple, J.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()))
+    assert got == brute(rows)
+    assert len({c for _, _, c in got}) > 20
 
 
 def test_query(spark):
@@ -109,9 +130,23 @@ def test_sketches_are_lower_bounds():
         a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
         b = np.unique(np.concatenate([a[: int(0.9 * n)], rng.integers(0, 1 << 63, n // 9, dtype=np.uint64)]))
         row = np.array([0, len(a), len(a) + len(b)])
-        x, y = (np.frombuffer(s, np.uint8) for s in J.sketches(np.concatenate([a, b]), row))
-        size = min(len(x), len(y))
-        assert np.bitwise_count(J._fold(x, size) ^ J._fold(y, size)).sum() <= len(np.setxor1d(a, b))
+        bits, at = J.sketches(np.concatenate([a, b]), row)
+        bits = bits.view(np.uint64)
+        x, y = bits[at[0] : at[1]], bits[at[1] : at[2]]
+        for _ in range(2):
+            fold = lambda v, size: v[:size] ^ v[size:] if len(v) > size else v
+            size = min(len(x), len(y))
+            x, y = fold(x, size), fold(y, size)
+            assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+            x, y = (fold(v, max(1, len(v) // 2)) for v in (x, y))
+
+
+def test_folding_is_the_same_in_columns(spark):
+    rng = np.random.default_rng(4)
+    x, y = ([int(v) for v in rng.integers(-(1 << 63), 1 << 63, n)] for n in (8, 4))
+    df = spark.createDataFrame([(x, y, 7)], "x array<long>, y array<long>, band int")
+    got = df.select(J._hamming(J._folded(F.col("x"), J._width()), J._folded(F.col("y"), J._width())).alias("h")).first()["h"]
+    assert got == sum(((a ^ b ^ c) & (1 << 64) - 1).bit_count() for a, b, c in zip(x[:4], x[4:], y))
 
 
 def test_components(spark):
