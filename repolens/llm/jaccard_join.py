@@ -346,6 +346,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     labels = _merge(labels, links, scratch)
     scratch.drop(sets, members, star, across, links)
 
-    placed = facts.join(labels.select(F.col("node").alias("sid"), "label"), "sid", "left").select("doc_id", "n_shingles", F.coalesce("label", "sid").alias("label"))
-    least = placed.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
-    return placed.join(least, "label", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))
+    # The least doc_id of each set, then of each component; a hot set or component is a minimum before it is a join's key.
+    least = facts.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
+    placed = labels.join(least.withColumnRenamed("sid", "node"), "node")
+    of_label = placed.groupBy("label").agg(F.min("doc_id").alias("least"))
+    linked = scratch.table(placed.join(of_label, "label").select(F.col("node").alias("sid"), "least"), "linked")
+    found = scratch.table(least.join(linked, "sid", "left").select("sid", F.coalesce("least", "doc_id").alias("component")), "found")
+    return facts.join(found, "sid", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
