@@ -168,14 +168,13 @@ def fit(labelled: DataFrame, training: Training = Training(), text: str = "text"
     scale = (1 / np.sqrt(np.bincount(cols, v.astype(np.float64) ** 2, len(used)) / len(names) + 1e-8)).astype(np.float32)
     scale /= np.sqrt(max(len(v) / len(names), 1), dtype=np.float32)
     v = v * scale[cols]
-    by_col = np.argsort(cols, kind="stable")
-    col_start, doc_by_col, v_by_col = np.searchsorted(cols[by_col], np.arange(len(used))), doc[by_col], v[by_col, None]
     w, bias = np.zeros((len(used), code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
     m, s = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, training.epochs + 1):
-        margin = np.add.reduceat(v[:, None] * w[cols], row[:-1], axis=0) + bias
+        # one bit at a time, so that what is held is no larger than the sample
+        margin = np.stack([np.add.reduceat(v * w[cols, j], row[:-1]) for j in range(code.shape[1])], axis=1) + bias
         g = -target / (1 + np.exp(np.clip(target * margin, -50, 50))) * share
-        grad = np.add.reduceat(v_by_col * g[doc_by_col], col_start, axis=0) + training.decay * w
+        grad = np.stack([np.bincount(cols, v * g[doc, j], len(used)) for j in range(code.shape[1])], axis=1).astype(np.float32) + training.decay * w
         m, s = 0.9 * m + 0.1 * grad, 0.99 * s + 0.01 * grad**2
         w -= training.rate * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-8)
         bias -= training.rate * g.sum(0)
