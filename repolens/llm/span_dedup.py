@@ -6,9 +6,8 @@ A sentence ends at a word that ends in ``.``, ``!`` or ``?``, at a line feed, or
 hashed. Spans are joined on their hash over all documents. The first place of a hash, by
 (doc_id, sentence), stays; all sentences that any other place covers are removed.
 
-Only counts and first places are grouped by hash, with partial sums in each task; the
-places themselves meet them in a join, so a passage in a third of all documents is no
-single task's.
+Only counts and first places are grouped by hash, with partial sums in each task, and
+written; the places themselves meet them in a join, which Spark splits where a hash is hot.
 
 A passage within a long sentence, or with few stops, is cut at other places in each
 document. So runs of ``RUN`` words are compared as well where no span is sure to lie in
@@ -187,9 +186,13 @@ def run_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hashe
 HIT = ["doc_id", "first", "last", "start", "end", "first_doc_id"]
 
 
-def _later(every: DataFrame, place: str) -> DataFrame:
-    """The rows that are not the first of their hash, by (doc_id, ``place``)."""
+def _later(every: DataFrame, place: str, scratch: Scratch) -> DataFrame:
+    """The rows that are not the first of their hash, by (doc_id, ``place``).
+
+    First places are written before the join, which then has nothing but the join's own shuffles, so that Spark splits a hot hash.
+    """
     firsts = every.groupBy("hash").agg(F.min(F.struct("doc_id", place)).alias("origin"), F.count("*").alias("n")).filter("n > 1").select("hash", F.col("origin.doc_id").alias("first_doc_id"), F.col(f"origin.{place}").alias("origin"))
+    firsts = scratch.table(firsts, "firsts")
     return every.join(firsts, "hash").filter(f"doc_id <> first_doc_id or {place} <> origin").drop("origin")
 
 
@@ -210,10 +213,10 @@ def repeated_ranges(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ``n_sentences`` counts those that the range has words of; ``first_doc_id`` is the document that keeps the range's first span or run.
     """
     scratch = scratch or Scratch(docs.sparkSession)
-    hits = scratch.table(_later(span_table(docs, doc_id, text), "first").select(*HIT).dropDuplicates(["doc_id", "first"]), "hits")
-    windows = _later(run_table(docs, doc_id, text), "start")
+    hits = scratch.table(_later(span_table(docs, doc_id, text), "first", scratch).select(*HIT).dropDuplicates(["doc_id", "first"]), "hits")
+    windows = _later(run_table(docs, doc_id, text), "start", scratch)
     open_ = scratch.table(_apart(hits.select("doc_id", "start", "end"), windows.select("doc_id", "start", "end", "hash")).filter("not span").select("hash").distinct(), "open")
-    found = _later(run_table(docs, doc_id, text, open_), "start").select(*HIT).dropDuplicates(["doc_id", "start"])
+    found = _later(run_table(docs, doc_id, text, open_), "start", scratch).select(*HIT).dropDuplicates(["doc_id", "start"])
     every = _apart(hits, found)
     order = Window.partitionBy("doc_id").orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
