@@ -33,7 +33,8 @@ from pyspark.sql.types import BinaryType, LongType, StringType, StructField, Str
 
 from .textnum import slices
 
-CACHE_WORDS = 400_000
+#: A bound of the words and chunks that a task remembers, and of their letters.
+CACHE_WORDS, CACHE_LETTERS = 400_000, 1 << 24
 
 
 def byte_letters() -> dict[int, str]:
@@ -99,13 +100,16 @@ class Encoder:
         self.v = vocabulary
         self.words: dict[str, list[int]] = {}
         self.chunks: dict[str, tuple[bytes, str]] = {}
+        self.letters_held = [0, 0]  # in words, in chunks
 
     def _word(self, word: str) -> list[int]:
         out = self.words.get(word)
         if out is None:
-            if len(self.words) >= CACHE_WORDS:
+            if len(self.words) >= CACHE_WORDS or self.letters_held[0] >= CACHE_LETTERS:
                 self.words.clear()
+                self.letters_held[0] = 0
             out = self.words[word] = self.v.encode_word(word)
+            self.letters_held[0] += len(word)
         return out
 
     def _ids(self, ids: list[int]) -> tuple[bytes, str]:
@@ -135,11 +139,13 @@ class Encoder:
                 split.append(parts + self._plain(t[at:]))
             else:
                 split.append(self._plain(t))
-        if len(self.chunks) > CACHE_WORDS:
+        if len(self.chunks) > CACHE_WORDS or self.letters_held[1] > CACHE_LETTERS:
             self.chunks.clear()
+            self.letters_held[1] = 0
         table = self.chunks
         for c in set(chain.from_iterable(split)).difference(table):
             table[c] = self._ids([*c]) if isinstance(c, tuple) else self._chunk(c)
+            self.letters_held[1] += len(c)
         out = []
         for parts in split:
             found = [table[c] for c in parts]
