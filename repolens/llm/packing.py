@@ -72,6 +72,9 @@ class ByteEncoder:
         pairs = [m if isinstance(m, (list, tuple)) else m.split(" ") for m in merges]
         if any(vocab[a + b] != 256 + i for i, (a, b) in enumerate(pairs)):
             raise ValueError("ids are not the ranks of merges")
+        split = spec["pre_tokenizer"] or {}
+        if split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True) or spec["normalizer"]:
+            raise ValueError("the file does not split texts as byte-level vocabularies do")
         ranks = {bytes(letters[c] for c in s): i for s, i in vocab.items()}
         self.encoding = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={t["content"]: t["id"] for t in spec["added_tokens"]})
 
