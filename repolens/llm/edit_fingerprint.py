@@ -9,9 +9,13 @@ walk are sampled at fixed shares of the segment's walk, in bands; a band's sampl
 feature. The features of all segments vote on the bits of the fingerprint, so its Hamming
 distance tells how much of two texts' walks is alike, and every part of a text counts.
 
-Near pairs of documents are found by banding: the fingerprint's bits are sampled in
-``tables`` tables, documents that share a table's bits are candidates of the
-table's first document, and candidates are verified by their fingerprints' likeness.
+Near documents are found by bit-sampled banding: in each of ``TABLES`` tables ``SAMPLED`` bits of a
+fingerprint are its key, and fingerprints of one key are candidates, verified by their
+likeness. Equal fingerprints are one node. Each node of a key is compared with the key's first;
+then only nodes outside of the first one's component are compared with nodes of other
+components in their key, whatever the size of the group, and what leaves the join is verified.
+So all pairs that share a key and are near have one component. Of pairs at the least
+likeness, 0.95, about 0.98 share a key, of nearer ones more.
 
 Rows: a null or empty text has the fingerprint of no features (all zeros); its likeness is 1 to
 another empty text. Equal texts have equal fingerprints. Repeated rows and ties: documents of equal doc_id
@@ -25,12 +29,14 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
+from .components import components
+from .scratch import Scratch
 from .textnum import mix, slices
 
 MEAN, LONGEST = 48, 128
@@ -199,97 +205,130 @@ EDITED = StructType(
 )
 
 
-def _bounds(ids: DataFrame, rows_each: int) -> list[int]:
-    """Bounds between ranges of doc_id of about ``rows_each`` rows."""
-    parts = max(1, -(-ids.count() // rows_each))
-    if parts == 1:
-        return []
-    cuts = F.array(*[F.lit(i / parts) for i in range(1, parts)])
-    return sorted(set(ids.agg(F.percentile_approx("doc_id", cuts, max(10_000, 20 * parts))).first()[0] or []))
+#: The rows of a task, in order, and its first and last text, whose neighbours other tasks have.
+PLACED = StructType([*EDITED.fields, StructField("part", IntegerType()), StructField("edge", StringType()), StructField("text", StringType())])
 
 
-def with_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rows_each: int = 512) -> DataFrame:
+def _compared(group: list[tuple]) -> list[pa.Array]:
+    """The columns of EDITED for (doc_id, text, next text)."""
+    changed = [edited(t, nxt) for _, t, nxt in group]
+    # the next row's text is mostly the next in the list: only those that are not are walked again
+    texts = [t for _, t, _ in group]
+    extra = [i for i, (_, _, nxt) in enumerate(group) if i + 1 == len(group) or group[i + 1][1] is not nxt]
+    prints = fingerprints(texts + changed + [group[i][2] for i in extra])
+    n = len(group)
+    own, new = prints[:n], prints[n : 2 * n]
+    following = np.concatenate([own[1:], own[:1]])
+    following[extra] = prints[2 * n :]
+    hexed = lambda p: pa.array([x.tobytes().hex() for x in p], pa.string())
+    sha = [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in changed]
+    return [pa.array([g[0] for g in group], pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array(sha, pa.string()), hexed(own), hexed(new), pa.array(likeness(own, new)), pa.array(likeness(own, following))]
+
+
+def with_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """EDITED of each row: its fingerprint, that of its edited text, and how near both and the next document are.
 
     The next document is the one of the next lower doc_id; after the last comes the first.
-    Documents are dealt out by ranges of doc_id, each range in descending order in one
-    task; the first row of a range is sent to the range before as well.
+    Documents are dealt out once, by ranges of doc_id, and each task compares its rows in
+    order. What a task can't tell alone is its last row, whose next one is the first
+    of the next task with rows: of these two rows a task, the texts are kept and joined.
     """
+    scratch = scratch or Scratch(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    bounds = np.array(_bounds(rows.select("doc_id").filter("doc_id is not null"), rows_each), np.float64)
-
-    @F.pandas_udf("long")
-    def range_of(ids: pd.Series) -> pd.Series:
-        """Counted from the largest ids; rows without an id come last."""
-        known = len(bounds) - np.searchsorted(bounds, ids.fillna(0).to_numpy(np.float64), side="left")
-        return pd.Series(np.where(ids.isna(), len(bounds) + 1, known))
-
-    placed = rows.withColumn("bucket", range_of("doc_id"))
-    head = F.max(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "text"))
-    heads = placed.groupBy("bucket").agg(head.alias("head"))
-    # Which range comes before each, around the end: one row of two numbers for each range.
-    order = placed.select("bucket").distinct().withColumn("all", F.lit(0))
-    before = order.select("bucket", F.coalesce(F.lag("bucket").over(Window.partitionBy("all").orderBy("bucket")), F.max("bucket").over(Window.partitionBy("all"))).alias("before"))
-    ghosts = heads.join(before, "bucket").select(F.lit(None).cast("long").alias("doc_id"), F.col("head.text").alias("text"), F.col("before").alias("bucket"), F.lit(1).alias("ghost"))
-    every = placed.withColumn("ghost", F.lit(0)).unionByName(ghosts)
-    dealt = every.repartition("bucket").sortWithinPartitions("bucket", "ghost", F.col("doc_id").desc_nulls_last(), F.col("text").desc())
+    order = [F.col("doc_id").desc_nulls_last(), F.substring("text", 1, 32).desc()]
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(order[0], F.col("text").desc())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, first = TaskContext.get().partitionId(), None, None
+
         def pairs() -> Iterator[tuple]:
-            held = None
+            nonlocal held, first
             for b in batches:
-                for d, t, k, ghost in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                    if held is not None and held[2] == k:
-                        yield held[0], held[1], t
-                    held = None if ghost else (d, t, k)
+                for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    if held is not None:
+                        yield (*held, t)
+                    else:
+                        first = (d, t)
+                    held = (d, t)
+
+        def out(columns: list[pa.Array], edge: str | None, texts: list[str | None]) -> pa.RecordBatch:
+            n = len(texts)
+            return pa.RecordBatch.from_arrays([*columns, pa.array([part] * n, pa.int32()), pa.array([edge] * n, pa.string()), pa.array(texts, pa.string())], PLACED.names)
 
         for group in _batches(pairs()):
-            changed = [edited(t, nxt) for _, t, nxt in group]
-            # the next row's text is mostly the next in the list: only those that are not are walked again
-            texts = [t for _, t, _ in group]
-            extra = [i for i, (_, _, nxt) in enumerate(group) if i + 1 == len(group) or group[i + 1][1] is not nxt]
-            prints = fingerprints(texts + changed + [group[i][2] for i in extra])
-            n = len(group)
-            own, new = prints[:n], prints[n : 2 * n]
-            following = np.concatenate([own[1:], own[:1]])
-            following[extra] = prints[2 * n :]
-            hexed = lambda p: pa.array([x.tobytes().hex() for x in p])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([g[0] for g in group], pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in changed]), hexed(own), hexed(new), pa.array(likeness(own, new)), pa.array(likeness(own, following))],
-                EDITED.names,
-            )
-
-    return dealt.select("doc_id", "text", "bucket", "ghost").mapInArrow(run, EDITED)
-
-
-def near_pairs(prints: DataFrame, doc_id: str = "doc_id", tables: int = 24, bits: int = 12, least: float = 0.8, seed: int = 3) -> DataFrame:
-    """Pairs (a, b, likeness) of documents found near by banding: each with the first of its table's documents.
-
-    ``prints`` has ``fingerprint``. A table samples ``bits`` bits; a pair of likeness L has
-    equal samples in one with chance (1 - acos(L) / pi) ** bits. Members of a group meet its
-    first alone, so a group of n gives n - 1 pairs; rows without doc_id take no part.
-    """
-    places = np.random.default_rng(seed).permuted(np.tile(np.arange(BITS), (tables, 1)), axis=1)[:, :bits]
-    schema = StructType([StructField("key", LongType()), StructField("doc_id", LongType()), StructField("fingerprint", StringType())])
+            yield out(_compared(group), None, [None] * len(group))
+        for edge, row in (("first", first), ("last", held)):
+            if row is not None:
+                yield out([pa.array([row[0] if f.name == "doc_id" else None], pa.string() if f.dataType == StringType() else pa.float64() if f.dataType == DoubleType() else pa.int64()) for f in EDITED.fields], edge, [row[1]])
+
+    placed = scratch.table(dealt.mapInArrow(run, PLACED), "placed")
+    firsts, lasts = placed.filter("edge = 'first'"), placed.filter("edge = 'last'").select("part", "doc_id", "text")
+    # Which task with rows comes after each, around the end: two numbers for each task.
+    parts = firsts.select("part")
+    all_parts = Window.partitionBy(F.lit(0))
+    after = parts.select("part", F.coalesce(F.lead("part").over(all_parts.orderBy("part")), F.min("part").over(all_parts)).alias("after"))
+    joined = lasts.join(after, "part").join(firsts.select(F.col("part").alias("after"), F.col("text").alias("next")), "after").select("doc_id", "text", "next")
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for group in _batches(zip(*(c.to_pylist() for c in b.columns), strict=True)):
+                yield pa.RecordBatch.from_arrays(_compared(group), EDITED.names)
+
+    return placed.filter("edge is null").select(*EDITED.names).unionByName(joined.mapInArrow(ends, EDITED))
+
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+TABLES, SAMPLED, LEAST = 32, 20, 0.95
+KEYS = StructType([StructField("node", LongType()), StructField("bits", ArrayType(LongType())), StructField("keys", ArrayType(LongType()))])
+
+
+def band_keys(nodes: DataFrame, tables: int, sampled: int, seed: int = 3) -> DataFrame:
+    """KEYS of (node, fingerprint): the fingerprint as 64-bit integers, and its key in each table."""
+    places = np.random.default_rng(seed).permuted(np.tile(np.arange(BITS), (tables, 1)), axis=1)[:, :sampled]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            raw = np.frombuffer(bytes.fromhex("".join(b.column(1).to_pylist())), np.uint8).reshape(b.num_rows, -1)
+            raw = np.frombuffer(bytes.fromhex("".join(b.column(1).to_pylist())), np.uint8).reshape(b.num_rows, BITS // 8)
             on = np.unpackbits(raw, axis=1)
-            for t in range(tables):
-                key = on[:, places[t]].astype(np.int64) @ (1 << np.arange(bits)) + (t << bits)
-                yield pa.RecordBatch.from_arrays([pa.array(key), b.column(0), b.column(1)], schema.names)
+            keys = np.stack([on[:, places[t]].astype(np.int64) @ (1 << np.arange(sampled)) + (t << sampled) for t in range(tables)], axis=1)
+            lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), lists(raw.copy().view(np.int64)), lists(keys)], KEYS.names)
 
-    named = prints.select(F.col(doc_id).cast("long").alias("doc_id"), "fingerprint").filter("doc_id is not null and fingerprint is not null")
-    first = Window.partitionBy("key").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    met = named.mapInArrow(keys, schema).withColumn("head", F.first(F.struct("doc_id", "fingerprint")).over(first)).filter("head.doc_id <> doc_id")
+    return nodes.select("node", "fingerprint").mapInArrow(run, KEYS)
 
-    @F.pandas_udf("double")
-    def near(x: pd.Series, y: pd.Series) -> pd.Series:
-        raw = lambda s: np.frombuffer(bytes.fromhex("".join(s)), np.uint8).reshape(len(s), -1)
-        return pd.Series(likeness(raw(x), raw(y)) if len(x) else [], dtype="float64")
 
-    pairs = met.select(F.col("head.doc_id").alias("a"), F.col("doc_id").alias("b"), F.col("head.fingerprint").alias("x"), F.col("fingerprint").alias("y")).dropDuplicates(["a", "b"])
-    return pairs.select("a", "b", near("x", "y").alias("likeness")).filter(F.col("likeness") >= least)
+def _near(x: Column, y: Column, least: float) -> Column:
+    """Whether fingerprints (64-bit integers) have at least a likeness."""
+    most = int(np.floor(np.arccos(least) / np.pi * BITS + 1e-9))
+    return sum((F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(BITS // 64)), F.lit(0)) <= most
+
+
+def near_groups(prints: DataFrame, doc_id: str = "doc_id", tables: int = TABLES, sampled: int = SAMPLED, least: float = LEAST, scratch: Scratch | None = None) -> DataFrame:
+    """(fingerprint, near_id): the least doc_id that near fingerprints reach, for each distinct one of ``prints``. Rows without doc_id or fingerprint take no part.
+
+    For many more than a billion fingerprints ``sampled`` and ``tables`` should grow, as keys are then shared by chance.
+    """
+    scratch = scratch or Scratch(prints.sparkSession)
+    known = prints.select(F.col(doc_id).cast("long").alias("doc_id"), "fingerprint").filter("doc_id is not null and fingerprint is not null")
+    nodes = scratch.table(known.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id")).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    bands = scratch.table(band_keys(nodes, tables, sampled), "bands")
+    rows, bits = bands.select("node", F.explode("keys").alias("key")), bands.select("node", "bits")
+    pivots = scratch.table(rows.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("high")).filter("pivot < high").drop("high"), "pivots")
+    members = scratch.table(rows.join(pivots, "key"), "members")
+    of = lambda side: bits.select(F.col("node").alias(side), F.col("bits").alias(f"f{side}"))
+    met = members.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    star = met.join(of("a"), "a").join(of("b"), "b").filter(_near(F.col("fa"), F.col("fb"), least)).select("a", "b")
+    labels = components(star, scratch)
+
+    label = lambda node, name: labels.select(F.col("node").alias(node), F.col("label").alias(name))
+    placed = members.join(label("node", "l1"), "node", "left").join(label("pivot", "l2"), "pivot", "left").select("key", "node", F.coalesce("l1", "node").alias("comp"), F.coalesce("l2", "pivot").alias("home")).join(bits, "node")
+    placed = scratch.table(placed, "placed")
+    left = placed.filter("comp <> home").select(F.col("key").alias("k"), F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("bits").alias("fa"))
+    right = placed.select("key", F.col("node").alias("b"), F.col("comp").alias("cb"), "home", F.col("bits").alias("fb"))
+    again = left.join(right, (F.col("k") == F.col("key")) & (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("home")) | (F.col("a") < F.col("b"))) & _near(F.col("fa"), F.col("fb"), least))
+    links = scratch.table(again.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "links")
+    upper = components(links, scratch).select(F.col("node").alias("comp"), F.col("label").alias("top"))
+    comp = nodes.join(label("node", "l1"), "node", "left").select("fingerprint", "doc_id", F.coalesce("l1", "node").alias("comp")).join(upper, "comp", "left").select("fingerprint", "doc_id", F.coalesce("top", "comp").alias("comp"))
+    comp = scratch.table(comp, "comp")
+    scratch.drop(bands, pivots, members, placed, links)
+    least_id = comp.groupBy("comp").agg(F.min("doc_id").alias("near_id"))
+    return scratch.table(comp.join(least_id, "comp").select("fingerprint", "near_id"), "near")

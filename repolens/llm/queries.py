@@ -102,7 +102,10 @@ def op8_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edit_fingerprint.with_edits(table(spark, sf_dir, "documents"))
+    """``near_id``: the least doc_id of the documents that are near by banding and verification."""
+    scratch = Scratch(spark)
+    rows = scratch.table(edit_fingerprint.with_edits(table(spark, sf_dir, "documents"), scratch=scratch), "edits")
+    return rows.join(edit_fingerprint.near_groups(rows, scratch=scratch), "fingerprint", "left").withColumn("near_id", F.when(F.col("doc_id").isNotNull(), F.col("near_id")))
 
 
 def op10_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,25 +69,119 @@ def test_query(spark):
 
 def test_ranges_and_rows(spark):
     rng = random.Random(6)
-    rows = [(i * 7 % 1001 - 300, prose(rng, rng.randint(0, 30))) for i in range(300)] + [(5000, None), (5001, ""), (5002, "é")]
+    rows = [(i * 8 % 1001 - 300, prose(rng, rng.randint(0, 30))) for i in range(300)] + [(5000, None), (5001, ""), (5002, "é")]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as bucket", "2 as ghost").repartition(4)
     want = expected(rows)
-    for each in (7, 10_000):
-        got = E.with_edits(df, rows_each=each).collect()
+    for parts in (1, 7, 40):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", parts < 40)
+        got = E.with_edits(df).collect()
         assert {r.doc_id: (r.n_chars, r.edited_sha256) for r in got} == {i: w[:2] for i, w in want.items()} and len(got) == len(rows)
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", True)
     odd = spark.createDataFrame([(None, "aaaa"), (None, "bbbb"), (1, "cccc"), (1, "dddd")], "doc_id long, text string")
-    got = sorted((r.doc_id or 0, r.edited_sha256) for r in E.with_edits(odd, rows_each=1).collect())
+    got = sorted((r.doc_id or 0, r.edited_sha256) for r in E.with_edits(odd).collect())
     assert got == sorted([(1, sha256(b"ddcc").hexdigest()), (1, sha256(b"ccbb").hexdigest()), (0, sha256(b"bbaa").hexdigest()), (0, sha256(b"aadd").hexdigest())])
     assert E.with_edits(df.limit(0)).count() == 0
     one = E.with_edits(df.filter("doc_id = 5002")).collect()
     assert len(one) == 1 and one[0].near_next == 1
 
 
-def test_near_pairs(spark):
+def test_near_groups(spark):
     rng = random.Random(8)
     base = prose(rng, 400)
-    rows = [(0, base), (1, base), (2, base.replace("e", "x", 3)), (3, prose(rng, 400)), (4, None), (None, base)]
-    prints = E.fingerprint(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id")
-    got = {(r.a, r.b) for r in E.near_pairs(prints).collect()}
-    assert got == {(0, 1), (0, 2)} or got == {(0, 1), (0, 2), (1, 2)}
-    assert E.near_pairs(prints.limit(0)).count() == 0
+    rows = [(0, base), (1, base), (2, base.replace("e", "x", 3)), (3, prose(rng, 400)), (4, None), (5, ""), (None, base), (1, base)]
+    prints = E.fingerprint(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as key"), "doc_id")
+    near = {r.fingerprint: r.near_id for r in E.near_groups(prints).collect()}
+    assert [near[r.fingerprint] for r in prints.filter("doc_id is not null").orderBy("doc_id").collect()] == [0, 0, 0, 0, 3, 4, 4]
+    assert E.near_groups(prints.limit(0)).count() == 0
+
+
+def test_no_candidate_is_lost_and_recall(spark):
+    """Families of fingerprints, one of them large, among many others: against all pairs."""
+    rng = np.random.default_rng(5)
+    others = rng.integers(0, 2, (9000, 256))
+    families = []
+    for size in (400, *[12] * 80):
+        family = np.repeat(rng.integers(0, 2, (1, 256)), size, axis=0)
+        families.append(family ^ (rng.random(family.shape) < rng.uniform(0.01, 0.07, (size, 1))))
+    bits = np.concatenate([others, *families]).astype(np.uint8)
+    packed = np.packbits(bits, axis=1)
+    df = spark.createDataFrame([(i, p.tobytes().hex()) for i, p in enumerate(packed)], "doc_id long, fingerprint string")
+    keys = {r.node: set(r.keys) for r in E.band_keys(df.withColumnRenamed("doc_id", "node"), E.TABLES, E.SAMPLED).collect()}
+    near = {r.fingerprint: r.near_id for r in E.near_groups(df).collect()}
+    label = np.array([near[p.tobytes().hex()] for p in packed])
+    root = list(range(len(packed)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    pairs = found = 0
+    for i in range(len(packed)):
+        for j in i + 1 + np.flatnonzero(np.bitwise_count(packed[i + 1 :] ^ packed[i]).sum(1) <= 25):
+            pairs += 1
+            found += label[i] == label[j]
+            if keys[i] & keys[j]:
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    assert [find(i) for i in range(len(packed))] == label.tolist()
+    assert pairs > 5000 and found >= 0.98 * pairs
+
+
+def walked(text):
+    """The fingerprint by plain loops over each segment's walk."""
+    mask = (1 << 64) - 1
+
+    def mix(x):
+        x ^= x >> 30
+        x = x * 0xBF58476D1CE4E5B9 & mask
+        x ^= x >> 27
+        x = x * 0x94D049BB133111EB & mask
+        return x ^ x >> 31
+
+    low = (1 << 32) - 1
+    cuts = [0]
+    for i, c in enumerate(text):
+        h = ord(c) * 0x9E3779B1 & low
+        if i > 0:
+            h += ord(text[i - 1]) * 0x85EBCA77
+        if i > 1:
+            h += ord(text[i - 2]) * 0xC2B2AE3D
+        h &= low
+        h ^= h >> 15
+        h = h * 0x2C1B3C6D & low
+        h ^= h >> 13
+        if i >= 2 and h % E.MEAN == 0 and i + 1 < len(text):
+            cuts.append(i + 1)
+    pieces = []
+    for a, b in zip(cuts, [*cuts[1:], len(text)]):
+        pieces += [text[x : min(x + E.LONGEST, b)] for x in range(a, b, E.LONGEST)]
+    votes, n = [0] * E.BITS, 0
+    for p in pieces:
+        at, steps = 0, []
+        for j in range(2 * len(p) + 1):
+            c = ord(p[at]) if at < len(p) else 0
+            steps.append(c)
+            bit = (c ^ int(E._STEP[j])) * 0x85EBCA6B & low
+            bit ^= bit >> 15
+            bit = bit * 0xC2B2AE35 & low
+            at += (bit >> 31) if at < len(p) else 0
+        for band in range(E.BANDS):
+            value = (band + 1) * 0xA0761D6478BD642F & mask
+            for share in E.SAMPLES[band]:
+                value = mix(value + steps[int(share * 2 * len(p))] + 1 & mask)
+            value = mix(value ^ len(p).bit_length() * 0xE7037ED1A0B428DB & mask)
+            n += 1
+            for lane in range(E.BITS // 64):
+                m = lane * 0x8EBC6AF09C88C6E3 + 1 & mask
+                word = mix(value * m + m & mask).to_bytes(8, "little")
+                for k in range(64):
+                    votes[lane * 64 + k] += word[k // 8] >> 7 - k % 8 & 1
+    return "".join(str(int(2 * v > n)) for v in votes) if n else "0" * E.BITS
+
+
+def test_walks_against_plain_loops():
+    rng = random.Random(12)
+    for t in ["", "a", "ab", "abc" * 100, prose(rng, 5), prose(rng, 200), "日本語" * 70, "x" * 1000]:
+        assert "".join(map(str, np.unpackbits(E.fingerprints([t])[0]))) == walked(t)
