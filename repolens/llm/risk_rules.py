@@ -9,8 +9,8 @@ error ``delta`` is divided by their number (Bonferroni). Of the cutoffs that pas
 strictest is taken; a stratum or rule with too few labels gets none, and rejects none. Nor
 does a rule that rejects hardly any of the documents labelled bad: it could only do harm.
 
-Rows: nulls in text count as no words; a null or unseen stratum uses cutoffs that hold
-for all strata together (stratum ``*``), which count among the tests. Repeated rows and
+Rows: nulls in text count as no words; rows whose stratum is null are a stratum of their own.
+A stratum without a certificate, an unseen one among them, is under the base rules alone. Repeated rows and
 ties stay, each with its own verdict. Extra columns are ignored; an empty table gives
 an empty result.
 """
@@ -158,28 +158,24 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def calibrate(counts: DataFrame, labels: DataFrame, stratum: str | None, policy: Policy = Policy(), doc_id: str = "doc_id", quality: str = "quality") -> dict[str, dict[str, float]]:
-    """Cutoffs by stratum and rule, from all labelled documents that pass the base rules.
+def calibrate(counts: DataFrame, labels: DataFrame, stratum: str | None, policy: Policy = Policy(), doc_id: str = "doc_id", quality: str = "quality") -> dict[str | None, dict[str, float]]:
+    """Cutoffs by stratum and rule, from all labelled documents that pass the base rules; without ``stratum`` all rows are the stratum None.
 
     What reaches the driver is one row for each stratum and no documents. Strata of fewer
-    good labels than could ever certify a cutoff are left to ``*``.
+    good labels than could ever certify a cutoff have no cutoffs, and no row there.
     """
     known = labels.filter(F.col(quality).isin(0, 1)).select(F.col(doc_id).alias("__id"), F.col(quality).alias("__good")).distinct()
     stats = counts.filter(~base_failed()).select(F.col(doc_id).alias("__id"), (F.col(stratum) if stratum else F.lit(None)).cast("string").alias("stratum"), *[c.alias(k) for k, c in statistics().items()])
     tried = [(k, cut) for k, cuts in GRID.items() for cut in cuts]
     good, bad = F.col("__good") == 1, F.col("__good") == 0
-    sums = ["n", "bad"]
     failed = [F.count_if(good).alias("n"), F.count_if(bad).alias("bad")]
     for i, (k, cut) in enumerate(tried):
         failed += [F.count_if(good & (F.col(k) > cut)).alias(f"f{i}"), F.count_if(bad & (F.col(k) > cut)).alias(f"b{i}")]
-        sums += [f"f{i}", f"b{i}"]
     by = stats.join(known, "__id").groupBy("stratum").agg(*failed)
     least = int(log(policy.delta / len(tried)) / log1p(-policy.alpha))
-    rows = by.filter((F.col("n") >= least) & F.col("stratum").isNotNull()).collect()
-    total = by.agg(*[F.sum(c).alias(c) for c in sums]).first()
-    groups = {r["stratum"]: r for r in rows} | ({"*": total} if total["n"] else {})
+    groups = {r["stratum"]: r for r in by.filter(F.col("n") >= least).collect()}
     share = policy.delta / max(1, len(groups) * len(tried))
-    out: dict[str, dict[str, float]] = {}
+    out: dict[str | None, dict[str, float]] = {}
     for name, r in groups.items():
         out[name], done = {}, set()
         for i, (k, cut) in enumerate(tried):
@@ -190,7 +186,7 @@ def calibrate(counts: DataFrame, labels: DataFrame, stratum: str | None, policy:
     return out
 
 
-def verdict(cutoffs: dict[str, dict[str, float]], stratum: str | None) -> Column:
+def verdict(cutoffs: dict[str | None, dict[str, float]], stratum: str | None) -> Column:
     """True if no certified rule of the row's stratum rejects it."""
     stats = statistics()
 
@@ -200,14 +196,13 @@ def verdict(cutoffs: dict[str, dict[str, float]], stratum: str | None) -> Column
             out = out & (stats[k] <= cut)
         return out
 
-    out = passes(cutoffs.get("*", {}))
-    if stratum:
-        for name, rules in sorted(cutoffs.items()):
-            if name != "*":
-                out = F.when(F.col(stratum).cast("string").eqNullSafe(F.lit(name)), passes(rules)).otherwise(out)
+    own = F.col(stratum).cast("string") if stratum else F.lit(None).cast("string")
+    out = F.lit(True)
+    for name, rules in cutoffs.items():
+        out = F.when(own.eqNullSafe(F.lit(name)), passes(rules)).otherwise(out)
     return out
 
 
-def apply_rules(counts: DataFrame, cutoffs: dict[str, dict[str, float]], stratum: str | None) -> DataFrame:
+def apply_rules(counts: DataFrame, cutoffs: dict[str | None, dict[str, float]], stratum: str | None) -> DataFrame:
     """``counts`` with ``base_failed`` and ``kept``."""
     return counts.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict(cutoffs, stratum))

@@ -4,6 +4,7 @@ from collections import Counter
 import pytest
 
 from repolens.llm import risk_rules as R
+from repolens.llm.queries import op10_risk_rules
 
 TEXTS = ["", None, "a", "x " * 60, "one two three\none two three\n\none two three ", "# * a\tb\x0bc é é\n \n \nq", "same line\nsame line \nsame line", "w " + "abc def ghi " * 3, "\n\n", "é" * 5000, " ".join(f"w{i}" for i in range(5000))]
 
@@ -59,4 +60,71 @@ def test_cutoffs_hold_and_few_labels_give_none(spark):
     assert sum(not kept[i] for i, _, _ in good) <= 30
     assert not any(kept[i] for i, _, _ in bad)
     assert R.calibrate(counts.limit(0), labels, "lang") == {}
-    assert all(r.kept for r in R.apply_rules(counts.filter("doc_id >= 20000"), {}, "lang").collect())
+    assert all(kept[i] for i, _, _ in few)
+
+
+def test_a_stratum_without_a_certificate_keeps_what_the_base_rules_keep(spark):
+    """Strata of few labels, without labels, and null ones, beside one whose rules reject symbols."""
+    text = lambda i, mark: " ".join(f"w{i}x{j}{mark}" for j in range(60))
+    rows = [(i, text(i, ""), "en") for i in range(3000)] + [(5000 + i, text(i, "###"), "en") for i in range(60)]
+    odd = [(9000 + i, text(i, "###"), s) for i, s in enumerate(["xx", "xx", "yy", None, None, "*"])]
+    docs = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string").selectExpr("*", "'z' as kept")
+    labels = spark.createDataFrame([(i, int(i < 5000)) for i, _, _ in rows] + [(9000, 1), (9001, 1), (9003, 1)], "doc_id long, quality int")
+    counts = R.text_counts(docs, "doc_id", "lang")
+    cut = R.calibrate(counts, labels, "lang")
+    kept = {r.doc_id: r.kept for r in R.apply_rules(counts, cut, "lang").collect()}
+    assert set(cut) == {"en"} and not any(kept[5000 + i] for i in range(60)) and all(kept[i] for i, _, _ in odd)
+
+
+def test_null_is_a_stratum_and_ties_are_kept(spark):
+    text = lambda i, mark: " ".join(f"w{i}x{j}{mark}" for j in range(60))
+    rows = [(i, text(i, ""), None) for i in range(3000)] + [(5000 + i, text(i, "###"), None) for i in range(60)]
+    counts = R.text_counts(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "lang")
+    labels = spark.createDataFrame([(i, int(i < 5000)) for i, _, _ in rows], "doc_id long, quality int")
+    for stratum in ("lang", None):
+        cut = R.calibrate(counts, labels, stratum)
+        assert set(cut) == {None} and cut[None]["symbol_ratio"] == 0.01
+        kept = {r.doc_id: r.kept for r in R.apply_rules(counts, cut, stratum).collect()}
+        assert all(kept[i] for i in range(3000)) and not any(kept[5000 + i] for i in range(60))
+    tie = counts.limit(1).selectExpr("doc_id", "lang", *[f"cast({v} as long) as {c}" for c, v in zip(R.COUNTS, (100, 400, 4, 0, 1, 0, 0, 400))])
+    assert R.apply_rules(tie, {None: {"symbol_ratio": 0.01}}, None).first().kept
+
+
+def kept_by_force(docs, labels, alpha=0.01, delta=0.05, power=0.03):
+    """doc_id -> kept, by plain loops; bounds are told by the binomial tail at ``alpha``."""
+    from math import comb, log
+
+    stats = {}
+    for i, t, lang in docs:
+        n, chars, symbols, dup, repeat = brute(t)
+        t = t or ""
+        lines = sum(bool(re.search("[^\x20\x09-\x0d]", x)) for x in t.split("\n"))
+        upper, lower = len(re.findall("[A-Z]", t)), len(re.findall("[a-z]", t))
+        base = n < 50 or 100 * repeat > 50 * n
+        stats[i] = lang, base, {"symbol_ratio": symbols / max(chars, 1), "dup_line_ratio": dup / max(lines, 1), "repeat_ratio": repeat / max(n, 1), "upper_ratio": upper / max(upper + lower, 1), "word_length": chars / max(n, 1)}
+    tests = [(k, c) for k, cuts in R.GRID.items() for c in cuts]
+    of = lambda lang, q: [stats[i][2] for i, x in labels if x == q and i in stats and stats[i][0] == lang and not stats[i][1]]
+    langs = {s[0] for s in stats.values()}
+    strata = [x for x in langs if len(of(x, 1)) >= int(log(delta / len(tests)) / log(1 - alpha))]
+    share = delta / max(1, len(strata) * len(tests))
+    cutoffs = {}
+    for x in strata:
+        good, bad = of(x, 1), of(x, 0)
+        for k, cuts in R.GRID.items():
+            for c in cuts:
+                wrong = sum(s[k] > c for s in good)
+                tail = sum(comb(len(good), j) * alpha**j * (1 - alpha) ** (len(good) - j) for j in range(wrong + 1))
+                if tail <= share:
+                    if sum(s[k] > c for s in bad) >= power * max(len(bad), 1):
+                        cutoffs.setdefault(x, {})[k] = c
+                    break
+    return {i: not base and all(s[k] <= c for k, c in cutoffs.get(lang, {}).items()) for i, (lang, base, s) in stats.items()}, cutoffs
+
+
+def test_query(spark):
+    sf = "/root/testdata/sf0.1"
+    docs = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    labels = [(r.doc_id, r.quality) for r in spark.read.parquet(f"{sf}/labels.parquet").collect()]
+    want, cutoffs = kept_by_force(docs, labels)
+    got = op10_risk_rules(spark, sf).collect()
+    assert {r.doc_id: r.kept for r in got} == want and len(got) == len(docs)
