@@ -147,21 +147,31 @@ class Store:
     def read(self, schema: StructType, version: int | None = None) -> DataFrame:
         return self._read(self.manifest(version)[1], schema)
 
-    def read_with_shard(self, schema: StructType, version: int | None = None) -> DataFrame:
-        """As ``read``, with the column ``shard``: the file that holds the row."""
+    def read_with_shard(self, schema: StructType, version: int | None = None, name: str = "shard") -> DataFrame:
+        """As ``read``, with the column ``name``: the file that holds the row. A stored column of that name is an error."""
+        if name.lower() in (f.lower() for f in schema.names):
+            raise ValueError(f"the rows have a column {name}: give another name")
         shards = self.manifest(version)[1]
         if not shards:
-            return self._read(shards, schema).withColumn("shard", F.lit(""))
-        return self._read(shards, schema).withColumn("shard", F.concat_ws("/", F.element_at(F.split("_metadata.file_path", "/"), -2), F.col("_metadata.file_name")))
+            return self._read(shards, schema).withColumn(name, F.lit(""))
+        return self._read(shards, schema).withColumn(name, F.concat_ws("/", F.element_at(F.split("_metadata.file_path", "/"), -2), F.col("_metadata.file_name")))
 
     def vacuum(self) -> int:
-        """Delete the shards that the latest manifest doesn't list; returns how many."""
-        live = {s.file for s in self.manifest()[1]}
+        """Delete the shards that the latest manifest doesn't list; returns how many.
+
+        A folder is named by the version that its writer means to commit. Folders of versions
+        after the latest are spared: their writers may still commit. Those of the latest or earlier
+        ones can't, as their version exists.
+        """
+        version, listed = self.manifest()
+        live = {s.file for s in listed}
         gone = 0
         if not self.fs.exists(self._at("data")):
             return 0
         for folder in self.fs.listStatus(self._at("data")):
             name, left = folder.getPath().getName(), 0
+            if int(name.split("-")[0]) > version:
+                continue
             for s in self.fs.listStatus(folder.getPath()):
                 if f"data/{name}/{s.getPath().getName()}" in live:
                     left += 1

@@ -35,6 +35,30 @@ def test_one_of_two_writers_wins(spark):
     assert store.read(df.schema).count() == 3 and store.versions() == [1]
 
 
+def test_vacuum_spares_what_a_writer_may_still_commit(spark):
+    store, df = H.Store(spark, new_path(spark, "s")), spark.range(3)
+    store.append(df)
+    version, shards = store.manifest()
+    pending = store._write(df, version + 1)  # another writer's, not yet committed
+    assert store.vacuum() == 0
+    assert store._commit(version + 1, shards + pending) == 2
+    assert store.read(df.schema).count() == 6
+    late = store._write(df, version + 1)  # of a writer whose version now exists
+    assert store.vacuum() == len(late) and store.read(df.schema).count() == 6
+
+
+def test_rows_as_they_come(spark):
+    store = H.Store(spark, new_path(spark, "s"))
+    df = spark.createDataFrame([(1, None, "a"), (1, None, "a"), (None, "x" * 300_000, "b")], "doc_id long, text string, shard string")
+    store.append(df)
+    store.append(df.limit(0))
+    with pytest.raises(ValueError, match="shard"):
+        store.read_with_shard(df.schema)
+    got = store.read_with_shard(df.schema, name="file")
+    assert sorted(map(tuple, got.drop("file").collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
+    assert got.filter("file like 'data%' or file like '0%'").count() == 3
+
+
 def test_tiers():
     p = H.Policy(least=10, target=1000, fan_in=4)
     assert [p.tier(x) for x in (0, 10, 11, 40, 41, 499, 500, 10_000)] == [0, 0, 1, 1, 2, 3, -1, -1]
