@@ -53,7 +53,7 @@ def test_run(spark):
 
 @pytest.mark.parametrize("n", range(5))
 def test_odd_rows(spark, n):
-    text = " ".join(f"wo{i}rd the and of" for i in range(40))
+    text = " ".join(f"wo{i}rd the a{i} of" for i in range(40))
     odd = [(None, text, None, None, None), (1, None, "en", "s", 0), (1, None, "en", "s", 0), (2, "", None, "s", 0), (3, text, "en", "s", len(text)), (3, text, "en", "s", len(text)), (4, text * 300, "de", "s", 1)]
     schema = spark.read.parquet(f"{SF}/documents.parquet").schema.simpleString()[7:-1]
     df = spark.createDataFrame(odd, schema.replace(":", " ")).selectExpr("*", "'x' as kept", "1 as score", "2 as n_words", "3 as key", "4 as `first`", "'y' as lang_pred")
