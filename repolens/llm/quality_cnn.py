@@ -7,8 +7,7 @@ makes one probability of them. A filter is a table of a weight for each of its p
 each byte, so its response is a sum of looked-up weights.
 
 Training takes a bounded sample: at most about ``Training.per_label`` documents of each
-label, chosen by a hash of their id, and of each at most ``Training.chunks`` chunks, spread
-evenly over it. It runs on the driver by gradient descent through the pooled places. The
+label, chosen by a hash of their id, and of each all chunks. It runs on the driver by gradient descent through the pooled places. The
 sample is balanced; the share of labels among all labelled rows is put back into the
 score. Scoring covers whole texts.
 
@@ -30,15 +29,14 @@ from pyspark.sql.types import BinaryType, DoubleType, IntegerType, StructField,
 
 from .textnum import slices, utf8
 
-CHUNK, STEP, WIDTH, STRIDE = 512, 448, 8, 2
+CHUNK, STEP, WIDTH = 512, 448, 8
 
 
 @dataclass(frozen=True)
 class Training:
-    per_label: int = 1000
-    chunks: int = 4
+    per_label: int = 400
     filters: int = 12
-    epochs: int = 20
+    epochs: int = 12
     batch: int = 64
     rate: float = 0.02
     decay: float = 1e-4
@@ -59,18 +57,27 @@ def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, length, row
 
 
-def pooled(tables: np.ndarray, block: np.ndarray, length: np.ndarray, where: bool = False):
-    """chunks x filters: the largest response in each chunk, not below 0; with ``where`` also its place."""
-    places = (CHUNK - WIDTH) // STRIDE + 1
-    total = np.zeros((len(block), places, tables.shape[2]), np.float32)
-    for k in range(WIDTH):
-        total += tables[k][block[:, k : k + STRIDE * places : STRIDE]]
-    last = np.maximum((length - WIDTH) // STRIDE, 0)
-    total[np.arange(places) > last[:, None]] = -np.inf
-    if not where:
-        return np.maximum(total.max(1), 0)
-    at = total.argmax(1)
-    return np.maximum(np.take_along_axis(total, at[:, None], 1)[:, 0], 0), at
+#: Chunks that are filtered at a time.
+BLOCK = 256
+
+
+def pooled(tables: np.ndarray, block: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """chunks x filters: the largest response in each chunk, not below 0, and its place.
+
+    A filter lies at every place of a chunk at which it fits; in one shorter than a filter at its start, over zeros.
+    """
+    places = CHUNK - WIDTH + 1
+    best, where = [np.zeros((0, tables.shape[2]), np.float32)], [np.zeros((0, tables.shape[2]), np.int64)]
+    for i in range(0, len(block), BLOCK):
+        b = block[i : i + BLOCK]
+        total = tables[0][b[:, :places]]
+        for k in range(1, WIDTH):
+            total += tables[k][b[:, k : k + places]]
+        total[np.arange(places) > np.maximum(length[i : i + BLOCK] - WIDTH, 0)[:, None]] = -np.inf
+        at = total.argmax(1)
+        best.append(np.maximum(np.take_along_axis(total, at[:, None], 1)[:, 0], 0))
+        where.append(at)
+    return np.concatenate(best), np.concatenate(where)
 
 
 @dataclass
@@ -86,14 +93,13 @@ class Model:
         logit = np.full(len(n), self.bias)
         full = np.flatnonzero(n)
         if len(full):
-            parts = [pooled(self.tables, block[i : i + 256], length[i : i + 256]) for i in range(0, len(block), 256)]
-            p = np.concatenate(parts)
+            p, _ = pooled(self.tables, block, length)
             logit[full] += np.add.reduceat(p, row[full]) / n[full, None] @ self.mean + np.maximum.reduceat(p, row[full]) @ self.most
         return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
 def _sample(docs: DataFrame, labels: DataFrame, training: Training, text: str, doc_id: str, label: str) -> tuple[list, dict[int, int]]:
-    """(label, chunk bytes) rows on the driver, of bounded number and size; and how many labels there are of each kind.
+    """(label, chunk bytes) rows on the driver, of bounded number; and how many labels there are of each kind.
 
     The labels are sampled before the join, so their side is small whatever the input, and no text is shuffled.
     """
@@ -113,9 +119,7 @@ def _sample(docs: DataFrame, labels: DataFrame, training: Training, text: str, d
                 block, length, row = chunks(data, offsets)
                 out = []
                 for i in range(b.num_rows):
-                    n = row[i + 1] - row[i]
-                    at = row[i] + np.unique(np.linspace(0, n - 1, min(n, training.chunks)).astype(int)) if n else []
-                    out.append(b"".join(int(length[j]).to_bytes(4, "little") + block[j].tobytes() for j in at))
+                    out.append(b"".join(int(length[j]).to_bytes(4, "little") + block[j].tobytes() for j in range(row[i], row[i + 1])))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], schema.names)
 
     got = taken.mapInArrow(cut, schema).toArrow().sort_by("h")
@@ -149,7 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, training: Training = Training(), tex
             n = row[docs + 1] - row[docs]
             start = np.concatenate([[0], np.cumsum(n)])
             at = np.repeat(row[docs] - start[:-1], n) + np.arange(start[-1])
-            p, place = pooled(state["tables"], block[at], length[at], where=True)
+            p, place = pooled(state["tables"], block[at], length[at])
             mean = np.add.reduceat(p, start[:-1]) / n[:, None]
             most = np.maximum.reduceat(p, start[:-1])
             logit = mean @ state["mean"] + most @ state["most"] + state["bias"]
@@ -159,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, training: Training = Training(), tex
             back = np.where(p > 0, back, 0.01 * back)
             grads = {"mean": mean.T @ g, "most": most.T @ g, "bias": np.array([g.sum()]), "tables": np.zeros(tables.shape)}
             for k in range(WIDTH):
-                seen = np.take_along_axis(block[at], place * STRIDE + k, 1).astype(np.int64)
+                seen = np.take_along_axis(block[at], place + k, 1).astype(np.int64)
                 grads["tables"][k] = np.bincount((seen * f + np.arange(f)).ravel(), back.ravel(), 256 * f).reshape(256, f)
             t += 1
             for k, grad in grads.items():

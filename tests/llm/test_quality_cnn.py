@@ -28,13 +28,45 @@ def test_pooling_equals_brute_force():
     tables = rng.normal(0, 1, (Q.WIDTH, 256, 3)).astype(np.float32)
     text = bytes(rng.integers(32, 120, 700).astype(np.uint8))
     block, length, _ = Q.chunks(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
-    got = Q.pooled(tables, block, length)
+    got, _ = Q.pooled(tables, block, length)
     for j in range(len(block)):
         for f in range(3):
-            places = range(0, max(1, length[j] - Q.WIDTH + 1), Q.STRIDE)
+            places = range(0, max(1, length[j] - Q.WIDTH + 1))
             assert np.isclose(got[j, f], max(0, max(sum(tables[k, block[j, i + k], f] for k in range(Q.WIDTH)) for i in places)), atol=1e-4)
 
 
+def score_by_loops(model, text):
+    """The whole score, place by place: windows of each chunk of 512 bytes, begun every 448, that hold no byte of another."""
+    data = text.encode()
+    best = []
+    for start in range(0, len(data), 448):
+        chunk = data[start : start + 512]
+        if start and len(chunk) <= 512 - 448:
+            break  # the chunk before has it all
+        padded = chunk + bytes(max(0, 8 - len(chunk)))
+        best.append([max(0.0, max(sum(float(model.tables[k, padded[i + k], f]) for k in range(8)) for i in range(len(padded) - 7))) for f in range(model.tables.shape[2])])
+    logit = model.bias
+    if best:
+        for f in range(model.tables.shape[2]):
+            column = [b[f] for b in best]
+            logit += sum(column) / len(column) * model.mean[f] + max(column) * model.most[f]
+    return 1 / (1 + np.exp(-logit))
+
+
+def test_scores_equal_plain_loops_and_every_byte_counts():
+    rng = np.random.default_rng(6)
+    model = Q.Model(rng.normal(0, 0.3, (8, 256, 2)).astype(np.float32), rng.normal(0, 1, 2), rng.normal(0, 1, 2), 0.1)
+    texts = ["", "a", "abcdefg", "abcdefgh", "abcdefghi", *["".join(map(chr, rng.integers(32, 126, n))) for n in (509, 511, 512, 513, 575, 576, 577, 960, 961, 1500)], "é" * 300]
+    got = model.scores(pa.array(texts))
+    assert np.allclose(got, [score_by_loops(model, t) for t in texts], atol=1e-4)
+    loud = np.zeros((8, 256, 1), np.float32)
+    loud[:, ord("!")] = 1
+    heard = Q.Model(loud, np.zeros(1), np.ones(1), 0.0)
+    for n in (1, 7, 8, 9, 509, 511, 513, 960, 961, 1023):
+        texts = ["a" * i + "!" + "a" * (n - 1 - i) for i in range(n)]
+        assert (heard.scores(pa.array(texts)) > 0.7).all()
+
+
 def test_held_out_auc(spark):
     sf = "/root/testdata/sf0.1"
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
