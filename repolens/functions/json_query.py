@@ -78,6 +78,8 @@ def object_counts(content: Column, query: str) -> Column:
     path, rest = _parts(query)
     if rest:
         raise Unsupported(query)
-    entries = F.from_json(F.to_json(_at(F.make_valid_utf8(content.cast("string")), path)), "map<string,string>")
-    numeric = F.map_filter(F.transform_values(entries, lambda k, v: v.try_cast("double")), lambda k, v: v.isNotNull() & (v >= 0) & (v == F.floor(v)))
+    entries = F.from_json(F.to_json(_at(F.make_valid_utf8(content.cast("string")), path)), "map<string,variant>")
+    # A string of digits is no number.
+    numbers = F.map_filter(entries, lambda k, v: F.schema_of_variant(v).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"))
+    numeric = F.map_filter(F.transform_values(numbers, lambda k, v: F.try_variant_get(v, "$", "double")), lambda k, v: v.isNotNull() & (v >= 0) & (v == F.floor(v)))
     return F.transform_values(numeric, lambda k, v: v.cast("long"))

@@ -21,12 +21,14 @@ def matching_lines(text: Column, pattern: str) -> Column:
 
 
 def content_matching_lines(content: Column, pattern: str) -> Column:
-    """As ``matching_lines``, over bytes: null if a matching line is not UTF-8."""
+    """As ``matching_lines``, over bytes: null if a matching line is not UTF-8. Only contents that aren't UTF-8 throughout are looked at byte by byte."""
     rx = line_regex(pattern)
+    whole = content.cast("string")
     text = F.decode(content, "ISO-8859-1")  # a byte is a character, so that a bad line harms no other
     each = F.transform(lines(text), lambda x: F.encode(x, "ISO-8859-1"))
     found = F.filter(each, lambda b: F.make_valid_utf8(b.cast("string")).rlike(rx))
-    return F.when(~F.exists(found, lambda b: ~F.is_valid_utf8(b.cast("string"))), F.size(found).cast("long"))
+    slow = F.when(~F.exists(found, lambda b: ~F.is_valid_utf8(b.cast("string"))), F.size(found).cast("long"))
+    return F.when(F.is_valid_utf8(whole), matching_lines(whole, pattern)).otherwise(slow)
 
 
 def first_matches(text: Column, pattern: str) -> Column:

@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 DATE_FORMS = ("yyyy-MM-dd HH:mm:ss Z", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd")
 
 
+#: What a number may be written as: neither a type's suffix nor an underscore.
+NUMBER = r"(?i)[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?|[+-]?inf(inity)?|nan"
+
+
 def loose_datetime(text: Column) -> Column:
     """A timestamp (the session's zone must be UTC) of a date and time, a date, or a time of today; null if it is none of these."""
     tries = [F.try_to_timestamp(text, F.lit(f)) for f in DATE_FORMS]
@@ -18,14 +22,19 @@ def loose_datetime(text: Column) -> Column:
 
 def first_number(text: Column) -> Column:
     """The first word of a text as a number; null if there is none or it is no number."""
-    return F.get(F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " "), F.lit(0)).try_cast("double")
+    word = F.get(F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " "), F.lit(0))
+    return F.when(word.rlike(rf"\A(?:{NUMBER})\z"), word.try_cast("double"))
 
 
 def number_text(x: Column) -> Column:
     """A number as text: whole ones without a point, others in full and without an exponent; zero has no sign."""
     d = x.cast("double")
-    plain = F.regexp_replace(F.regexp_replace(d.try_cast("decimal(38,17)").cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
     short = d.cast("string")
+    # The shortest digits, with the point moved to where the exponent says.
+    digits = F.regexp_replace(F.regexp_replace(F.regexp_extract(short, r"([\d.]+)E", 1), r"\.0$", ""), r"\.", "")
+    exponent = F.regexp_extract(short, r"E(-?\d+)", 1).try_cast("int")
+    whole = F.concat(F.substring(digits, F.lit(1), exponent + 1), F.when(F.length(digits) > exponent + 1, F.concat(F.lit("."), F.substring(digits, exponent + 2, F.length(digits)))).otherwise(F.repeat(F.lit("0"), exponent + 1 - F.length(digits))))
+    plain = F.concat(F.when(d < 0, "-").otherwise(""), F.when(exponent < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)).otherwise(whole))
     return (
         F.when(F.isnan(d), F.lit("NaN"))
         .when(d == 0, F.lit("0"))

@@ -12,7 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PLAIN_FILE = "100644"
+from .lineage import checkpointed
+
+PLAIN_FILE, TREE = "100644", "040000"
 
 
 def deltas(changes: DataFrame, modes: tuple[str, ...] = (PLAIN_FILE,)) -> DataFrame:
@@ -33,44 +35,83 @@ def versions(changes: DataFrame, modes: tuple[str, ...] = (PLAIN_FILE,)) -> Data
 
 
 def live(sampled: DataFrame, files: DataFrame, width: int = 256) -> DataFrame:
-    """(chain_pos, path, oid): the files of each sampled commit.
+    """(chain_pos, path, oid): the files of each sampled commit, with what else a row of ``files`` has.
 
     The range join goes over buckets of ``width`` positions: a version is sent to the buckets
     that it spans, so rows meet by a key and no pair of a commit and a dead version is made.
     """
     spread = files.withColumn("__b", F.explode(F.sequence(F.floor((F.col("to_pos") + 1) / width), F.floor(F.col("from_pos") / width))))
     at = sampled.select("chain_pos", F.floor(F.col("chain_pos") / width).alias("__b"))
-    return spread.join(at, "__b").filter("chain_pos <= from_pos and chain_pos > to_pos").select("chain_pos", "path", "oid")
+    rest = [F.col(f"`{c}`") for c in files.columns if c not in ("path", "oid", "from_pos", "to_pos")]
+    return spread.join(at, "__b").filter("chain_pos <= from_pos and chain_pos > to_pos").select("chain_pos", "path", "oid", *rest)
+
 
+def live_totals(sampled: DataFrame, valued: DataFrame, width: int = 256) -> DataFrame:
+    """(chain_pos, key, total): values summed over the versions that are live at each sampled commit.
+
+    ``valued`` is (key, value, from_pos, to_pos). Versions that are live over the same sampled commits are
+    summed before they meet commits, so a version isn't repeated for each commit that has it.
+    """
+    spans = valued.groupBy("key", "from_pos", "to_pos").agg(F.sum("value").alias("value"))
+    met = live(sampled, spans.select(F.col("key").alias("path"), F.lit("").alias("oid"), "from_pos", "to_pos", "value"), width)
+    return met.groupBy("chain_pos", F.col("path").alias("key")).agg(F.sum("value").alias("total"))
 
-def running_totals(sampled: DataFrame, steps: DataFrame) -> DataFrame:
+
+def running_totals(sampled: DataFrame, steps: DataFrame, block: int = 4096) -> DataFrame:
     """(chain_pos, key, total, n) at each sampled commit, from ``steps`` (chain_pos, key, value, n): what each commit adds.
 
-    ``n`` counts files with a value that isn't zero; rows without any are left out. The steps are summed per commit and key before.
+    ``n`` counts files with a value that isn't zero; rows without any are left out. The steps are summed
+    per commit and key before. The chain is cut into blocks of positions: sums run within a block,
+    and what all older blocks add is summed apart, over a row for each key and block.
     """
     summed = steps.groupBy("chain_pos", "key").agg(F.sum("value").alias("value"), F.sum("n").alias("n"))
-    grid = summed.select("key").distinct().join(sampled.select("chain_pos"))
-    rows = summed.withColumn("ask", F.lit(0)).unionByName(grid.select("chain_pos", "key", F.lit(0).cast("long").alias("value"), F.lit(0).cast("long").alias("n"), F.lit(1).alias("ask")))
-    order = Window.partitionBy("key").orderBy(F.col("chain_pos").desc(), "ask").rowsBetween(Window.unboundedPreceding, 0)
-    totals = rows.select("chain_pos", "key", "ask", F.sum("value").over(order).alias("total"), F.sum("n").over(order).alias("n"))
-    return totals.filter("ask = 1 and n > 0").drop("ask")
+    of_block = F.floor(F.col("chain_pos") / block).alias("block")
+    blocks = summed.groupBy("key", of_block).agg(F.sum("value").alias("value"), F.sum("n").alias("n"))
+    asked = sampled.select(of_block).distinct()
+    zero = F.lit(0).cast("long")
+    # Every key has a row in each asked block, so that it has one at each sampled commit there.
+    grid = blocks.select("key").distinct().join(asked).select("key", "block", zero.alias("value"), zero.alias("n"))
+    older = Window.partitionBy("key").orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.unionByName(grid).groupBy("key", "block").agg(F.sum("value").alias("value"), F.sum("n").alias("n"))
+    offsets = offsets.select("key", "block", F.coalesce(F.sum("value").over(older), F.lit(0)).alias("before"), F.coalesce(F.sum("n").over(older), F.lit(0)).alias("n_before"))
+    ask = sampled.select("chain_pos", of_block).join(offsets.select("key", "block"), "block").select("chain_pos", "key", zero.alias("value"), zero.alias("n"), F.lit(1).alias("ask"))
+    rows = summed.withColumn("ask", F.lit(0)).unionByName(ask).withColumn("block", of_block)
+    order = Window.partitionBy("key", "block").orderBy(F.col("chain_pos").desc(), "ask").rowsBetween(Window.unboundedPreceding, 0)
+    totals = rows.select("chain_pos", "key", "block", "ask", F.sum("value").over(order).alias("value"), F.sum("n").over(order).alias("m")).filter("ask = 1")
+    return totals.join(offsets, ["key", "block"]).select("chain_pos", "key", (F.col("value") + F.col("before")).alias("total"), (F.col("m") + F.col("n_before")).alias("n")).filter("n > 0")
+
+
+def names_of_contents(files: DataFrame) -> DataFrame:
+    """(oid, names): the sorted distinct file names of each content, from (path, oid)."""
+    return files.groupBy("oid").agg(F.array_sort(F.collect_set(F.element_at(F.split("path", "/"), -1))).alias("names"))
+
+
+def _walk(start: DataFrame, entries: DataFrame, modes: tuple[str, ...], keep: tuple[str, ...], once: bool) -> DataFrame:
+    """(keep, path, oid) of all files below the trees of ``start`` (keep, oid, path), level by level; ``once``: a tree at a path is expanded once."""
+    below = entries.select(F.col("tree_oid").alias("oid"), "name", "mode", "child_oid").filter(F.col("mode").isin(*modes, TREE))
+    level, files, seen = checkpointed(start.distinct()), None, None
+    while not level.isEmpty():
+        seen = level if seen is None else seen.unionByName(level)
+        path = F.when(F.col("path") == "", F.col("name")).otherwise(F.concat_ws("/", "path", "name"))
+        found = checkpointed(level.join(below, "oid").select(*keep, path.alias("path"), F.col("child_oid").alias("oid"), "mode"))
+        here = found.filter(F.col("mode") != TREE).drop("mode")
+        files = here if files is None else files.unionByName(here)
+        level = found.filter(F.col("mode") == TREE).drop("mode").distinct()
+        level = checkpointed(level.join(seen, level.columns, "left_anti") if once else level)
+    return files if files is not None else start.select(*keep, "path", "oid").limit(0)
 
 
 def tree_files(roots: DataFrame, entries: DataFrame, modes: tuple[str, ...] = (PLAIN_FILE,)) -> DataFrame:
-    """(tree_oid, path, oid) of every file below the root trees, level by level.
+    """(tree_oid, path, oid) of every file below each root tree.
 
-    ``roots`` has ``tree_oid``; ``entries`` tree_oid, name, mode, child_oid. Each tree at each path is expanded once, whatever the number of roots that share it.
+    ``roots`` has ``tree_oid``; ``entries`` tree_oid, name, mode, child_oid. A tree is expanded once for each root that has it.
     """
-    roots.select("tree_oid").distinct().createOrReplaceTempView("__roots")
-    entries.createOrReplaceTempView("__entries")
-    kept = ",".join(f"'{m}'" for m in (*modes, "040000"))
-    return roots.sparkSession.sql(f"""
-        with recursive walk(root, oid, path, mode) as (
-          select r.tree_oid, e.child_oid, e.name, e.mode from __roots r join __entries e on e.tree_oid = r.tree_oid where e.mode in ({kept})
-          union all
-          select w.root, e.child_oid, concat(w.path, '/', e.name), e.mode from walk w join __entries e on e.tree_oid = w.oid
-          where w.mode = '040000' and e.mode in ({kept}))
-        select root as tree_oid, path, oid from walk where mode <> '040000'""")
+    return _walk(roots.select("tree_oid", F.col("tree_oid").alias("oid"), F.lit("").alias("path")), entries, modes, ("tree_oid",), False)
+
+
+def tree_versions(roots: DataFrame, entries: DataFrame, modes: tuple[str, ...] = (PLAIN_FILE,)) -> DataFrame:
+    """(path, oid): the distinct files below any of the root trees; a tree at a path is expanded once, however many roots share it."""
+    return _walk(roots.select(F.col("tree_oid").alias("oid"), F.lit("").alias("path")), entries, modes, (), True).distinct()
 
 
 def directory_rollup(files: DataFrame, value: str, by: tuple[str, ...] = ("chain_pos",)) -> DataFrame:

@@ -8,6 +8,7 @@ that look at paths alone never read contents.
 from __future__ import annotations
 
 import os
+import re
 import subprocess
 import tempfile
 from collections.abc import Iterator
@@ -21,6 +22,7 @@ from ..functions.json_query import number as json_number
 from ..functions.json_query import object_counts
 from ..functions.lines import content_matching_lines
 from ..functions.patterns import glob_matches
+from ..functions.values import NUMBER
 from .loc import count_lines
 from .reshape import top_n
 
@@ -115,7 +117,8 @@ def run_command(command: list[str], content: bytes, timeout: float) -> float | N
         f.flush()
         try:
             done = subprocess.run([*command, f.name], capture_output=True, timeout=timeout, check=True)
-            return float(done.stdout.decode().split()[0])
+            word = done.stdout.decode().split()[0]
+            return float(word) if re.fullmatch(NUMBER, word, re.ASCII) else None
         except (OSError, subprocess.SubprocessError, UnicodeDecodeError, ValueError, IndexError):
             return None
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import checkpointed
+
 MISSING = "0"
 
 
@@ -31,3 +33,15 @@ def top_n(rows: DataFrame, n: int, by: tuple[str, ...], value: str, tie: str) ->
 def unpivot(table: DataFrame, ids: tuple[str, ...]) -> DataFrame:
     """The long form of a wide table: ``ids``, ``key``, ``value``."""
     return table.unpivot([*ids], None, "key", "value")
+
+
+def dictionary(names: DataFrame, column: str) -> DataFrame:
+    """(column, idx): the distinct values, numbered from 0 in their order.
+
+    They are sorted in ranges and numbered within each; a range begins where the sizes of those before it end, a number for each task.
+    """
+    once = names.select(column).distinct().orderBy(column).select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"), column)
+    placed = checkpointed(once)
+    sizes = placed.groupBy("part").agg(F.count("*").alias("n"), F.min("at").alias("least"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return placed.join(sizes.select("part", "least", before.alias("before")), "part").select(column, (F.col("at") - F.col("least") + F.col("before")).alias("idx"))

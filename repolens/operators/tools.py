@@ -21,10 +21,11 @@ RULE_SCHEMA = "name string, files array<string>, dirs array<string>, language st
 
 
 def read_rules(spark: SparkSession, path: str) -> DataFrame:
-    """Rules of a file with a JSON object in each line; blank lines are skipped, a bad one is an error that tells it."""
-    bad = spark.read.text(path).filter("trim(value) <> ''").withColumn("json", F.try_parse_json("value")).filter("json is null").limit(1).collect()
+    """Rules of a file with a JSON object in each line; blank lines are skipped, a bad one is an error that tells its number, counted from 1."""
+    text = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n", -1)).alias("i", "line"))
+    bad = text.filter("trim(line) <> ''").filter(~F.coalesce(F.schema_of_variant(F.try_parse_json("line")).startswith("OBJECT"), F.lit(False))).orderBy("i").limit(1).collect()
     if bad:
-        raise ValueError(f"not a JSON object: {bad[0]['value'][:200]}")
+        raise ValueError(f"line {bad[0]['i'] + 1} is not a JSON object: {bad[0]['line'][:200]}")
     return spark.read.schema(RULE_SCHEMA).option("mode", "FAILFAST").json(path)
 
 
@@ -56,31 +57,45 @@ def _globs(patterns: DataFrame, files: DataFrame, matched: str) -> DataFrame:
     return hits.select("repo_path", "g.rule_pos", "g.name", "g.pattern", "file_pos", F.col("path" if matched == "path" else "g.pattern").alias("hit"))
 
 
-def detect(files: DataFrame, rules: DataFrame, strict_dirs: bool = False) -> DataFrame:
-    """(repo_path, rule_pos, name, matching_files, matching_dirs): sorted, distinct; rules without a hit have no row.
-
-    ``files`` is (repo_path, file_pos, path). ``strict_dirs``: a leading ``/`` names a directory, not a prefix, and file names are no directories.
-    """
-    patterns = explode_rules(rules)
-    file_rules = patterns.filter("scope = 'file'").drop("scope")
-    dir_rules = patterns.filter("scope = 'dir'").drop("scope")
+def file_hits(files: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(repo_path, rule_pos, name, pattern, file_pos, hit) of the file patterns of ``patterns`` (as of ``explode_rules``); of a glob the first ``CAP`` of a repository."""
+    rules = patterns.filter("scope = 'file'").drop("scope")
     out = ["repo_path", "rule_pos", "name", "pattern", "file_pos", "hit"]
-
     keyed = files.select("repo_path", "file_pos", "path", F.explode(F.array(F.struct(F.lit("plain").alias("kind"), F.element_at(F.split("path", "/"), -1).alias("key")), F.struct(F.lit("root").alias("kind"), F.concat(F.lit("/"), "path").alias("key")))).alias("k")).select("*", "k.*")
-    plain = keyed.join(file_rules.withColumnRenamed("pattern", "key"), ["kind", "key"]).select("repo_path", "rule_pos", "name", F.col("key").alias("pattern"), "file_pos", F.col("path").alias("hit"))
+    plain = keyed.join(rules.withColumnRenamed("pattern", "key"), ["kind", "key"]).select("repo_path", "rule_pos", "name", F.col("key").alias("pattern"), "file_pos", F.col("path").alias("hit"))
     first = Window.partitionBy("repo_path", "rule_pos", "pattern").orderBy("file_pos")
-    capped = _globs(file_rules, files, "path").withColumn("__n", F.row_number().over(first)).filter(F.col("__n") <= CAP).drop("__n")
-    file_hits = plain.select(*out).unionAll(capped.select(*out)).withColumn("scope", F.lit("file"))
+    capped = _globs(rules, files, "path").withColumn("__n", F.row_number().over(first)).filter(F.col("__n") <= CAP).drop("__n")
+    return plain.select(*out).unionAll(capped.select(*out))
+
+
+def dir_hits(files: DataFrame, patterns: DataFrame, strict_dirs: bool = False) -> DataFrame:
+    """Distinct (repo_path, rule_pos, name, hit) of the directory patterns of ``patterns``.
 
+    Components meet patterns by their text. A leading ``/`` is a prefix of the path: each path has a key of the length
+    of every such pattern, and as the lengths are few and short, these are hash joins as well.
+    """
+    rules = patterns.filter("scope = 'dir'").drop("scope")
+    out = ["repo_path", "rule_pos", "name", "hit"]
     parts = F.split("path", "/")
     own = F.slice(parts, 1, F.size(parts) - 1) if strict_dirs else parts
-    component = files.select("repo_path", F.explode(F.array_distinct(own)).alias("pattern")).distinct().join(dir_rules.filter("kind = 'plain'"), "pattern")
-    prefix = F.startswith(F.concat(F.lit("/"), "path"), F.concat("pattern", F.lit("/")) if strict_dirs else F.col("pattern"))
-    # A prefix meets the file's first component by its own; the few that have no whole first component are tested on all.
-    rooted = files.select("repo_path", "path").join(F.broadcast(dir_rules.filter("kind = 'root'")), prefix)
-    dir_hits = component.select("repo_path", "rule_pos", "name", F.col("pattern").alias("hit")).unionAll(rooted.select("repo_path", "rule_pos", "name", F.col("pattern").alias("hit"))).unionAll(_globs(dir_rules, files, "pattern").select("repo_path", "rule_pos", "name", "hit")).distinct().withColumn("scope", F.lit("dir"))
+    component = files.select("repo_path", F.explode(F.array_distinct(own)).alias("pattern")).distinct().join(rules.filter("kind = 'plain'"), "pattern")
+    rooted = rules.filter("kind = 'root'").withColumn("key", F.concat("pattern", F.lit("/" if strict_dirs else "")))
+    lengths = [r["n"] for r in rooted.select(F.char_length("key").alias("n")).distinct().collect()]
+    whole = F.concat(F.lit("/"), "path")
+    prefixes = F.array(*[F.when(F.char_length(whole) >= n, F.left(whole, F.lit(n))) for n in sorted(lengths)]) if lengths else F.array().cast("array<string>")
+    prefixed = files.select("repo_path", F.explode(F.array_compact(prefixes)).alias("key")).distinct().join(rooted, "key")
+    hits = component.select("repo_path", "rule_pos", "name", F.col("pattern").alias("hit")).unionAll(prefixed.select("repo_path", "rule_pos", "name", F.col("pattern").alias("hit")))
+    return hits.unionAll(_globs(rules, files, "pattern").select(*out)).distinct()
+
+
+def detect(files: DataFrame, rules: DataFrame, strict_dirs: bool = False) -> DataFrame:
+    """(repo_path, rule_pos, name, matching_files, matching_dirs): sorted, distinct; rules without a hit have no row.
 
-    both = file_hits.select("repo_path", "rule_pos", "name", "scope", "hit").unionAll(dir_hits.select("repo_path", "rule_pos", "name", "scope", "hit"))
+    ``files`` is (repo_path, file_pos, path). ``strict_dirs``: a leading ``/`` names a directory, not a prefix, and file names are no directories.
+    """
+    patterns = explode_rules(rules)
+    out = ["repo_path", "rule_pos", "name", "scope", "hit"]
+    both = file_hits(files, patterns).withColumn("scope", F.lit("file")).select(*out).unionAll(dir_hits(files, patterns, strict_dirs).withColumn("scope", F.lit("dir")).select(*out))
     pick = lambda s: F.array_sort(F.collect_set(F.when(F.col("scope") == s, F.col("hit"))))
     return both.groupBy("repo_path", "rule_pos", "name").agg(pick("file").alias("matching_files"), pick("dir").alias("matching_dirs"))
 

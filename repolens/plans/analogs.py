@@ -9,17 +9,20 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.json_query import number, object_counts
-from ..functions.lines import content_matching_lines, first_matches, lines, matching_lines
+from ..functions.lines import content_matching_lines, first_matches, matching_lines
 from ..functions.patterns import glob_matches
 from ..functions.values import first_number, loose_datetime, number_text
 from ..operators import history as H
 from ..operators import tools
-from ..operators.reshape import top_n, unpivot, wide
+from ..operators.loc import count_lines
+from ..operators.measures import FileCount, Grep, StatConfig
+from ..operators.reshape import dictionary, top_n, unpivot, wide
 from ..operators.sampling import Granularity, first_per_bucket, in_range
+from .engine import measured, series
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -112,11 +115,12 @@ def grep_first_match(spark, sf_dir):
     return docs.select("doc_id", F.explode(first_matches(F.col("text"), "[a-z]+tion")).alias("m")).select("doc_id", F.col("m.line").alias("line"), F.col("m.match").alias("first_match"))
 
 
-@query("select count(*) filter (regexp_full_match(url, '(?s).*/[a-m][^/]*.*')) as n_files, cast(sum(case when regexp_full_match(url, '(?s)https?://.*/p.*') then 1 else 0 end) as bigint) as n_pages from pages")
+@query("select count(*) filter (regexp_full_match(url, '(?s).*/[a-m].*')) as n_files, count(*) filter (regexp_full_match(url, '(?s)https?://.*/e.*')) as n_pages from pages where not ends_with(url, '/')")
 def file_count_glob(spark, sf_dir):
-    pages = read(spark, sf_dir, "pages")
-    one = lambda c: F.sum(c.cast("long"))
-    return pages.agg(F.count_if(F.col("url").rlike(r"(?s)\A.*/[a-m][^/]*.*\z")).alias("n_files"), one(glob_matches(F.col("url"), "http{s,}://*/p*")).alias("n_pages"))
+    """Through the measurement of files, with two patterns."""
+    files = read(spark, sf_dir, "pages").select(F.col("url").alias("path"), F.lit("").alias("oid"))
+    count = lambda pattern, name: FileCount(pattern=pattern).measure(files).agg(F.coalesce(F.sum("value"), F.lit(0)).alias(name))
+    return count("*/[a-m]*", "n_files").crossJoin(count("http{s,}://*/e*", "n_pages"))
 
 
 @query("""select source, cast(sum(len(list_filter(string_split(text, chr(10)), lambda l: contains(l, 'the')))) as bigint) as n_lines from documents
@@ -142,12 +146,14 @@ def json_object_merge(spark, sf_dir):
     return pairs.groupBy(F.concat(F.lit("jq_obj_query_._"), "k").alias("key")).agg(F.sum("v").alias("total"))
 
 
-@query("""select lang, cast(sum(len(list_filter(l, lambda x: trim(x) = ''))) as bigint) as blanks, cast(sum(len(list_filter(l, lambda x: trim(x) <> ''))) as bigint) as code
-  from (select lang, string_split(text, chr(10)) as l from documents) group by lang""")
+@query("""select lang, cast(sum(len(list_filter(l, lambda x: regexp_full_match(x, '\\s*')))) as bigint) as blanks, cast(sum(len(list_filter(l, lambda x: not regexp_full_match(x, '\\s*')))) as bigint) as code
+  from (select lang, string_split(case when ends_with(text, chr(10)) then left(text, length(text) - 1) else text end, chr(10)) as l from documents where text <> '') group by lang""")
 def loc_blank_code_by_group(spark, sf_dir):
-    rows = read(spark, sf_dir, "documents").select("lang", lines(F.col("text")).alias("l"))
-    blank = lambda x: F.trim(x) == ""
-    return rows.groupBy("lang").agg(F.sum(F.size(F.filter("l", blank))).alias("blanks"), F.sum(F.size(F.filter("l", lambda x: ~blank(x)))).alias("code"))
+    """Line counts of the documents as files of a language without comments."""
+    docs = read(spark, sf_dir, "documents").filter("text <> ''")
+    files = docs.select(F.concat_ws("/", "lang", F.concat("doc_id", F.lit(".json"))).alias("path"), F.col("doc_id").cast("string").alias("oid"), F.encode("text", "UTF-8").alias("content"))
+    counted = count_lines(files)
+    return counted.groupBy(F.nullif(F.substring_index("path", "/", 1), F.col("path")).alias("lang")).agg(F.sum("blanks").alias("blanks"), F.sum("code").alias("code"))
 
 
 @query("""select source, lang, chars from (select *, row_number() over (partition by source order by chars desc, lang) as n from
@@ -157,33 +163,36 @@ def topn_per_group(spark, sf_dir):
     return top_n(rows, 2, ("source",), "chars", "lang")
 
 
-@query("select source, cast(sum(len(string_split(text, ' '))) as bigint) as n_words, count(*) as n_docs from documents group by source")
+@query("""select source, cast(sum(len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, 'tion')))) as bigint) as n_lines, count(*) as n_docs from documents
+  where regexp_matches(text, 'tion') group by source""")
 def dedupe_measure_join(spark, sf_dir):
-    """Each distinct text is measured once and counted wherever it occurs."""
-    docs = read(spark, sf_dir, "documents").withColumn("oid", F.sha2("text", 256))
-    once = docs.groupBy("oid").agg(F.any_value("text").alias("text")).select("oid", F.size(F.split("text", " ")).cast("long").alias("n"))
-    return docs.select("source", "oid").join(once, "oid").groupBy("source").agg(F.sum("n").alias("n_words"), F.count("*").alias("n_docs"))
+    """Each distinct content is read once and measured once for each path that has it."""
+    docs = read(spark, sf_dir, "documents").select("source", F.concat_ws("/", "source", "doc_id").alias("path"), F.sha2("text", 256).alias("oid"), F.encode("text", "UTF-8").alias("content"))
+    values = measured(docs.select("path", "oid"), docs.select("oid", "content"), Grep(pattern="tion"))
+    return docs.select("source", "path", "oid").join(values, ["path", "oid"]).groupBy("source").agg(F.sum("value").alias("n_lines"), F.count("*").alias("n_docs"))
 
 
 @query("select md5(text) as oid, array_to_string(list_sort(list(distinct source)), ',') as names from documents group by 1")
 def names_per_blob(spark, sf_dir):
-    return read(spark, sf_dir, "documents").groupBy(F.md5("text").alias("oid")).agg(F.array_join(F.array_sort(F.collect_set("source")), ",").alias("names"))
+    files = read(spark, sf_dir, "documents").select(F.md5("text").alias("oid"), F.concat_ws("/", F.lit("docs"), "source").alias("path"))
+    return H.names_of_contents(files).select("oid", F.array_join("names", ",").alias("names"))
 
 
-@query("select source, cast(dense_rank() over (order by source) - 1 as int) as idx from (select distinct source from documents)")
+@query("select source, cast(dense_rank() over (order by source) - 1 as bigint) as idx from (select distinct source from documents)")
 def dictionary_encode(spark, sf_dir):
-    names = read(spark, sf_dir, "documents").select("source").distinct()
-    return names.select("source", (F.dense_rank().over(Window.orderBy("source")) - 1).alias("idx"))
+    return dictionary(read(spark, sf_dir, "documents").select("source"), "source")
 
 
-@query("""select d, key, cast(sum(n) over (partition by key order by d) as bigint) as total from
-  (select cast(o_orderdate as date) as d, o_orderpriority as key, count(*) as n from orders group by 1, 2)""")
+@query("""with c as (select cast(o_orderdate as date) as d, o_orderpriority as key, count(*) as n from orders group by 1, 2),
+  g as (select d, key from (select distinct d from c), (select distinct key from c)),
+  t as (select g.d, g.key, sum(coalesce(n, 0)) over (partition by g.key order by g.d) as total from g left join c on c.d = g.d and c.key = g.key)
+  select d, key, cast(total as bigint) as total from t where total > 0""")
 def running_total_delta(spark, sf_dir):
-    """Orders per priority, summed day by day: days are positions that count down, as along a chain."""
-    orders = read(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("d"), F.col("o_orderpriority").alias("key"))
-    steps = orders.groupBy((-F.unix_date("d")).alias("chain_pos"), "key").agg(F.count("*").alias("value"))
-    summed = steps.withColumn("total", F.sum("value").over(Window.partitionBy("key").orderBy(F.col("chain_pos").desc())))
-    return summed.select(F.date_from_unix_date(-F.col("chain_pos")).alias("d"), "key", "total")
+    """Orders per priority, carried to every day: days are positions that count down, as along a chain. Small blocks, so that sums cross them."""
+    orders = read(spark, sf_dir, "orders").select((-F.unix_date(F.col("o_orderdate").cast("date"))).alias("chain_pos"), F.col("o_orderpriority").alias("key"))
+    steps = orders.select("chain_pos", "key", F.lit(1).cast("long").alias("value"), F.lit(1).cast("long").alias("n"))
+    totals = H.running_totals(orders.select("chain_pos").distinct(), steps, 100)
+    return totals.select(F.date_from_unix_date(-F.col("chain_pos")).alias("d"), "key", "total")
 
 
 @query("""with days as (select distinct date_trunc('month', o_orderdate)::date as d from orders),
@@ -230,13 +239,14 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select(F.lit("r").alias("repo_path"), F.col("page_id").alias("file_pos"), F.col("url").alias("path"))
 
 
+def _hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _files(spark, sf_dir).withColumn("repo_path", F.split("path", "/")[2])
+
+
 @query(f"""select pattern, page_id from (select pattern, page_id, row_number() over (partition by pattern order by page_id) as n from {_RULES_SQL} r(rule_pos, name, pattern, rx) join pages on regexp_full_match(url, rx)) where n <= 10""")
 def rule_join_wildcard_cap10(spark, sf_dir):
-    files = _files(spark, sf_dir)
-    patterns = tools.explode_rules(spark.sql(RULES)).filter("scope = 'file'")
-    hits = tools._globs(patterns, files, "path")
-    first = Window.partitionBy("pattern").orderBy("file_pos")
-    return hits.withColumn("n", F.row_number().over(first)).filter(f"n <= {tools.CAP}").select("pattern", F.col("file_pos").alias("page_id"))
+    patterns = tools.explode_rules(spark.sql(RULES)).filter("kind = 'glob'")
+    return tools.file_hits(_files(spark, sf_dir), patterns).select("pattern", F.col("file_pos").alias("page_id"))
 
 
 _DETECT_SQL = """with f as (select page_id, url, string_split(url, '/') as parts from pages),
@@ -257,48 +267,53 @@ def tool_match_arrays(spark, sf_dir):
     return found.select("name", F.array_join("matching_files", ",").alias("matching_files"), F.array_join("matching_dirs", ",").alias("matching_dirs"))
 
 
-@query("select list_extract(string_split(url, '/'), -1) as name, count(*) as n from pages group by 1")
+@query("select list_extract(string_split(url, '/'), -1) as pattern, count(*) as n from pages where list_extract(string_split(url, '/'), -1) in ('', '49', '10', '519', 'nowhere') group by 1")
 def rule_join_basename(spark, sf_dir):
-    return read(spark, sf_dir, "pages").groupBy(F.element_at(F.split("url", "/"), -1).alias("name")).agg(F.count("*").alias("n"))
+    rules = spark.sql("select 0L as rule_pos, 'names' as name, array('', '49', '10', '519', 'nowhere') as files, cast(null as array<string>) as dirs")
+    return tools.file_hits(_files(spark, sf_dir), tools.explode_rules(rules)).groupBy("pattern").agg(F.count("*").alias("n"))
 
 
-@query("select count(*) as n from pages where list_contains(string_split(url, '/'), 'en')")
+@query("""select distinct list_extract(string_split(url, '/'), 3) as host, d as hit from pages, (values ('en'), ('fr'), ('519')) v(d) where list_contains(string_split(url, '/'), d)""")
 def rule_dir_component(spark, sf_dir):
-    return read(spark, sf_dir, "pages").filter(F.array_contains(F.split("url", "/"), "en")).agg(F.count("*").alias("n"))
+    """Each host is a repository."""
+    rules = spark.sql("select 0L as rule_pos, 'parts' as name, cast(null as array<string>) as files, array('en', 'fr', '519') as dirs")
+    return tools.dir_hits(_hosts(spark, sf_dir), tools.explode_rules(rules)).select(F.col("repo_path").alias("host"), "hit")
 
 
-@query("select count(*) as n from pages where starts_with('/' || url, '/https:')")
+@query("""select distinct list_extract(string_split(url, '/'), 3) as host, d as hit from pages, (values ('/https:'), ('/http'), ('/https://m.'), ('/x')) v(d) where starts_with('/' || url, d)""")
 def rule_dir_prefix(spark, sf_dir):
-    return read(spark, sf_dir, "pages").filter(F.startswith(F.concat(F.lit("/"), "url"), F.lit("/https:"))).agg(F.count("*").alias("n"))
+    rules = spark.sql("select 0L as rule_pos, 'roots' as name, cast(null as array<string>) as files, array('/https:', '/http', '/https://m.', '/x') as dirs")
+    return tools.dir_hits(_hosts(spark, sf_dir), tools.explode_rules(rules)).select(F.col("repo_path").alias("host"), "hit")
 
 
-@query("select doc_id from documents where doc_id not in (select doc_id from labels)")
+@query("""with n as (select 'n' || c_nationkey as parent, 'c' || c_custkey as oid, c_name as name from customer)
+  select r_name || '/' || n_name || '/' || n.name as path, n.oid from region join nation on n_regionkey = r_regionkey join n on n.parent = 'n' || n_nationkey""")
 def visited_anti_join(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id").join(read(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
+    """The distinct files of many roots that share their trees: each tree at a path is expanded once."""
+    roots = spark.sql("select 'root' as tree_oid union all select concat('root', id) from range(20)")
+    entries = _tree(spark, sf_dir)
+    more = entries.filter("tree_oid = 'root'").drop("tree_oid").crossJoin(spark.sql("select concat('root', id) as tree_oid from range(20)"))
+    return H.tree_versions(roots, entries.unionByName(more))
 
 
-@query("""with recursive e as (select 'root' as parent, 'r' || r_regionkey as child, r_name as name from region
-    union all select 'r' || n_regionkey, 'n' || n_nationkey, n_name from nation union all select 'n' || c_nationkey, 'c' || c_custkey, c_name from customer),
-  w as (select child, name as path, 1 as depth from e where parent = 'root' union all select e.child, w.path || '/' || e.name, depth + 1 from w join e on e.parent = w.child)
-  select depth, count(*) as n, min(path) as first_path from w group by depth""")
-def tree_closure_rollup(spark, sf_dir):
+def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions, nations and customers as nested trees: the files are the customers."""
     region, nation, customer = (read(spark, sf_dir, t) for t in ("region", "nation", "customer"))
-    tree, blob = F.lit("040000").alias("mode"), F.lit("100644").alias("mode")
+    tree, blob = F.lit(H.TREE).alias("mode"), F.lit(H.PLAIN_FILE).alias("mode")
     name = lambda p, c: F.concat(F.lit(p), F.col(c))
-    entries = (
+    return (
         region.select(F.lit("root").alias("tree_oid"), F.col("r_name").alias("name"), tree, name("r", "r_regionkey").alias("child_oid"))
         .unionAll(nation.select(name("r", "n_regionkey"), "n_name", tree, name("n", "n_nationkey")))
         .unionAll(customer.select(name("n", "c_nationkey"), "c_name", blob, name("c", "c_custkey")))
     )
-    roots = spark.sql("select 'root' as tree_oid")
-    files = H.tree_files(roots, entries)
-    parts = F.split("path", "/")
-    prefix = files.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).alias("path"))
-    every = entries.select(F.col("name")).limit(0).select(F.col("name").alias("path")).unionAll(prefix).distinct()
-    # Trees without files below are no files' parents, but are nodes of the closure.
-    bare = region.select(F.col("r_name").alias("path")).unionAll(nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.concat_ws("/", "r_name", "n_name")))
-    return every.unionAll(bare).distinct().groupBy(F.size(F.split("path", "/")).alias("depth")).agg(F.count("*").alias("n"), F.min("path").alias("first_path"))
+
+
+@query("""with p as (select r_name, n_name, c_name from region join nation on n_regionkey = r_regionkey join customer on c_nationkey = n_nationkey)
+  select directory, count(*) as n from (select '.' as directory from p union all select r_name from p union all select r_name || '/' || n_name from p) group by 1""")
+def tree_closure_rollup(spark, sf_dir):
+    """Files of nested trees, counted for each directory and all above it."""
+    files = H.tree_files(spark.sql("select 'root' as tree_oid"), _tree(spark, sf_dir)).withColumn("n", F.lit(1).cast("long"))
+    return H.directory_rollup(files, "n", ("tree_oid",)).select("directory", F.col("total").alias("n"))
 
 
 @query("""select directory, cast(sum(n_chars) as bigint) as total from (select unnest(['.', source, source || '/' || lang]) as directory, n_chars from documents) group by 1""")
@@ -307,9 +322,13 @@ def directory_rollup(spark, sf_dir):
     return H.directory_rollup(docs, "n_chars").select("directory", "total")
 
 
-@query("select o_custkey as custkey from orders union select c_custkey from customer")
+@query("""select oid, cast(sum(s) as bigint) as signs from (select o_orderpriority as oid, -1 as s from orders union all select cast(o_custkey as varchar), 1 from orders) group by 1""")
 def union_distinct(spark, sf_dir):
-    return read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("custkey")).union(read(spark, sf_dir, "customer").select("c_custkey")).distinct()
+    """Old and new versions of changes as one set, each with its signs added up."""
+    orders = read(spark, sf_dir, "orders")
+    plain = F.lit(H.PLAIN_FILE)
+    changes = orders.select(F.col("o_orderkey").alias("chain_pos"), plain.alias("old_mode"), F.col("o_orderpriority").alias("old_oid"), plain.alias("new_mode"), F.col("o_custkey").cast("string").alias("new_oid"), F.lit("f").alias("path"))
+    return H.deltas(changes).groupBy("oid").agg(F.sum("sign").alias("signs"))
 
 
 _DATES = ("2024-01-02 03:04:05 +0200", "2024-01-02 03:04:05", "2024-01-02", "nonsense", "2024-13-01")
@@ -322,9 +341,12 @@ def loose_datetime_forms(spark, sf_dir):
     return rows.select("x", F.date_format(loose_datetime(F.col("x")), "yyyy-MM-dd HH:mm:ss").alias("t"))
 
 
-@query("select event_id, try_cast(list_extract(string_split(trim(x), ' '), 1) as double) as v from (select event_id, case when event_id % 3 = 0 then event_type else ' ' || cast(event_id as varchar) || ' files' end as x from events)")
+@query("select event_id, case when event_id % 3 = 0 then null when event_id % 3 = 1 then cast(event_id as double) else cast(event_id as double) / 2 end as v from events")
 def command_first_token(spark, sf_dir):
-    text = F.when(F.col("event_id") % 3 == 0, F.col("event_type")).otherwise(F.concat(F.lit(" "), F.col("event_id").cast("string"), F.lit(" files")))
+    """Words, and numbers with a suffix or an underscore, are no numbers."""
+    number_ = F.when(F.col("event_id") % 3 == 1, F.col("event_id").cast("string")).otherwise(F.format_string("%.1fe0", F.col("event_id") / 2))
+    bad = F.element_at(F.array(F.lit("nothing"), F.lit("1d"), F.lit("5f"), F.lit("1_0"), F.lit("0x1"), F.lit("1L")), (F.col("event_id") / 3 % 6).cast("int") + 1)
+    text = F.when(F.col("event_id") % 3 == 0, bad).otherwise(F.concat(F.lit(" "), number_, F.lit(" files")))
     return read(spark, sf_dir, "events").select("event_id", first_number(text).alias("v"))
 
 
@@ -333,7 +355,64 @@ def number_display(spark, sf_dir):
     return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", number_text(F.col("l_quantity")).alias("q"))
 
 
-@query("select event_type, array_to_string(list_sort(list(distinct cast(user_id % 7 as varchar))), ',') as users, count(distinct user_id % 7) as n from events group by event_type")
+@query("""select distinct 'src/' || event_type || '.rs' as path, cast(user_id % 7 as varchar) as oid, cast(1 as bigint) as value from events where event_type like '%i%'""")
 def entries_distinct(spark, sf_dir):
-    rows = read(spark, sf_dir, "events").select("event_type", (F.col("user_id") % 7).cast("string").alias("u")).dropDuplicates()
-    return rows.groupBy("event_type").agg(F.array_join(F.array_sort(F.collect_list("u")), ",").alias("users"), F.count("*").alias("n"))
+    """A version that occurs in many commits is measured once."""
+    files = read(spark, sf_dir, "events").select(F.concat(F.lit("src/"), "event_type", F.lit(".rs")).alias("path"), (F.col("user_id") % 7).cast("string").alias("oid"))
+    none = files.select("oid", F.lit(None).cast("binary").alias("content"))
+    return measured(files, none, FileCount(pattern="src/*.rs"), "src/*i*.rs").select("path", "oid", "value")
+
+
+@query("""select * from (values (1e21, '1000000000000000000000'), (-1e25, '-10000000000000000000000000'), (1.5e22, '15000000000000000000000'), (1e-20, '0.00000000000000000001'), (-1.25e-7, '-0.000000125'), (12345678.5, '12345678.5'), (0.1, '0.1'), (-0.0, '0'), (3.0, '3')) v(x, t)""")
+def number_display_extremes(spark, sf_dir):
+    """Numbers in full, whatever their size."""
+    rows = spark.createDataFrame([(x,) for x in (1e21, -1e25, 1.5e22, 1e-20, -1.25e-7, 12345678.5, 0.1, -0.0, 3.0)], "x double")
+    return rows.select("x", number_text(F.col("x")).alias("t"))
+
+
+@query("""select doc, k, cast(v as bigint) as v from (values ('{"a":"5","b":5}', 'b', 5), ('{"a":1.0,"b":1.5,"c":-1,"d":null,"e":[1],"f":true,"g":7}', 'a', 1), ('{"a":1.0,"b":1.5,"c":-1,"d":null,"e":[1],"f":true,"g":7}', 'g', 7)) t(doc, k, v)""")
+def json_object_numbers_only(spark, sf_dir):
+    """Strings of digits, fractions, negative numbers and values of other kinds are left out."""
+    docs = spark.createDataFrame([('{"a":"5","b":5}',), ('{"a":1.0,"b":1.5,"c":-1,"d":null,"e":[1],"f":true,"g":7}',), ("[1]",), ("no json",)], "doc string")
+    return docs.select("doc", F.explode(object_counts(F.encode("doc", "UTF-8"), ".")).alias("k", "v"))
+
+
+def _history(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """commits, changes and contents of a repository of documents: 30 commits, two a day; each adds documents, and removes some that are seven commits old."""
+    docs = read(spark, sf_dir, "documents").withColumn("oid", F.sha2("text", 256)).withColumn("path", F.concat_ws("/", "source", F.concat("doc_id", F.lit(".json"))))
+    at = (29 - F.col("doc_id") % 30).cast("int")
+    commits = spark.range(30).select(F.lit("r").alias("repo"), F.col("id").cast("int").alias("chain_pos"), F.concat(F.lit("c"), "id").alias("sha"), F.lit("t").alias("tree_oid"), F.timestamp_seconds(1709251200 + (29 - F.col("id")) * 43200).alias("ts"))
+    none, plain = F.lit("000000"), F.lit(H.PLAIN_FILE)
+    added = docs.select(at.alias("chain_pos"), none.alias("old_mode"), F.lit("").alias("old_oid"), plain.alias("new_mode"), F.col("oid").alias("new_oid"), "path")
+    gone = docs.filter("doc_id % 3 = 0").select((at - 7).alias("chain_pos"), plain.alias("old_mode"), F.col("oid").alias("old_oid"), none.alias("new_mode"), F.lit("").alias("new_oid"), "path").filter("chain_pos >= 0")
+    return commits, added.unionByName(gone), docs.select("oid", F.encode("text", "UTF-8").alias("content"))
+
+
+_HISTORY_SQL = """with c as (select p, 'c' || p as commit, strftime(timestamp '2024-03-01' + interval (12 * (29 - p)) hour, '%Y-%m-%d') as day from range(30) t(p)),
+  s as (select * from c qualify row_number() over (partition by day order by p) = 1),
+  f as (select *, 29 - doc_id % 30 as born, case when doc_id % 3 = 0 and 29 - doc_id % 30 >= 7 then 22 - doc_id % 30 else -1 end as died from documents),
+  l as (select s.commit, f.* from s join f on s.p <= f.born and s.p > f.died) """
+
+
+@query(_HISTORY_SQL + """select s.commit, 'total' as key, cast(coalesce(sum(len(list_filter(string_split(case when ends_with(text, chr(10)) then left(text, length(text) - 1) else text end, chr(10)), lambda x: regexp_matches(x, 'tion|ung')))), 0) as varchar) as value
+  from s left join l on l.commit = s.commit and source like '%1%' group by 1""")
+def series_grep(spark, sf_dir):
+    """The engine's main path, in the delta form: daily samples of matching lines in the files that a glob names."""
+    stat = StatConfig("n", "grep", params={"pattern": "tion|ung"}, path_in_repo="*1*/*.json", granularity="daily")
+    return series(*_history(spark, sf_dir), stat).select("commit", "key", "value")
+
+
+@query(_HISTORY_SQL + """select commit, 'JSON' as key, cast(sum(len(list_filter(string_split(text, chr(10)), lambda x: not regexp_full_match(x, '\\s*')))) as varchar) as value from l group by 1""")
+def series_loc(spark, sf_dir):
+    """Code lines of the live files, by language."""
+    return series(*_history(spark, sf_dir), StatConfig("n", "loc", granularity="daily")).select("commit", "key", "value")
+
+
+@query(_HISTORY_SQL + """select s.commit, 'jq_result' as key, cast(cast(coalesce(sum(doc_id % 10), 0) as bigint) as varchar) as value from s left join l on l.commit = s.commit group by 1""")
+def series_json_number(spark, sf_dir):
+    """The interval form: numbers of the JSON files that are live at each sample."""
+    commits, changes, _ = _history(spark, sf_dir)
+    ids = read(spark, sf_dir, "documents").select(F.concat_ws("/", "source", F.concat("doc_id", F.lit(".json"))).alias("path"), F.col("doc_id").cast("string").alias("own"))
+    of = changes.join(ids, "path").drop("old_oid", "new_oid").withColumn("old_oid", F.col("own")).withColumn("new_oid", F.col("own")).drop("own")
+    contents = ids.select(F.col("own").alias("oid"), F.encode(F.concat(F.lit('{"k": {"v": '), (F.col("own").cast("long") % 10).cast("string"), F.lit("}}")), "UTF-8").alias("content"))
+    return series(commits, of, contents, StatConfig("n", "jq", params={"query": ".k.v"}, granularity="daily")).select("commit", "key", "value")

@@ -6,6 +6,8 @@ each distinct version, and only if a statistic looks at them.
 
 from __future__ import annotations
 
+import hashlib
+import os
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,8 +56,7 @@ def series(commits: DataFrame, changes: DataFrame, contents: DataFrame, stat: St
     else:
         versions = H.versions(changes)
         values = measured(versions, contents, measurement, stat.path_in_repo)
-        at = H.live(sampled, versions.join(values.select("path", "oid").distinct(), ["path", "oid"], "left_semi"))
-        totals = at.join(values, ["path", "oid"]).groupBy("chain_pos", "key").agg(F.sum("value").alias("total"))
+        totals = H.live_totals(sampled, versions.join(values, ["path", "oid"]).select("key", "value", "from_pos", "to_pos"))
     totals = measurement.finish(totals.select("chain_pos", "key", "total"))
     if measurement.always:
         every = sampled.select("chain_pos", F.lit(measurement.always).alias("key"))
@@ -98,10 +99,12 @@ class Engine:
         if not self.snapshots:
             return tuple(history(self.spark, t, path) for t in names)
         head = git(path, "rev-parse", "HEAD").decode().strip()
-        if results.read_snapshot(self.spark, self.snapshots, head, names[0]) is None:
-            results.write_snapshot({t: history(self.spark, t, path) for t in names}, self.snapshots, head)
-            results.drop_other_snapshots(self.spark, self.snapshots, head)
-        return tuple(results.read_snapshot(self.spark, self.snapshots, head, t) for t in names)
+        # Each repository has a folder of its own, so that dropping its old tips leaves other repositories' alone.
+        folder = f"{self.snapshots.rstrip('/')}/{hashlib.sha256(os.path.realpath(path).encode()).hexdigest()[:16]}"
+        if results.read_snapshot(self.spark, folder, head, names[0]) is None:
+            results.write_snapshot({t: history(self.spark, t, path) for t in names}, folder, head)
+            results.drop_other_snapshots(self.spark, folder, head)
+        return tuple(results.read_snapshot(self.spark, folder, head, t) for t in names)
 
     def table(self, path: str, stat: StatConfig, granularity: str | None = None, since: str | None = None) -> DataFrame:
         """The wide table of one statistic. What is passed goes before the config, the config before the default, daily."""

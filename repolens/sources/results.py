@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import os
-import shutil
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,17 +14,28 @@ from ..operators.reshape import unpivot
 def write_csv(table: DataFrame, path: str) -> str:
     """One CSV file with a header at ``path``, in the table's order; what is there is replaced.
 
-    A published series has a row for each sampled commit, so it is one file.
+    A published series has a row for each sampled commit, so it is one file. It is written beside its place by
+    Spark's file system and renamed, so on a cluster the path must be one that all executors share.
     """
-    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
-    with tempfile.TemporaryDirectory(dir=os.path.dirname(os.path.abspath(path))) as folder:
-        table.coalesce(1).write.mode("overwrite").option("header", True).csv(folder)
-        parts = [f for f in os.listdir(folder) if f.startswith("part-")]
-        if parts:
-            shutil.move(os.path.join(folder, parts[0]), path)
+    spark = table.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(path if ":" in path.split("/")[0] else os.path.abspath(path))
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    beside = spark._jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{target.getName()}-{uuid.uuid4().hex}")
+    try:
+        table.coalesce(1).write.option("header", True).csv(beside.toString())
+        parts = [s.getPath() for s in fs.listStatus(beside) if s.getPath().getName().startswith("part-")]
+        if not parts:
+            if not table.isEmpty():
+                raise OSError(f"{path}: the executors' files are not here: name a folder that all share")
+            out = fs.create(target, True)
+            out.write((",".join(table.columns) + "\n").encode())
+            out.close()
         else:
-            with open(path, "w", encoding="utf-8") as f:
-                f.write(",".join(table.columns) + "\n")
+            fs.delete(target, False)
+            if not fs.rename(parts[0], target):
+                raise OSError(f"cannot write {path}")
+    finally:
+        fs.delete(beside, True)
     return path
 
 

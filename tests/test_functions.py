@@ -1,3 +1,4 @@
+import random
 import fnmatch
 import re
 
@@ -106,3 +107,13 @@ def test_configs():
     for bad in (StatConfig("s", "nope"), StatConfig("s", "grep", params={"nope": 1}), StatConfig("s", "tokei", params={"languages": [1]})):
         with pytest.raises(ValueError):
             bad.measurement()
+
+
+def test_numbers_as_text_in_full(spark):
+    from repolens.functions.values import number_text
+
+    rng = random.Random(3)
+    values = [rng.uniform(-10, 10) * 10.0 ** rng.randint(-30, 30) for _ in range(400)] + [1e21, 1e22, 1.5e16, 9007199254740993.0, 123456789.125, 1e-7, 5e-324]
+    got = spark.createDataFrame([(v,) for v in values], "x double").select("x", number_text(F.col("x")).alias("t")).collect()
+    for r in got:
+        assert set(r.t) <= set("-.0123456789") and float(r.t) == r.x, r
