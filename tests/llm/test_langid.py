@@ -37,3 +37,37 @@ def test_rows_and_edges(spark):
     assert L.predict(docs.limit(0), model, "doc_id").count() == 0
     none = L.fit(train.limit(0))
     assert {r.lang_pred for r in L.predict(docs, none, "doc_id").collect()} == {"und"}
+
+
+def predicted_by_loops(model, text):
+    """(language, score) gram by gram: margins of all bits, then the loss of each codeword."""
+    import math
+
+    low = bytes(b + 32 if 65 <= b <= 90 else b for b in text.encode())
+    grams = [low[i : i + k] for k in (1, 2, 3, 4) for i in range(len(low) - k + 1)]
+    mask = (1 << 64) - 1
+
+    def feature(gram):
+        x = (int.from_bytes(gram, "big") + (len(gram) << 40)) & mask
+        x ^= x >> 30
+        x = x * 0xBF58476D1CE4E5B9 & mask
+        x ^= x >> 27
+        x = x * 0x94D049BB133111EB & mask
+        return (x ^ x >> 31) & L.DIM - 1
+
+    bits = model.code.shape[1]
+    margin = [sum(float(model.weights[feature(g), j]) for g in grams) / max(len(grams), 1) + float(model.bias[j]) for j in range(bits)]
+    loss = [sum(math.log1p(math.exp(-m * int(c))) for m, c in zip(margin, word)) for word in model.code]
+    best = min(range(len(loss)), key=loss.__getitem__)
+    return model.languages[best], 1 / sum(math.exp(loss[best] - x) for x in loss)
+
+
+def test_predictions_equal_plain_loops(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = L.fit(docs.filter("doc_id % 5 <> 0"))
+    assert len(model.languages) == 4
+    texts = {r.doc_id: r.text for r in docs.collect() if r.text and any(c.isalpha() for c in r.text)}
+    got = {r.doc_id: r for r in L.predict(docs, model, "doc_id").collect()}
+    for i in sorted(texts, key=lambda i: len(texts[i]))[:120]:
+        language, score = predicted_by_loops(model, texts[i])
+        assert got[i].lang_pred == language and abs(got[i].score - score) < 1e-6
