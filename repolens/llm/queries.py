@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, edit_fingerprint, jaccard_join, langid, packing, quality_cnn, risk_rules, shards, span_dedup
+from . import bpe, chat, edit_fingerprint, hard_negatives, jaccard_join, langid, packing, quality_cnn, risk_rules, shards, span_dedup
 from .scratch import Scratch, new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -114,9 +114,31 @@ def op10_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return risk_rules.apply_rules(counts, cutoffs, "lang").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).cast("long")
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), hard_negatives.quantized(F.col("embedding")).alias("v"))
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
+#: By brute force over all pairs of an anchor and a row. Rows of equal vec_id don't occur in the tables.
+OP11_SQL = """
+with v as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as e from embeddings
+  where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select a.vec_id as anchor_id, a.label = b.label as same, b.vec_id, cast(list_sum(list_transform(list_zip(a.e, b.e), lambda p: p[1] * p[2])) as bigint) as score
+  from v a join v b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+p as (select anchor_id, vec_id as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5),
+g as (
+  select p.anchor_id, positive_id, positive_score, s.vec_id as negative_id, s.score as negative_score, row_number() over (partition by p.anchor_id, positive_id order by s.score desc, s.vec_id) as n
+  from p join s on s.anchor_id = p.anchor_id and not same and 30 * positive_score <= 100 * s.score and 100 * s.score <= 90 * positive_score)
+select anchor_id, positive_id, cast(n as int) as rank, negative_id, positive_score, negative_score from g where n <= 10
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_langid": op1_langid, "op2_jaccard_join": op2_jaccard_join, "op3_bpe": op3_bpe, "op4_chat": op4_chat, "op5_quality_cnn": op5_quality_cnn, "op6_shards": op6_shards, "op7_packing": op7_packing, "op8_span_dedup": op8_span_dedup, "op9_edit_fingerprint": op9_edit_fingerprint, "op10_risk_rules": op10_risk_rules}
+    return {"op1_langid": op1_langid, "op2_jaccard_join": op2_jaccard_join, "op3_bpe": op3_bpe, "op4_chat": op4_chat, "op5_quality_cnn": op5_quality_cnn, "op6_shards": op6_shards, "op7_packing": op7_packing, "op8_span_dedup": op8_span_dedup, "op9_edit_fingerprint": op9_edit_fingerprint, "op10_risk_rules": op10_risk_rules, "op11_hard_negatives": op11_hard_negatives}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat": OP4_SQL}
+    return {"op4_chat": OP4_SQL, "op11_hard_negatives": OP11_SQL}
