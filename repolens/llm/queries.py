@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, edit_fingerprint, hard_negatives, jaccard_join, langid, packing, quality_cnn, risk_rules, shards, span_dedup
+from . import bpe, chat, edit_fingerprint, hard_negatives, jaccard_join, langid, packing, prefix_trie, quality_cnn, risk_rules, shards, span_dedup
 from .scratch import Scratch, new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -136,9 +136,47 @@ select anchor_id, positive_id, cast(n as int) as rank, negative_id, positive_sco
 """
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return prefix_trie.trie(rows, "conv_id - conv_id % 5", "crc32(cast(conv_id as string)) % 9", 8)
+
+
+#: Prefixes as joined hashes of their turns; a node's subtree by the nodes that its members' paths lead through.
+OP13_SQL = """
+with recursive step(i, k, v) as (
+  select i, 0, i from range(256) t(i)
+  union all select i, k + 1, case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end from step where k < 8),
+crc as (select list(v order by i) as crcs from step where k = 8),
+t as (
+  select conv_id, coalesce(role, '') as role, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) - 1 as pos
+  from conversations where conv_id is not null),
+own as (select conv_id, count(*) as n from t group by 1),
+c as (
+  select conv_id, n, conv_id - conv_id % 5 as base,
+    xor(list_reduce(list_prepend(4294967295, list_transform(string_split(cast(conv_id as varchar), ''), lambda x: cast(ascii(x) as bigint))), lambda a, b: xor(a >> 8, crcs[(xor(a, b) & 255) + 1])), 4294967295) % 9 as head
+  from own, crc),
+r as (
+  select c.conv_id, pos + 1 as depth, role, text from c join t on t.conv_id = base and pos < head
+  union all select conv_id, pos - head + least(head, coalesce(b.n, 0)) + 1, role, text from c join t using (conv_id) left join own b on b.conv_id = base where pos >= head),
+p as (
+  select conv_id, depth, strlen(text) as bytes, string_agg(sha256(role) || sha256(text), '') over (partition by conv_id order by depth) as prefix from r
+  union all select conv_id, 0, 0, '' from own),
+m as (select *, min(conv_id) over (partition by depth, prefix) as rep, max(depth) over (partition by conv_id) as size from p),
+node as (
+  select depth, rep, count(*) as n, max(bytes) as bytes, sha256(coalesce(string_agg(conv_id, ',' order by conv_id) filter (depth = size), '')) as ends from m group by depth, rep),
+up as (select node.*, m.rep as parent from node left join m on m.conv_id = node.rep and m.depth = node.depth - 1),
+kids as (select depth - 1 as depth, parent as rep, count(*) as n_children from up where parent is not null group by 1, 2),
+whole as (select up.*, coalesce(n_children, 0) as n_children from up left join kids using (depth, rep)),
+below as (
+  select m.depth, m.rep, count(*) filter (n_children = 0) as n_leaves, sum((n - 1) * z.bytes) as saved
+  from whole z join m on m.conv_id = z.rep and m.depth <= z.depth group by 1, 2)
+select rep as conv_id, cast(depth as bigint) as depth, parent as parent_conv_id, n as n_convs, n_children, n_leaves, cast(saved as bigint) as saved_tokens, ends as ends_sha256 from whole join below using (depth, rep)
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_langid": op1_langid, "op2_jaccard_join": op2_jaccard_join, "op3_bpe": op3_bpe, "op4_chat": op4_chat, "op5_quality_cnn": op5_quality_cnn, "op6_shards": op6_shards, "op7_packing": op7_packing, "op8_span_dedup": op8_span_dedup, "op9_edit_fingerprint": op9_edit_fingerprint, "op10_risk_rules": op10_risk_rules, "op11_hard_negatives": op11_hard_negatives}
+    return {"op1_langid": op1_langid, "op2_jaccard_join": op2_jaccard_join, "op3_bpe": op3_bpe, "op4_chat": op4_chat, "op5_quality_cnn": op5_quality_cnn, "op6_shards": op6_shards, "op7_packing": op7_packing, "op8_span_dedup": op8_span_dedup, "op9_edit_fingerprint": op9_edit_fingerprint, "op10_risk_rules": op10_risk_rules, "op11_hard_negatives": op11_hard_negatives, "op13_prefix_trie": op13_prefix_trie}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat": OP4_SQL, "op11_hard_negatives": OP11_SQL}
+    return {"op4_chat": OP4_SQL, "op11_hard_negatives": OP11_SQL, "op13_prefix_trie": OP13_SQL}
