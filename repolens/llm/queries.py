@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, edit_fingerprint, hard_negatives, jaccard_join, langid, packing, prefix_trie, quality_cnn, risk_rules, shards, span_dedup
+from . import bpe, chat, edit_fingerprint, hard_negatives, jaccard_join, langid, packing, prefix_trie, quality_cnn, risk_rules, shards, span_dedup, toxicity
 from .scratch import Scratch, new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -136,6 +136,13 @@ select anchor_id, positive_id, cast(n as int) as rank, negative_id, positive_sco
 """
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = toxicity.fit(docs, labels.filter(~held_out()))
+    return toxicity.score(docs.withColumn("held_out", held_out()), model, "doc_id", "held_out").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return prefix_trie.trie(rows, "conv_id - conv_id % 5", "crc32(cast(conv_id as string)) % 9", 8)
@@ -175,7 +182,7 @@ select rep as conv_id, cast(depth as bigint) as depth, parent as parent_conv_id,
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_langid": op1_langid, "op2_jaccard_join": op2_jaccard_join, "op3_bpe": op3_bpe, "op4_chat": op4_chat, "op5_quality_cnn": op5_quality_cnn, "op6_shards": op6_shards, "op7_packing": op7_packing, "op8_span_dedup": op8_span_dedup, "op9_edit_fingerprint": op9_edit_fingerprint, "op10_risk_rules": op10_risk_rules, "op11_hard_negatives": op11_hard_negatives, "op13_prefix_trie": op13_prefix_trie}
+    return {"op1_langid": op1_langid, "op2_jaccard_join": op2_jaccard_join, "op3_bpe": op3_bpe, "op4_chat": op4_chat, "op5_quality_cnn": op5_quality_cnn, "op6_shards": op6_shards, "op7_packing": op7_packing, "op8_span_dedup": op8_span_dedup, "op9_edit_fingerprint": op9_edit_fingerprint, "op10_risk_rules": op10_risk_rules, "op11_hard_negatives": op11_hard_negatives, "op12_toxicity": op12_toxicity, "op13_prefix_trie": op13_prefix_trie}
 
 
 def oracle_sql() -> dict[str, str]:
