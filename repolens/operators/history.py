@@ -114,6 +114,47 @@ def tree_versions(roots: DataFrame, entries: DataFrame, modes: tuple[str, ...] =
     return _walk(roots.select(F.col("tree_oid").alias("oid"), F.lit("").alias("path")), entries, modes, (), True).distinct()
 
 
+def reachable_trees(roots: DataFrame, entries: DataFrame) -> DataFrame:
+    """(tree_oid): the distinct trees at or below ``roots`` (tree_oid). Each is expanded once, at whatever paths and below whatever roots it lies."""
+    below = entries.filter(F.col("mode") == TREE).select("tree_oid", "child_oid")
+    level = seen = checkpointed(roots.select("tree_oid").distinct())
+    while not level.isEmpty():
+        found = level.join(below, "tree_oid").select(F.col("child_oid").alias("tree_oid")).distinct()
+        level = checkpointed(found.join(seen, "tree_oid", "left_anti"))
+        seen = seen.unionByName(level)
+    return seen
+
+
+def tree_totals(roots: DataFrame, entries: DataFrame, values: DataFrame, modes: tuple[str, ...] = (PLAIN_FILE,)) -> DataFrame:
+    """(tree_oid, key, total, n) of every distinct tree at or below ``roots``; ``n`` counts the files with a value.
+
+    ``values`` is (name, oid, key, value): what a file's name and content tell, whatever the directory. A tree is summed
+    once, when all trees in it have been, and its sum is what every tree and root above takes: rounds go from the leaves up, as
+    many as trees are nested. A tree that lies in another under two names counts twice. Trees without a valued file have no row.
+    """
+    trees = reachable_trees(roots, entries)
+    inside = entries.join(trees, "tree_oid")
+    files = inside.filter(F.col("mode").isin(*modes)).select("tree_oid", "name", F.col("child_oid").alias("oid")).join(values, ["name", "oid"])
+    own = checkpointed(files.groupBy("tree_oid", "key").agg(F.sum("value").alias("total"), F.count("*").alias("n")))
+    waiting = checkpointed(inside.filter(F.col("mode") == TREE).groupBy("tree_oid", "child_oid").agg(F.count("*").alias("times")))
+    # A tree without trees is done; one that waits is done a round after the last tree in it.
+    ready = checkpointed(trees.join(waiting.select("tree_oid").distinct(), "tree_oid", "left_anti"))
+    ready_totals = checkpointed(own.join(ready, "tree_oid", "left_semi"))
+    handed, done = None, ready_totals
+    while not waiting.isEmpty():
+        finished = ready.withColumnRenamed("tree_oid", "child_oid")
+        met = waiting.join(ready_totals.withColumnRenamed("tree_oid", "child_oid"), "child_oid")
+        up = met.groupBy("tree_oid", "key").agg(F.sum(F.col("total") * F.col("times")).alias("total"), F.sum(F.col("n") * F.col("times")).alias("n"))
+        handed = checkpointed(up if handed is None else handed.unionByName(up).groupBy("tree_oid", "key").agg(F.sum("total").alias("total"), F.sum("n").alias("n")))
+        left = checkpointed(waiting.join(finished, "child_oid", "left_anti"))
+        ready = checkpointed(waiting.select("tree_oid").distinct().join(left.select("tree_oid").distinct(), "tree_oid", "left_anti"))
+        both = own.unionByName(handed).join(ready, "tree_oid", "left_semi")
+        ready_totals = checkpointed(both.groupBy("tree_oid", "key").agg(F.sum("total").alias("total"), F.sum("n").alias("n")))
+        handed = handed.join(ready, "tree_oid", "left_anti")
+        done, waiting = done.unionByName(ready_totals), left
+    return done
+
+
 def directory_rollup(files: DataFrame, value: str, by: tuple[str, ...] = ("chain_pos",)) -> DataFrame:
     """(by, directory, total): ``value`` summed over each directory and all above it; the root is ``.``."""
     parts = F.split("path", "/")

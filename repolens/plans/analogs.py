@@ -316,6 +316,30 @@ def tree_closure_rollup(spark, sf_dir):
     return H.directory_rollup(files, "n", ("tree_oid",)).select("directory", F.col("total").alias("n"))
 
 
+def _shared_tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """20 roots and the entries of their trees: root i has the regions whose key differs from i modulo 5, the first of them under a second name too."""
+    entries = _tree(spark, sf_dir)
+    roots = spark.range(20).select(F.concat(F.lit("root"), "id").alias("tree_oid"), F.col("id"))
+    regions = entries.filter("tree_oid = 'root'").drop("tree_oid").withColumn("k", F.substring("child_oid", 2, 9).cast("int"))
+    own = roots.join(regions, F.pmod("id", F.lit(5)) != F.col("k"))
+    again = own.filter("k = (case when id % 5 = 0 then 1 else 0 end)").withColumn("name", F.concat("name", F.lit(" again")))
+    more = own.unionByName(again).select("tree_oid", "name", "mode", "child_oid")
+    return roots.select("tree_oid"), entries.filter("tree_oid <> 'root'").unionByName(more)
+
+
+@query("""with n as (select 'n' || n_nationkey as oid, n_regionkey as r, c_mktsegment as key, cast(sum(cast(round(c_acctbal * 100) as bigint)) as bigint) as total, count(*) as n from customer join nation on c_nationkey = n_nationkey where round(c_acctbal * 100) <> 0 group by all),
+  r as (select 'r' || r as oid, r, key, cast(sum(total) as bigint) as total, cast(sum(n) as bigint) as n from n group by all),
+  t as (select 'root' || i as oid, key, cast(sum(total * case when r = (case when i % 5 = 0 then 1 else 0 end) then 2 else 1 end) as bigint) as total, cast(sum(n * case when r = (case when i % 5 = 0 then 1 else 0 end) then 2 else 1 end) as bigint) as n
+    from r, range(20) g(i) where r <> i % 5 group by all)
+  select oid as tree_oid, key, total, n from n union all select oid, key, total, n from r union all select * from t""")
+def subtree_totals(spark, sf_dir):
+    """Account balances (in cents) by segment of every tree below 20 roots that share theirs: each distinct tree is summed once."""
+    roots, entries = _shared_tree(spark, sf_dir)
+    customers = read(spark, sf_dir, "customer")
+    values = customers.select(F.col("c_name").alias("name"), F.concat(F.lit("c"), "c_custkey").alias("oid"), F.col("c_mktsegment").alias("key"), F.round(F.col("c_acctbal") * 100).cast("long").alias("value")).filter("value <> 0")
+    return H.tree_totals(roots, entries, values)
+
+
 @query("""select directory, cast(sum(n_chars) as bigint) as total from (select unnest(['.', source, source || '/' || lang]) as directory, n_chars from documents) group by 1""")
 def directory_rollup(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select(F.lit(0).alias("chain_pos"), F.concat_ws("/", "source", "lang", "doc_id").alias("path"), "n_chars")

@@ -208,3 +208,50 @@ def test_delta_interval_and_snapshot_agree(spark, steps):
     steps_ = H.deltas(df).select("chain_pos", F.lit("k").alias("key"), (F.col("sign") * F.col("oid").cast("int")).cast("long").alias("value"), F.col("sign").cast("long").alias("n"))
     totals = {r.chain_pos: r.total for r in H.running_totals(at, steps_).collect()}
     assert totals == {p: sum(s.values()) for p, s in states if s}
+
+
+def test_tree_totals_sum_each_tree_once(spark):
+    """Random nested trees that share subtrees, against a recursive sum; the rows of the result are the distinct trees."""
+    import random
+
+    r = random.Random(5)
+    T, P = H.TREE, H.PLAIN_FILE
+    entries, trees = [], []
+    for i in range(60):
+        oid = f"t{i}"
+        for j in range(r.randrange(0, 4)):
+            entries.append((oid, f"f{j}", r.choice([P, P, "120000"]), f"b{r.randrange(12)}"))
+        for j in range(r.randrange(0, 4) if trees else 0):
+            entries.append((oid, f"d{j}", T, r.choice(trees)))
+        trees.append(oid)
+    roots = ["t59", "t58", "t40", "t3"]
+    value = {(f"f{j}", f"b{k}"): (k - 3, "ab"[k % 2]) for j in range(4) for k in range(12) if (j + k) % 3}
+
+    def total(oid):
+        out = {}
+        for t, name, mode, child in entries:
+            if t == oid and mode == P and (name, child) in value:
+                v, key = value[name, child]
+                a, n = out.get(key, (0, 0))
+                out[key] = (a + v, n + 1)
+            elif t == oid and mode == T:
+                for key, (v, m) in total(child).items():
+                    a, n = out.get(key, (0, 0))
+                    out[key] = (a + v, n + m)
+        return out
+
+    reached, stack = set(), list(roots)
+    while stack:
+        t = stack.pop()
+        if t not in reached:
+            reached.add(t)
+            stack += [c for x, _, m, c in entries if x == t and m == T]
+    want = sorted((t, k, v, n) for t in reached for k, (v, n) in total(t).items())
+    df = spark.createDataFrame(entries, "tree_oid string, name string, mode string, child_oid string")
+    values = spark.createDataFrame([(n, o, k, v) for (n, o), (v, k) in value.items()], "name string, oid string, key string, value long")
+    start = spark.createDataFrame([(t,) for t in [*roots, roots[0], "missing"]], "tree_oid string")
+    got = H.tree_totals(start, df, values)
+    assert sorted(map(tuple, got.select("tree_oid", "key", "total", "n").collect())) == want
+    seen = [x.tree_oid for x in H.reachable_trees(start, df).collect()]
+    assert sorted(seen) == sorted(reached | {"missing"})
+    assert H.tree_totals(start.limit(0), df, values).count() == 0
