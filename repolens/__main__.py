@@ -21,6 +21,7 @@ def parser() -> argparse.ArgumentParser:
     run.add_argument("-s", "--stat", action="append", default=[])
     run.add_argument("-g", "--granularity")
     run.add_argument("--since")
+    run.add_argument("--increments", help="folder of kept sums: only new commits are read")
     one = cmd.add_parser("run-one-off", help="one statistic of a file over a repository")
     one.add_argument("config")
     one.add_argument("repo_path")
@@ -61,7 +62,7 @@ def main(argv: list[str] | None = None) -> int:
             from .operators import tools
             from .plans.engine import Engine
 
-            engine = Engine(_session(), args.root)
+            engine = Engine(_session(), args.root, increments=getattr(args, "increments", None))
             if args.command == "run":
                 print("\n".join(engine.run_many(args.repo, tuple(args.stat), args.granularity, args.since)))
             elif args.command == "run-one-off":

@@ -57,20 +57,32 @@ def live_totals(sampled: DataFrame, valued: DataFrame, width: int = 256) -> Data
     return met.groupBy("chain_pos", F.col("path").alias("key")).agg(F.sum("value").alias("total"))
 
 
-def running_totals(sampled: DataFrame, steps: DataFrame, block: int = 4096) -> DataFrame:
+BLOCK = 4096
+
+
+def block_sums(steps: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(key, block, value, n): the steps (chain_pos, key, value, n) summed over blocks of positions."""
+    return steps.groupBy("key", F.floor(F.col("chain_pos") / block).alias("block")).agg(F.sum("value").alias("value"), F.sum("n").alias("n"))
+
+
+def running_totals(sampled: DataFrame, steps: DataFrame, block: int = BLOCK, blocks: DataFrame | None = None) -> DataFrame:
     """(chain_pos, key, total, n) at each sampled commit, from ``steps`` (chain_pos, key, value, n): what each commit adds.
 
     ``n`` counts files with a value that isn't zero; rows without any are left out. The steps are summed
     per commit and key before. The chain is cut into blocks of positions: sums run within a block,
-    and what all older blocks add is summed apart, over a row for each key and block.
+    and what all older blocks add is summed apart, over a row for each key and block. ``blocks``, if these sums
+    are known, as of ``block_sums``; rows of one key and block add up. Then steps are read in blocks with sampled commits alone.
     """
     summed = steps.groupBy("chain_pos", "key").agg(F.sum("value").alias("value"), F.sum("n").alias("n"))
     of_block = F.floor(F.col("chain_pos") / block).alias("block")
-    blocks = summed.groupBy("key", of_block).agg(F.sum("value").alias("value"), F.sum("n").alias("n"))
     asked = sampled.select(of_block).distinct()
+    if blocks is None:
+        blocks = block_sums(summed, block)
+    else:
+        summed = steps.join(asked, of_block == asked["block"], "left_semi").groupBy("chain_pos", "key").agg(F.sum("value").alias("value"), F.sum("n").alias("n"))
     zero = F.lit(0).cast("long")
-    # Every key has a row in each asked block, so that it has one at each sampled commit there.
-    grid = blocks.select("key").distinct().join(asked).select("key", "block", zero.alias("value"), zero.alias("n"))
+    # Every key has a row in each asked block, so that it has one at each sampled commit there: as many as the result has at least.
+    grid = blocks.select("key").distinct().crossJoin(asked).select("key", "block", zero.alias("value"), zero.alias("n"))
     older = Window.partitionBy("key").orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocks.unionByName(grid).groupBy("key", "block").agg(F.sum("value").alias("value"), F.sum("n").alias("n"))
     offsets = offsets.select("key", "block", F.coalesce(F.sum("value").over(older), F.lit(0)).alias("before"), F.coalesce(F.sum("n").over(older), F.lit(0)).alias("n_before"))

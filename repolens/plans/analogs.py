@@ -206,6 +206,21 @@ def running_totals_at_samples(spark, sf_dir):
     return H.running_totals(days, steps).select(F.date_from_unix_date(-F.col("chain_pos")).alias("d"), "key", "total")
 
 
+@query("""with days as (select distinct date_trunc('month', o_orderdate)::date as d from orders),
+  s as (select d, k from days, (select distinct o_custkey % 50 as k from orders))
+  select s.d, cast(s.k as varchar) as key, cast(count(*) as bigint) as total from s join orders o on o.o_custkey % 50 = s.k and cast(o.o_orderdate as date) <= s.d group by 1, 2""")
+def running_totals_of_segments(spark, sf_dir):
+    """Sums that are kept as a chain grows: three segments of days with their block sums, which add up to those of all days."""
+    orders = read(spark, sf_dir, "orders")
+    steps = orders.select((-F.unix_date(F.col("o_orderdate").cast("date"))).alias("chain_pos"), (F.col("o_custkey") % 50).cast("string").alias("key"), F.lit(1).cast("long").alias("value"), F.lit(1).cast("long").alias("n"))
+    cuts = [-19500, -19000]
+    parts = [steps.filter(F.col("chain_pos") <= cuts[0]), steps.filter((F.col("chain_pos") > cuts[0]) & (F.col("chain_pos") <= cuts[1])), steps.filter(F.col("chain_pos") > cuts[1])]
+    sums = [H.block_sums(p, 64) for p in parts]
+    days = orders.select((-F.unix_date(F.trunc(F.col("o_orderdate").cast("date"), "month"))).alias("chain_pos")).distinct()
+    totals = H.running_totals(days, steps, 64, blocks=sums[0].unionAll(sums[1]).unionAll(sums[2]))
+    return totals.select(F.date_from_unix_date(-F.col("chain_pos")).alias("d"), "key", "total")
+
+
 @query("""with days as (select distinct date_trunc('month', o_orderdate)::date as d from orders)
   select d, count(*) as n_live, cast(sum(l_quantity) as bigint) as quantity from days join
   (select cast(o_orderdate as date) as a, cast(l_shipdate as date) as b, l_quantity from lineitem join orders on l_orderkey = o_orderkey where l_shipdate > o_orderdate) on a <= d and d < b group by d""")

@@ -1,13 +1,15 @@
 """Running statistics over repositories, and detecting tools.
 
-All statistics of a repository share one reading of its changes. Contents are read once for
-each distinct version, and only if a statistic looks at them.
+Contents are read once for each distinct version, and only if a statistic looks at them. With ``snapshots`` all
+statistics of a repository share one reading of its tables; without, each reads its changes again. With
+``increments`` what has been read and summed is kept, and only new commits are read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
+from collections.abc import Callable
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +23,7 @@ from ..operators.measures import Measurement, Script, StatConfig
 from ..operators.reshape import wide
 from ..operators.sampling import Granularity, in_order, sample
 from ..sources import config, results
-from ..sources.git import find_repositories, git, history
+from ..sources.git import contents, find_repositories, git, history
 from .rules import bundled_rules
 
 
@@ -35,12 +37,14 @@ def parse_date(spark: SparkSession, text: str | None) -> datetime | None:
     return datetime.fromtimestamp(got, UTC)
 
 
-def measured(files: DataFrame, contents: DataFrame, measurement: Measurement, path_glob: str | None = None) -> DataFrame:
-    """(path, oid, key, value): each distinct (path, oid) of ``files`` once. ``contents`` is (oid, content)."""
+def measured(files: DataFrame, contents: DataFrame | Callable[[DataFrame], DataFrame], measurement: Measurement, path_glob: str | None = None) -> DataFrame:
+    """(path, oid, key, value): each distinct (path, oid) of ``files`` once. ``contents`` is (oid, content), or gives it for the ids (oid) that are asked for."""
     once = files.select("path", "oid")
     if path_glob:
         once = once.filter(glob_matches(F.col("path"), path_glob))
     once = once.distinct()
+    if measurement.contents and callable(contents):
+        contents = contents(once.select("oid").distinct())
     return measurement.measure(once.join(contents.select("oid", "content").dropDuplicates(["oid"]), "oid") if measurement.contents else once)
 
 
@@ -57,6 +61,11 @@ def series(commits: DataFrame, changes: DataFrame, contents: DataFrame, stat: St
         versions = H.versions(changes)
         values = measured(versions, contents, measurement, stat.path_in_repo)
         totals = H.live_totals(sampled, versions.join(values, ["path", "oid"]).select("key", "value", "from_pos", "to_pos"))
+    return shown(sampled, totals, measurement)
+
+
+def shown(sampled: DataFrame, totals: DataFrame, measurement: Measurement) -> DataFrame:
+    """The rows of ``series``, of totals (chain_pos, key, total) at the sampled commits."""
     totals = measurement.finish(totals.select("chain_pos", "key", "total"))
     if measurement.always:
         every = sampled.select("chain_pos", F.lit(measurement.always).alias("key"))
@@ -80,6 +89,15 @@ def script_series(spark: SparkSession, repo: str, commits: DataFrame, stat: Stat
     return sampled.join(totals, "chain_pos", "left").select(F.col("sha").alias("commit"), F.col("ts").alias("date"), "bucket", "chain_pos", "key", number_text(F.col("total")).alias("value"))
 
 
+def wanted_contents(spark: SparkSession, path: str) -> Callable[[DataFrame], DataFrame]:
+    """Gives the contents of a repository's objects for the ids that are asked for, and reads no others."""
+
+    def read(ids: DataFrame) -> DataFrame:
+        return contents(history(spark, "objects", path).join(ids, "oid").select("repo", "oid", "place"))
+
+    return read
+
+
 def publish(rows: DataFrame) -> DataFrame:
     """The wide table: commit, date, a column for each key; by period, or newest first if unsampled."""
     commits = rows.select("commit", "date", "bucket", "chain_pos").distinct()
@@ -87,17 +105,22 @@ def publish(rows: DataFrame) -> DataFrame:
     return table.select("commit", timestamp_text(F.col("date")).alias("date"), *[f"`{c}`" for c in table.columns if c not in ("commit", "date", "bucket", "chain_pos")])
 
 
+from . import increments  # noqa: E402  it uses the functions above
+
+
 class Engine:
-    def __init__(self, spark: SparkSession, root: str = config.ROOT, snapshots: str | None = None):
+    """``snapshots``: a folder that keeps each repository's tables as of its tip; ``increments``: one that keeps the sums of each statistic, so that only new commits are read."""
+
+    def __init__(self, spark: SparkSession, root: str = config.ROOT, snapshots: str | None = None, increments: str | None = None):
         if spark.conf.get("spark.sql.session.timeZone") != "UTC":
             spark.conf.set("spark.sql.session.timeZone", "UTC")
-        self.spark, self.catalog, self.snapshots = spark, config.Catalog.load(root), snapshots
+        self.spark, self.catalog, self.snapshots, self.increments = spark, config.Catalog.load(root), snapshots, increments
 
     def tables(self, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
         """commits, changes and contents of a repository; from the snapshot of its tip if there is one."""
         names = ("commits", "raw_changes", "blobs")
         if not self.snapshots:
-            return tuple(history(self.spark, t, path) for t in names)
+            return history(self.spark, names[0], path), history(self.spark, names[1], path), wanted_contents(self.spark, path)
         head = git(path, "rev-parse", "HEAD").decode().strip()
         # Each repository has a folder of its own, so that dropping its old tips leaves other repositories' alone.
         folder = f"{self.snapshots.rstrip('/')}/{hashlib.sha256(os.path.realpath(path).encode()).hexdigest()[:16]}"
@@ -108,6 +131,11 @@ class Engine:
 
     def table(self, path: str, stat: StatConfig, granularity: str | None = None, since: str | None = None) -> DataFrame:
         """The wide table of one statistic. What is passed goes before the config, the config before the default, daily."""
+        if self.increments and stat.measurement().whole and not isinstance(stat.measurement(), Script):
+            sums = increments.Sums(self.spark, self.increments, path, stat)
+            sums.update()
+            g = Granularity.parse(granularity if granularity is not None else stat.granularity)
+            return publish(sums.series(g, parse_date(self.spark, since or stat.start), parse_date(self.spark, stat.end)))
         commits, changes, contents = self.tables(path)
         g = Granularity.parse(granularity if granularity is not None else stat.granularity)
         start, end = parse_date(self.spark, since or stat.start), parse_date(self.spark, stat.end)

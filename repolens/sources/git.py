@@ -1,38 +1,45 @@
 """A data source over the history of git repositories: ``spark.read.format("githistory")``.
 
 Options: ``path`` (a folder that all executors can read; ``|`` separates several), ``table``,
-``partitions``. Tables:
+``partitions``, ``since`` (a commit of the chain; only what came after it is read). Tables:
 
 - ``commits``: repo, chain_pos, sha, tree_oid, ts - the first-parent chain, the tip is 0
 - ``raw_changes``: repo, chain_pos, old_mode, old_oid, new_mode, new_oid, path - against the first parent
-- ``objects``: repo, oid, kind, size - trees and blobs
-- ``tree_entries``: repo, tree_oid, name, mode, kind, child_oid
-- ``blobs``: repo, oid, content
+- ``objects``: repo, oid, kind, size, place - trees and blobs, with their place in git's own order of its packs
 - ``repo_files``: repo_path, file_pos, path - the index, in its order
 
-Chains are read in slices, objects by the first digits of their id, each by a process of
-the partition's own. Contents are a table apart, so nothing reads them that needn't.
+Chains are read in slices of bounded length, as streams. Objects are listed once, and read by
+``contents``: only those asked for, in ranges of their place, so that a task reads its packs from front to back. On
+top of it ``history`` offers two tables more:
+
+- ``tree_entries``: repo, tree_oid, name, mode, kind, child_oid
+- ``blobs``: repo, oid, content
 """
 
 from __future__ import annotations
 
 import os
 import subprocess
+import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import UTC, datetime
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMAS = {
     "commits": "repo string, chain_pos int, sha string, tree_oid string, ts timestamp",
     "raw_changes": "repo string, chain_pos int, old_mode string, old_oid string, new_mode string, new_oid string, path string",
-    "objects": "repo string, oid string, kind string, size long",
-    "tree_entries": "repo string, tree_oid string, name string, mode string, kind string, child_oid string",
-    "blobs": "repo string, oid string, content binary",
+    "objects": "repo string, oid string, kind string, size long, place long",
     "repo_files": "repo_path string, file_pos int, path string",
 }
+ENTRY = "repo string, tree_oid string, name string, mode string, kind string, child_oid string"
+CONTENT = "repo string, oid string, content binary"
+#: The most commits of a slice, and the bytes that a batch of contents gathers.
+SLICE, BATCH = 2000, 4 << 20
 
 
 def git(repo: str, *args: str, data: bytes | None = None) -> bytes:
@@ -74,69 +81,139 @@ class Slice(InputPartition):
     repo: str
     start: int = 0
     stop: int = 0
-    prefixes: tuple[str, ...] = ()
+    since: str | None = None
 
 
 def _text(b: bytes) -> str:
     return b.decode("utf-8", "replace")
 
 
-def _chain(repo: str, s: Slice, fmt: str) -> bytes:
-    return git(repo, "log", "--first-parent", f"--skip={s.start}", f"--max-count={s.stop - s.start}", f"--format={fmt}", "HEAD")
+def _range(since: str | None) -> list[str]:
+    return ["HEAD", *([f"^{since}"] if since else [])]
+
+
+def _chain(s: Slice, fmt: str) -> bytes:
+    return git(s.repo, "log", "--first-parent", f"--skip={s.start}", f"--max-count={s.stop - s.start}", f"--format={fmt}", *_range(s.since))
 
 
 def _commits(s: Slice) -> Iterator[tuple]:
-    for i, line in enumerate(_chain(s.repo, s, "%H %T %ct").decode().splitlines()):
+    for i, line in enumerate(_chain(s, "%H %T %ct").decode().splitlines()):
         sha, tree, ts = line.split()
         yield s.repo, s.start + i, sha, tree, datetime.fromtimestamp(int(ts), UTC)
 
 
+def _tokens(stream) -> Iterator[bytes]:
+    """What lies between zero bytes, as it comes."""
+    rest = b""
+    while block := stream.read(1 << 16):
+        *whole, rest = (rest + block).split(b"\0")
+        yield from whole
+    if rest:
+        yield rest
+
+
 def _raw_changes(s: Slice) -> Iterator[tuple]:
     # A commit and, named as its only one, its first parent; a root has none.
-    pairs = [line.split()[:2] for line in _chain(s.repo, s, "%H %P").decode().splitlines()]
+    pairs = [line.split()[:2] for line in _chain(s, "%H %P").decode().splitlines()]
     at = {p[0]: s.start + i for i, p in enumerate(pairs)}
-    out = git(s.repo, "diff-tree", "--stdin", "-r", "--root", "-m", "--raw", "-z", "--no-renames", "--no-abbrev", data="".join(f"{' '.join(p)}\n" for p in pairs).encode())
-    pos, tokens = -1, iter(out.split(b"\0"))
-    for t in tokens:
-        if t.startswith(b":"):
-            old_mode, new_mode, old, new, _ = t[1:].decode().split(" ")
-            yield s.repo, pos, old_mode, old, new_mode, new, _text(next(tokens))
-        elif t.strip():
-            pos = at[t.decode().split()[0]]
-
-
-def _listed(s: Slice, kinds: tuple[str, ...]) -> Iterator[tuple[str, str, int]]:
-    with subprocess.Popen(["git", "-C", s.repo, "cat-file", "--batch-all-objects", "--batch-check=%(objectname) %(objecttype) %(objectsize)"], stdout=subprocess.PIPE) as p:
-        for line in p.stdout:
+    with tempfile.TemporaryFile() as asked:
+        asked.write("".join(f"{' '.join(p)}\n" for p in pairs).encode())
+        asked.seek(0)
+        with subprocess.Popen(["git", "-C", s.repo, "diff-tree", "--stdin", "-r", "--root", "-m", "--raw", "-z", "--no-renames", "--no-abbrev"], stdin=asked, stdout=subprocess.PIPE) as p:
+            pos, tokens = -1, _tokens(p.stdout)
+            for t in tokens:
+                if t.startswith(b":"):
+                    old_mode, new_mode, old, new, _ = t[1:].decode().split(" ")
+                    yield s.repo, pos, old_mode, old, new_mode, new, _text(next(tokens))
+                elif t.strip():
+                    pos = at[t.decode().split()[0]]
+        if p.returncode:
+            raise OSError(f"git diff-tree failed in {s.repo}")
+
+
+def _objects(s: Slice) -> Iterator[tuple]:
+    with subprocess.Popen(["git", "-C", s.repo, "cat-file", "--batch-all-objects", "--unordered", "--batch-check=%(objectname) %(objecttype) %(objectsize)"], stdout=subprocess.PIPE) as p:
+        for place, line in enumerate(p.stdout):
             oid, kind, size = line.decode().split()
-            if kind in kinds and oid.startswith(s.prefixes):
-                yield oid, kind, int(size)
-
-
-def _contents(s: Slice, kind: str) -> Iterator[tuple[str, bytes]]:
-    """Objects one at a time: a request is written, its content is read."""
-    with subprocess.Popen(["git", "-C", s.repo, "cat-file", "--batch"], stdin=subprocess.PIPE, stdout=subprocess.PIPE) as p:
-        for oid, _, _ in _listed(s, (kind,)):
-            p.stdin.write(oid.encode() + b"\n")
-            p.stdin.flush()
-            size = int(p.stdout.readline().split()[2])
-            yield oid, p.stdout.read(size)
-            p.stdout.read(1)
-        p.stdin.close()
-
-
-def _tree_entries(s: Slice) -> Iterator[tuple]:
-    for tree, raw in _contents(s, "tree"):
-        at = 0
-        while at < len(raw):
-            nul = raw.index(b"\0", at)
-            mode, name = raw[at:nul].split(b" ", 1)
-            width = len(tree) // 2
-            child = raw[nul + 1 : nul + 1 + width].hex()
-            mode_ = mode.decode().zfill(6)
-            kind = {"040000": "tree", "160000": "commit"}.get(mode_, "blob")
-            yield s.repo, tree, _text(name), mode_, kind, child
-            at = nul + 1 + width
+            if kind in ("tree", "blob"):
+                yield s.repo, oid, kind, int(size), place
+
+
+class _Reader:
+    """Objects of a repository, one at a time: a request is written, its content is read."""
+
+    def __init__(self, repo: str):
+        self.process = subprocess.Popen(["git", "-C", repo, "cat-file", "--batch"], stdin=subprocess.PIPE, stdout=subprocess.PIPE)
+
+    def read(self, oid: str) -> bytes | None:
+        self.process.stdin.write(oid.encode() + b"\n")
+        self.process.stdin.flush()
+        head = self.process.stdout.readline().split()
+        if len(head) < 3:
+            return None
+        content = self.process.stdout.read(int(head[2]))
+        self.process.stdout.read(1)
+        return content
+
+    def close(self) -> None:
+        self.process.stdin.close()
+        self.process.wait()
+
+
+def _read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    reader, repo = None, None
+    rows, size = ([], [], []), 0
+    try:
+        for b in batches:
+            for own, oid in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if own != repo:
+                    if reader:
+                        reader.close()
+                    reader, repo = _Reader(own), own
+                content = reader.read(oid)
+                if content is None:
+                    continue
+                for column, value in zip(rows, (own, oid, content), strict=True):
+                    column.append(value)
+                size += len(content) + 100
+                if size >= BATCH:
+                    yield pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1]), pa.array(rows[2], pa.binary())], ["repo", "oid", "content"])
+                    rows, size = ([], [], []), 0
+        if rows[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1]), pa.array(rows[2], pa.binary())], ["repo", "oid", "content"])
+    finally:
+        if reader:
+            reader.close()
+
+
+def contents(objects: DataFrame) -> DataFrame:
+    """(repo, oid, content) of ``objects`` (repo, oid and, if it is known, place): these and no others are read; missing ones have no row.
+
+    With ``place`` each task has a range of it, and reads in its order; else objects are dealt out by id.
+    """
+    if "place" in objects.columns:
+        laid = objects.repartitionByRange("repo", "place").sortWithinPartitions("repo", "place")
+    else:
+        laid = objects.repartition("repo", "oid").sortWithinPartitions("repo", "oid")
+    return laid.select("repo", "oid").mapInArrow(_read_batches, CONTENT)
+
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["repo", "tree_oid", "name", "mode", "kind", "child_oid"]
+    for b in batches:
+        rows = [(repo, tree, *e) for repo, tree, raw in zip(*(c.to_pylist() for c in b.columns), strict=True) for e in _tree(tree, raw)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*rows, strict=True) if rows else [[]] * len(names))], names)
+
+
+def _tree(tree: str, raw: bytes) -> Iterator[tuple[str, str, str, str]]:
+    """(name, mode, kind, child's id) of the entries of a tree object."""
+    at, width = 0, len(tree) // 2
+    while at < len(raw):
+        nul = raw.index(b"\0", at)
+        mode, name = raw[at:nul].split(b" ", 1)
+        mode_ = mode.decode().zfill(6)
+        yield _text(name), mode_, {"040000": "tree", "160000": "commit"}.get(mode_, "blob"), raw[nul + 1 : nul + 1 + width].hex()
+        at = nul + 1 + width
 
 
 def _repo_files(s: Slice) -> Iterator[tuple]:
@@ -144,14 +221,7 @@ def _repo_files(s: Slice) -> Iterator[tuple]:
         yield s.repo, i, _text(path)
 
 
-READERS = {
-    "commits": _commits,
-    "raw_changes": _raw_changes,
-    "objects": lambda s: ((s.repo, *x) for x in _listed(s, ("tree", "blob"))),
-    "tree_entries": _tree_entries,
-    "blobs": lambda s: ((s.repo, *x) for x in _contents(s, "blob")),
-    "repo_files": _repo_files,
-}
+READERS = {"commits": _commits, "raw_changes": _raw_changes, "objects": _objects, "repo_files": _repo_files}
 
 
 class GitReader(DataSourceReader):
@@ -159,19 +229,17 @@ class GitReader(DataSourceReader):
         self.table = options["table"]
         self.repos = options["path"].split("|")
         self.parts = int(options.get("partitions", 8))
+        self.since = options.get("since")
 
     def partitions(self) -> list[Slice]:
         out = []
         for repo in self.repos:
-            if self.table == "repo_files":
+            if self.table in ("repo_files", "objects"):
                 out.append(Slice(repo))
-            elif self.table in ("commits", "raw_changes"):
-                n = int(git(repo, "rev-list", "--first-parent", "--count", "HEAD"))
-                step = max(1, -(-n // self.parts))
-                out += [Slice(repo, a, min(a + step, n)) for a in range(0, n, step)]
             else:
-                digits = [f"{i:02x}" for i in range(256)]
-                out += [Slice(repo, prefixes=tuple(digits[i :: self.parts])) for i in range(min(self.parts, 256))]
+                n = int(git(repo, "rev-list", "--first-parent", "--count", *_range(self.since)))
+                step = min(SLICE, max(1, -(-n // self.parts)))
+                out += [Slice(repo, a, min(a + step, n), self.since) for a in range(0, n, step)]
         return out
 
     def read(self, partition: Slice) -> Iterator[tuple]:
@@ -193,7 +261,22 @@ class GitHistory(DataSource):
         return GitReader(self.options)
 
 
-def history(spark: SparkSession, table: str, *repos: str, partitions: int = 8) -> DataFrame:
-    """A table of one or several repositories."""
+def history(spark: SparkSession, table: str, *repos: str, partitions: int = 8, since: str | None = None) -> DataFrame:
+    """A table of one or several repositories; ``blobs`` and ``tree_entries`` read all contents or trees."""
+    if table in ("blobs", "tree_entries"):
+        kind = table[:4]
+        read = contents(history(spark, "objects", *repos).filter(F.col("kind") == kind))
+        return read if kind == "blob" else read.mapInArrow(_entries, ENTRY)
     spark.dataSource.register(GitHistory)
-    return spark.read.format("githistory").option("path", "|".join(repos)).option("table", table).option("partitions", partitions).load()
+    out = spark.read.format("githistory").option("path", "|".join(repos)).option("table", table).option("partitions", partitions)
+    return (out.option("since", since) if since else out).load()
+
+
+def follows(repo: str, old: str) -> bool:
+    """Whether a commit is still one of the first-parent chain of the tip."""
+    if subprocess.run(["git", "-C", repo, "cat-file", "-e", f"{old}^{{commit}}"], capture_output=True).returncode:
+        return False
+    last = git(repo, "log", "--first-parent", "--format=%H %P", *_range(old)).decode().splitlines()[-1:]
+    if not last:
+        return git(repo, "rev-parse", "HEAD").decode().strip() == old
+    return last[0].split()[1:2] == [old]

@@ -62,6 +62,16 @@ def read_snapshot(spark: SparkSession, folder: str, head: str, name: str) -> Dat
     return spark.read.parquet(f"{path}/{name}") if fs.exists(marker) else None
 
 
+def snapshots(spark: SparkSession, folder: str) -> list[str]:
+    """The names of the valid snapshots of a folder, in order."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(top):
+        return []
+    names = sorted(s.getPath().getName() for s in fs.listStatus(top))
+    return [n for n in names if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_complete/_SUCCESS"))]
+
+
 def drop_other_snapshots(spark: SparkSession, folder: str, head: str) -> None:
     top = spark._jvm.org.apache.hadoop.fs.Path(folder)
     fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
