@@ -30,9 +30,11 @@ def number_text(x: Column) -> Column:
     """A number as text: whole ones without a point, others in full and without an exponent; zero has no sign."""
     d = x.cast("double")
     short = d.cast("string")
-    # The shortest digits, with the point moved to where the exponent says.
-    digits = F.regexp_replace(F.regexp_replace(F.regexp_extract(short, r"([\d.]+)E", 1), r"\.0$", ""), r"\.", "")
-    exponent = F.regexp_extract(short, r"E(-?\d+)", 1).try_cast("int")
+    # The shortest digits that give the number back: the runtime's own may be one too many. Then the point is moved to where the exponent says.
+    fewer = [F.format_string(f"%.{n}e", d) for n in (14, 15)]
+    best = F.coalesce(*[F.when(f.try_cast("double") == d, F.upper(f)) for f in fewer], F.when(short.contains("E"), short).otherwise(F.upper(F.format_string("%.16e", d))))
+    digits = F.regexp_replace(F.regexp_replace(F.regexp_extract(best, r"([\d.]+)E", 1), r"\.", ""), r"(?<=\d)0+$", "")
+    exponent = F.regexp_extract(best, r"E([+-]?\d+)", 1).try_cast("int")
     whole = F.concat(F.substring(digits, F.lit(1), exponent + 1), F.when(F.length(digits) > exponent + 1, F.concat(F.lit("."), F.substring(digits, exponent + 2, F.length(digits)))).otherwise(F.repeat(F.lit("0"), exponent + 1 - F.length(digits))))
     plain = F.concat(F.when(d < 0, "-").otherwise(""), F.when(exponent < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)).otherwise(whole))
     return (
@@ -40,7 +42,7 @@ def number_text(x: Column) -> Column:
         .when(d == 0, F.lit("0"))
         .when(F.abs(d) == float("inf"), F.when(d > 0, F.lit("inf")).otherwise(F.lit("-inf")))
         .when((F.abs(d) < 2.0**53) & (d == F.floor(d)), F.floor(d).cast("long").cast("string"))
-        .when(~short.contains("E"), short)
+        .when(~short.contains("E") & (F.length(F.regexp_replace(short, r"\D", "")) < 16), short)
         .otherwise(plain)
     )
 

@@ -146,6 +146,37 @@ def json_object_merge(spark, sf_dir):
     return pairs.groupBy(F.concat(F.lit("jq_obj_query_._"), "k").alias("key")).agg(F.sum("v").alias("total"))
 
 
+def _json_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JSON file for each event: its properties, a list of numbers that it gives rise to, and its user's name; every seventh has a second document behind it, every eleventh a number beyond the doubles."""
+    events = read(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k").cast("long")
+    text = F.concat(F.lit('{"p":'), "props", F.lit(',"l":['), F.array_join(F.transform(F.sequence(F.lit(0), k % 4), lambda i: (k + i).cast("string")), ","), F.lit('],"u":"u'), F.col("user_id").cast("string"), F.lit('","t":"'), "event_type", F.lit('"'), F.when(F.col("event_id") % 11 == 0, ',"big":1e400').otherwise(""), F.lit("}"), F.when(F.col("event_id") % 7 == 0, " {}").otherwise(""))
+    return events.select("event_id", "event_type", F.encode(text, "UTF-8").alias("content"))
+
+
+_JSON_SQL = """with e as (select event_id, event_type, user_id, cast(json_extract(props, '$.k') as bigint) as k, event_id % 7 <> 0 and event_id % 11 <> 0 as good from events),
+  v as (select event_id, event_type, case when good then cast(VALUE as double) end as v from e)
+  select event_type, count(v) as n_files, sum(v) as total from v group by event_type"""
+
+
+def _json_query(name: str, filter_: str, sql: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        value = number(F.col("content"), filter_)
+        return _json_files(spark, sf_dir).select("event_type", value.alias("v")).groupBy("event_type").agg(F.count("v").alias("n_files"), F.sum("v").alias("total"))
+
+    run.__name__ = name
+    query(_JSON_SQL.replace("VALUE", sql))(run)
+
+
+_json_query("jq_map_add", ".l | map(. * 2 + 1) | add", "(2 * k + 1) * (k % 4 + 1) + (k % 4) * (k % 4 + 1)")
+_json_query("jq_select_length", "[.l[] | select(. % 2 == 0)] | length", "len(list_filter(range(k, k + k % 4 + 1), lambda x: x % 2 = 0))")
+_json_query("jq_to_entries", ".p | to_entries | map(select(.key == \"k\" and .value > 50)) | length", "case when k > 50 then 1 else 0 end")
+_json_query("jq_alternative", "(.p.missing // .p.k) - .l[-1]", "-(k % 4)")
+_json_query("jq_several_outputs", ".l[]", "case when k % 4 = 0 then k else 0 end")
+_json_query("jq_condition_object", "if .t == \"click\" then {n: .l[0], m: 1} | .n + .m else (.u | length) end", "case when event_type = 'click' then k + 1 else length('u' || user_id) end")
+_json_query("jq_runtime_error", ".u + 1", "0")
+
+
 @query("""select lang, cast(sum(len(list_filter(l, lambda x: regexp_full_match(x, '\\s*')))) as bigint) as blanks, cast(sum(len(list_filter(l, lambda x: not regexp_full_match(x, '\\s*')))) as bigint) as code
   from (select lang, string_split(case when ends_with(text, chr(10)) then left(text, length(text) - 1) else text end, chr(10)) as l from documents where text <> '') group by lang""")
 def loc_blank_code_by_group(spark, sf_dir):
@@ -362,7 +393,7 @@ def directory_rollup(spark, sf_dir):
 
 
 @query("""select oid, cast(sum(s) as bigint) as signs from (select o_orderpriority as oid, -1 as s from orders union all select cast(o_custkey as varchar), 1 from orders) group by 1""")
-def union_distinct(spark, sf_dir):
+def change_signs(spark, sf_dir):
     """Old and new versions of changes as one set, each with its signs added up."""
     orders = read(spark, sf_dir, "orders")
     plain = F.lit(H.PLAIN_FILE)
@@ -370,14 +401,14 @@ def union_distinct(spark, sf_dir):
     return H.deltas(changes).groupBy("oid").agg(F.sum("sign").alias("signs"))
 
 
-_DATES = ("2024-01-02 03:04:05 +0200", "2024-01-02 03:04:05", "2024-01-02", "nonsense", "2024-13-01")
-
-
-@query("""select x, strftime(coalesce(try_strptime(x, '%Y-%m-%d %H:%M:%S %z')::timestamptz at time zone 'UTC', try_strptime(x, '%Y-%m-%d %H:%M:%S')::timestamp, try_strptime(x, '%Y-%m-%d')::timestamp), '%Y-%m-%d %H:%M:%S') as t
-  from (values DATES) v(x)""".replace("DATES", ", ".join(f"('{d}')" for d in _DATES)))
+@query("""with x as (select event_id, case event_id % 5 when 0 then strftime(ts, '%Y-%m-%d %H:%M:%S') || ' +0200' when 1 then strftime(ts, '%Y-%m-%d %H:%M:%S') when 2 then strftime(ts, '%Y-%m-%d') when 3 then event_type else strftime(ts, '%Y-13-%d') end as x, ts from events)
+  select event_id, x, strftime(case event_id % 5 when 0 then date_trunc('second', ts) - interval 2 hour when 1 then date_trunc('second', ts) when 2 then date_trunc('day', ts) end, '%Y-%m-%d %H:%M:%S') as t from x""")
 def loose_datetime_forms(spark, sf_dir):
-    rows = spark.createDataFrame([(d,) for d in _DATES], "x string")
-    return rows.select("x", F.date_format(loose_datetime(F.col("x")), "yyyy-MM-dd HH:mm:ss").alias("t"))
+    """Times of events, written in each form, and as what is no date."""
+    events, form = read(spark, sf_dir, "events"), lambda f: F.date_format("ts", f)
+    kind = F.col("event_id") % 5
+    x = F.when(kind == 0, F.concat(form("yyyy-MM-dd HH:mm:ss"), F.lit(" +0200"))).when(kind == 1, form("yyyy-MM-dd HH:mm:ss")).when(kind == 2, form("yyyy-MM-dd")).when(kind == 3, F.col("event_type")).otherwise(form("yyyy-'13'-dd"))
+    return events.select("event_id", x.alias("x")).select("event_id", "x", F.date_format(loose_datetime(F.col("x")), "yyyy-MM-dd HH:mm:ss").alias("t"))
 
 
 @query("select event_id, case when event_id % 3 = 0 then null when event_id % 3 = 1 then cast(event_id as double) else cast(event_id as double) / 2 end as v from events")
@@ -402,18 +433,31 @@ def entries_distinct(spark, sf_dir):
     return measured(files, none, FileCount(pattern="src/*.rs"), "src/*i*.rs").select("path", "oid", "value")
 
 
-@query("""select * from (values (1e21, '1000000000000000000000'), (-1e25, '-10000000000000000000000000'), (1.5e22, '15000000000000000000000'), (1e-20, '0.00000000000000000001'), (-1.25e-7, '-0.000000125'), (12345678.5, '12345678.5'), (0.1, '0.1'), (-0.0, '0'), (3.0, '3')) v(x, t)""")
+@query("""select event_id, k, case event_id % 4 when 0 then k || repeat('0', 21) when 1 then '-' || k || repeat('0', 20)
+    when 2 then '0.' || repeat('0', 17) || k else '-' || (k // 4) || case k % 4 when 0 then '' when 1 then '.25' when 2 then '.5' else '.75' end end as t
+  from (select event_id, cast(json_extract(props, '$.k') as bigint) as k from events) where k % 10 <> 0 and k > 10""")
 def number_display_extremes(spark, sf_dir):
-    """Numbers in full, whatever their size."""
-    rows = spark.createDataFrame([(x,) for x in (1e21, -1e25, 1.5e22, 1e-20, -1.25e-7, 12345678.5, 0.1, -0.0, 3.0)], "x double")
-    return rows.select("x", number_text(F.col("x")).alias("t"))
-
-
-@query("""select doc, k, cast(v as bigint) as v from (values ('{"a":"5","b":5}', 'b', 5), ('{"a":1.0,"b":1.5,"c":-1,"d":null,"e":[1],"f":true,"g":7}', 'a', 1), ('{"a":1.0,"b":1.5,"c":-1,"d":null,"e":[1],"f":true,"g":7}', 'g', 7)) t(doc, k, v)""")
+    """Numbers in full, whatever their size: two digits with 21 or 20 zeros, or behind 17 places, and quarters."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    rows = read(spark, sf_dir, "events").select("event_id", k.alias("k")).filter("k % 10 <> 0 and k > 10")
+    exponent = F.when(F.col("event_id") % 4 == 0, "e21").when(F.col("event_id") % 4 == 1, "e20").otherwise("e-19")
+    text = F.concat(F.when(F.col("event_id") % 4 == 1, "-").otherwise(""), F.col("k").cast("string"), exponent)
+    x = F.when(F.col("event_id") % 4 == 3, -F.col("k") / 4).otherwise(text.cast("double"))
+    return rows.select("event_id", "k", number_text(x).alias("t"))
+
+
+@query("""with e as (select event_id, user_id, cast(json_extract(props, '$.k') as bigint) as k from events)
+  select event_id, unnest(['a', 'c', 'k']) as k, unnest([k, 9223372036854775807, user_id]) as v from e where k % 3 = 0
+  union all select event_id, unnest(['c', 'k']), unnest([9223372036854775807, user_id]) from e where k % 3 = 1""")
 def json_object_numbers_only(spark, sf_dir):
-    """Strings of digits, fractions, negative numbers and values of other kinds are left out."""
-    docs = spark.createDataFrame([('{"a":"5","b":5}',), ('{"a":1.0,"b":1.5,"c":-1,"d":null,"e":[1],"f":true,"g":7}',), ("[1]",), ("no json",)], "doc string")
-    return docs.select("doc", F.explode(object_counts(F.encode("doc", "UTF-8"), ".")).alias("k", "v"))
+    """Strings of digits, fractions, negative numbers, those that no long holds and values of other kinds are left out; of equal keys the last counts; what is no object has none."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    rows = read(spark, sf_dir, "events").select("event_id", "user_id", k.alias("n"))
+    text = lambda c: F.col(c).cast("string")
+    head = F.when(F.col("n") % 3 == 0, F.concat(F.lit('"a":'), text("n"), F.lit(".0"))).otherwise(F.concat(F.lit('"a":"'), text("n"), F.lit('"')))
+    whole = F.concat(F.lit("{"), head, F.lit(',"b":-1,"c":9223372036854775807,"d":9223372036854775808,"e":[1],"f":true,"g":null,"h":1.5,"k":0,"k":'), text("user_id"), F.lit("}"))
+    doc = F.when(F.col("n") % 3 == 2, F.concat(F.lit("["), text("n"), F.lit("]"))).otherwise(whole)
+    return rows.select("event_id", F.explode(object_counts(F.encode(doc, "UTF-8"), ".")).alias("k", "v"))
 
 
 def _history(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -88,7 +88,7 @@ def test_json_queries(spark):
     assert run("keys | length", '{"a": 1, "b": 2}') == [2]
     assert run(".", "3", "[3]") == [3, 0]
     assert run(".d", '{"d": {"a": 1, "b": -1, "c": 2.0, "e": 1.5, "f": "x"}}', "{}", fn=J.object_counts) == [{"a": 1, "c": 2}, None]
-    for bad in (".[]", "map(.a)", ".a | keys | add", ".[-1]"):
+    for bad in ("..", "def f: 1; f", ".a[1:2]", "reduce .[] as $x (0; .)"):
         with pytest.raises(J.Unsupported):
             run(bad, "{}")
 
