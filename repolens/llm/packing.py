@@ -49,7 +49,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 #: Texts with longer runs of white space are encoded by the tokenizers library.
 LONG_SPACE = 100_000
-SPACES = re.compile(rf"\s{{{LONG_SPACE}}}")
+SPACES = re.compile(r"\s+")
 
 
 class ByteEncoder:
@@ -80,7 +80,7 @@ class ByteEncoder:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if len(text) > LONG_SPACE and SPACES.search(text):
+        if len(text) >= LONG_SPACE and any(m.end() - m.start() >= LONG_SPACE for m in SPACES.finditer(text)):
             if self.library is None:
                 from tokenizers import Tokenizer
 

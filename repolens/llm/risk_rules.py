@@ -1,13 +1,13 @@
 """Quality rules whose cutoffs carry a guarantee (operator 10).
 
 Each rule compares one statistic of a document with a cutoff. The cutoffs are not
-guessed: for every stratum (a language) and rule, labelled holdout documents decide.
-A cutoff may be used only if an exact binomial (Clopper-Pearson) upper bound on its
-false rejection rate, among documents labelled good, is at most ``alpha``. The bounds
-hold at the same time for all rules and cutoffs that are tried in all strata: the
-error ``delta`` is divided by their number (Bonferroni). Of the cutoffs that pass, the
-strictest is taken; a stratum or rule with too few labels gets none, and rejects none. Nor
-does a rule that rejects hardly any of the documents labelled bad: it could only do harm.
+guessed: for every stratum (a language), labelled holdout documents decide. What is certified is a
+configuration, a cutoff or none for each rule, as a document is rejected if any of its rules rejects it: an exact
+binomial (Clopper-Pearson) upper bound on the share of good documents that the configuration rejects is
+at most ``alpha``. The bounds hold at the same time for all configurations of all
+strata: the error ``delta`` is divided by their number (Bonferroni), so any may be chosen by looking at the labels. Beginning without
+rules, the cutoff is added or tightened that rejects the most further bad documents, the strictest of equal ones, as long as the whole is
+certified and the gain is at least ``power`` of the bad. A stratum with too few labels gets no rules, and rejects none beyond the base rules.
 
 Rows: nulls in text count as no words; rows whose stratum is null are a stratum of their own.
 A stratum without a certificate, an unseen one among them, is under the base rules alone. Repeated rows and
@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import exp, lgamma, log, log1p
+from math import exp, lgamma, log, log1p, prod
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +44,7 @@ GRID = {
 
 @dataclass(frozen=True)
 class Policy:
-    """``alpha``: the largest false rejection rate of a rule in a stratum; ``delta``: the chance that any bound fails; ``power``: the least share of bad documents that a rule must reject to be used."""
+    """``alpha``: the largest false rejection rate of all rules of a stratum together; ``delta``: the chance that any bound fails; ``power``: the least share of bad documents by which a step must reject more."""
 
     alpha: float = 0.01
     delta: float = 0.05
@@ -142,6 +142,17 @@ def text_counts(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
     return rows.mapInArrow(count, schema)
 
 
+def counts_of(text: Column) -> Column:
+    """The counts of a text as a struct, for rows whose other columns are to stay out of Python."""
+
+    @F.arrow_udf(StructType([StructField(c, LongType()) for c in COUNTS]))
+    def count(texts: pa.Array) -> pa.Array:
+        parts = [_counts(b.column(0)) for b in slices(pa.RecordBatch.from_arrays([texts], ["text"]), "text")]
+        return pa.StructArray.from_arrays([pa.array(np.concatenate([p[c] for p in parts] or [np.zeros(0)]).astype(np.int64)) for c in COUNTS], [*COUNTS])
+
+    return count(text)
+
+
 def statistics() -> dict[str, Column]:
     """The statistics that the rules compare, over the counts."""
     ratio = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
@@ -158,31 +169,54 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
+def choose(levels: np.ndarray, good: np.ndarray, bad: np.ndarray, most: int, power: float) -> dict[str, float]:
+    """Cutoffs by rule that reject ``most`` good documents at most, all rules together.
+
+    ``levels``: kinds of documents x rules, how many of a rule's cutoffs they exceed; ``good`` and ``bad`` count documents of each kind.
+    """
+    cuts = list(GRID.items())
+    chosen = [len(c) for _, c in cuts]  # no rule exceeds as many cutoffs
+    rejected = np.zeros(len(levels), bool)
+    while True:
+        steps = []
+        for r in range(len(cuts)):
+            for j in range(chosen[r]):
+                more = rejected | (levels[:, r] > j)
+                if good[more].sum() <= most and bad[more].sum() - bad[rejected].sum() >= max(power * bad.sum(), 1):
+                    steps.append((-bad[more].sum(), good[more].sum(), r, j))
+        if not steps:
+            return {cuts[r][0]: cuts[r][1][j] for r, j in enumerate(chosen) if j < len(cuts[r][1])}
+        *_, r, j = min(steps)
+        chosen[r] = j
+        rejected |= levels[:, r] > j
+
+
 def calibrate(counts: DataFrame, labels: DataFrame, stratum: str | None, policy: Policy = Policy(), doc_id: str = "doc_id", quality: str = "quality") -> dict[str | None, dict[str, float]]:
     """Cutoffs by stratum and rule, from all labelled documents that pass the base rules; without ``stratum`` all rows are the stratum None.
 
-    What reaches the driver is one row for each stratum and no documents. Strata of fewer
-    good labels than could ever certify a cutoff have no cutoffs, and no row there.
+    What reaches the driver is a count for each stratum and, of those with enough labels, for each
+    combination of cutoffs that documents exceed, of which there are as many as configurations at most. Strata of fewer
+    good labels than could ever certify a configuration have no cutoffs, and no row there.
     """
     known = labels.filter(F.col(quality).isin(0, 1)).select(F.col(doc_id).alias("__id"), F.col(quality).alias("__good")).distinct()
-    stats = counts.filter(~base_failed()).select(F.col(doc_id).alias("__id"), (F.col(stratum) if stratum else F.lit(None)).cast("string").alias("stratum"), *[c.alias(k) for k, c in statistics().items()])
-    tried = [(k, cut) for k, cuts in GRID.items() for cut in cuts]
-    good, bad = F.col("__good") == 1, F.col("__good") == 0
-    failed = [F.count_if(good).alias("n"), F.count_if(bad).alias("bad")]
-    for i, (k, cut) in enumerate(tried):
-        failed += [F.count_if(good & (F.col(k) > cut)).alias(f"f{i}"), F.count_if(bad & (F.col(k) > cut)).alias(f"b{i}")]
-    by = stats.join(known, "__id").groupBy("stratum").agg(*failed)
-    least = int(log(policy.delta / len(tried)) / log1p(-policy.alpha))
-    groups = {r["stratum"]: r for r in by.filter(F.col("n") >= least).collect()}
-    share = policy.delta / max(1, len(groups) * len(tried))
+    own = (F.col(stratum) if stratum else F.lit(None)).cast("string")
+    level = [sum((c > cut).cast("int") for cut in GRID[k]).alias(k) for k, c in statistics().items()]
+    stats = counts.filter(~base_failed()).select(F.col(doc_id).alias("__id"), own.alias("stratum"), *level).join(known, "__id")
+    kinds = stats.groupBy("stratum", *GRID).agg(F.count_if(F.col("__good") == 1).alias("good"), F.count_if(F.col("__good") == 0).alias("bad"))
+    tried = prod(len(cuts) + 1 for cuts in GRID.values())
+    least = int(log(policy.delta / tried) / log1p(-policy.alpha))
+    sizes = stats.filter(F.col("__good") == 1).groupBy("stratum").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    size = {r["stratum"]: r["n"] for r in sizes.collect()}
+    share = policy.delta / max(1, len(size) * tried)
+    rows = kinds.join(F.broadcast(sizes.select(F.col("stratum").alias("s"))), F.col("stratum").eqNullSafe(F.col("s")), "left_semi").collect() if size else []
     out: dict[str | None, dict[str, float]] = {}
-    for name, r in groups.items():
-        out[name], done = {}, set()
-        for i, (k, cut) in enumerate(tried):
-            if k not in done and upper_bound(r[f"f{i}"], r["n"], share) <= policy.alpha:
-                done.add(k)
-                if r[f"b{i}"] >= policy.power * max(r["bad"], 1):
-                    out[name][k] = cut
+    for name, n in size.items():
+        most = -1
+        while upper_bound(most + 1, n, share) <= policy.alpha:
+            most += 1
+        mine = [r for r in rows if r["stratum"] == name]
+        levels = np.array([[r[k] for k in GRID] for r in mine])
+        out[name] = choose(levels, np.array([r["good"] for r in mine]), np.array([r["bad"] for r in mine]), most, policy.power)
     return out
 
 

@@ -71,6 +71,20 @@ def test_long_white_space_equals_the_library():
         assert np.array_equal(np.frombuffer(enc.encode(t), "<u4"), lib.encode(t, add_special_tokens=False).ids), (t[:2], len(t))
 
 
+def test_many_long_runs_are_measured_in_one_pass():
+    """Runs just below the limit: a text of 5 million characters is looked through in less than a second."""
+    import time
+
+    text = ("a" + " " * 50_000) * 100
+    began = time.perf_counter()
+    assert not any(m.end() - m.start() >= packing.LONG_SPACE for m in packing.SPACES.finditer(text))
+    assert time.perf_counter() - began < 1
+    lib = Tokenizer.from_file(PATH)
+    enc = packing.ByteEncoder(open(PATH, encoding="utf-8").read())
+    for t in (("a" + " " * 50_000) * 4, ("a" + "\n" * 99_999) * 3, "a" + " " * 99_999, " " * 100_000 + "b" + " " * 99_999):
+        assert np.array_equal(np.frombuffer(enc.encode(t), "<u4"), lib.encode(t, add_special_tokens=False).ids), len(t)
+
+
 def test_query_and_empty(spark):
     from repolens.llm.queries import op7_packing
 

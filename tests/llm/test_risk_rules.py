@@ -2,6 +2,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from repolens.llm import risk_rules as R
 from repolens.llm.queries import op10_risk_rules
@@ -102,22 +103,31 @@ def kept_by_force(docs, labels, alpha=0.01, delta=0.05, power=0.03):
         upper, lower = len(re.findall("[A-Z]", t)), len(re.findall("[a-z]", t))
         base = n < 50 or 100 * repeat > 50 * n
         stats[i] = lang, base, {"symbol_ratio": symbols / max(chars, 1), "dup_line_ratio": dup / max(lines, 1), "repeat_ratio": repeat / max(n, 1), "upper_ratio": upper / max(upper + lower, 1), "word_length": chars / max(n, 1)}
-    tests = [(k, c) for k, cuts in R.GRID.items() for c in cuts]
     of = lambda lang, q: [stats[i][2] for i, x in labels if x == q and i in stats and stats[i][0] == lang and not stats[i][1]]
-    langs = {s[0] for s in stats.values()}
-    strata = [x for x in langs if len(of(x, 1)) >= int(log(delta / len(tests)) / log(1 - alpha))]
-    share = delta / max(1, len(strata) * len(tests))
+    tried = 1
+    for cuts in R.GRID.values():
+        tried *= len(cuts) + 1
+    strata = [x for x in {s[0] for s in stats.values()} if len(of(x, 1)) >= int(log(delta / tried) / log(1 - alpha))]
+    share = delta / max(1, len(strata) * tried)
     cutoffs = {}
     for x in strata:
-        good, bad = of(x, 1), of(x, 0)
-        for k, cuts in R.GRID.items():
-            for c in cuts:
-                wrong = sum(s[k] > c for s in good)
-                tail = sum(comb(len(good), j) * alpha**j * (1 - alpha) ** (len(good) - j) for j in range(wrong + 1))
-                if tail <= share:
-                    if sum(s[k] > c for s in bad) >= power * max(len(bad), 1):
-                        cutoffs.setdefault(x, {})[k] = c
-                    break
+        good, bad, own = of(x, 1), of(x, 0), {}
+        n = len(good)
+        fails = lambda s, rules: any(s[k] > c for k, c in rules.items())
+        while True:
+            now, steps = sum(fails(s, own) for s in bad), []
+            for r, (k, cuts) in enumerate(R.GRID.items()):
+                for j, c in enumerate(cuts):
+                    if c < own.get(k, float("inf")):
+                        rules = own | {k: c}
+                        wrong, right = sum(fails(s, rules) for s in good), sum(fails(s, rules) for s in bad)
+                        tail = sum(comb(n, i) * alpha**i * (1 - alpha) ** (n - i) for i in range(wrong + 1)) if wrong < 200 else 1
+                        if tail <= share and right - now >= max(power * len(bad), 1):
+                            steps.append((-right, wrong, r, j, rules))
+            if not steps:
+                break
+            own = min(steps, key=lambda s: s[:4])[4]
+        cutoffs[x] = own
     return {i: not base and all(s[k] <= c for k, c in cutoffs.get(lang, {}).items()) for i, (lang, base, s) in stats.items()}, cutoffs
 
 
@@ -128,3 +138,30 @@ def test_query(spark):
     want, cutoffs = kept_by_force(docs, labels)
     got = op10_risk_rules(spark, sf).collect()
     assert {r.doc_id: r.kept for r in got} == want and len(got) == len(docs)
+    assert any(cutoffs.values())
+
+
+def test_rules_together_reject_few_of_the_good(spark):
+    """Five rules, each of which alone rejects under the limit of the good, but others each: all together keep to it."""
+    n = 60_000
+    base = {"n_words": 100, "word_chars": 500, "n_symbols": 0, "n_dup_lines": 0, "n_lines": 100, "n_repeat_words": 0, "n_upper": 0, "n_letters": 500}
+    odd = [{"n_symbols": 400}, {"n_dup_lines": 90}, {"n_repeat_words": 48}, {"n_upper": 450}, {"word_chars": 3000}]
+    rows = []
+    for i in range(n):
+        rows.append((i, "en", base | (odd[i % 1000 // 8] if i % 1000 < 40 else {})))  # 0.8 % each
+    bad = [(n + i, "en", base | odd[i % 5]) for i in range(1000)]
+    df = spark.createDataFrame([(i, s, *[c[k] for k in R.COUNTS]) for i, s, c in rows + bad], "doc_id long, lang string, " + ", ".join(f"{c} long" for c in R.COUNTS))
+    labels = df.selectExpr("doc_id", f"cast(doc_id < {n} as int) as quality")
+    cut = R.calibrate(df, labels, "lang")
+    assert len(cut["en"]) == 1
+    rejected = R.apply_rules(df, cut, "lang").filter(f"not kept and doc_id < {n}").count()
+    assert 0 < rejected <= 0.01 * n
+    loose = R.calibrate(df, labels, "lang", R.Policy(alpha=0.05))
+    assert len(loose["en"]) == 5
+
+
+def test_counts_of_equal_text_counts(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string").selectExpr("*", "1 as n_words")
+    got = df.select("doc_id", R.counts_of(F.col("text")).alias("c")).select("doc_id", "c.*").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, R.text_counts(df, "doc_id").collect()))
+    assert df.limit(0).select(R.counts_of(F.col("text"))).count() == 0
