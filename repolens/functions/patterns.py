@@ -55,6 +55,37 @@ def glob_to_regex(glob: str) -> str:
     return r"(?s)\A(?:" + "".join(out) + r")\z"
 
 
+def glob_key(glob: str, most: int, inside: int) -> tuple[str, str]:
+    """(place, text) that every match of a glob has: at its end, its start, or inside; ``any`` and no text if it needs none.
+
+    The longest such text, as it tells most: at most ``most`` characters at an end, ``inside`` of them within. What stands in alternatives isn't needed.
+    """
+    pieces, i, depth = [""], 0, 0
+    while i < len(glob):
+        c, gap = glob[i], True
+        if c == "\\" and i + 1 < len(glob):
+            i += 1
+            c, gap = glob[i], depth > 0
+        elif glob.startswith("**/", i) and (i == 0 or glob[i - 1] == "/"):
+            i += 2
+        elif c == "[":
+            i = glob.find("]", i + 2 + (glob[i + 1 : i + 2] in ("!", "^")))
+        elif c == "{":
+            depth += 1
+        elif c == "}" and depth:
+            depth -= 1
+        elif c not in "*?":
+            gap = depth > 0
+        if gap:
+            pieces.append("")
+        else:
+            pieces[-1] += c
+        i += 1
+    found = [("end", pieces[-1][-most:]), ("start", pieces[0][:most]), ("inside", max(pieces, key=len)[:inside])]
+    place, key = max(found, key=lambda f: len(f[1]))
+    return (place, key) if key else ("any", "")
+
+
 def glob_matches(path: Column, glob: str) -> Column:
     return path.rlike(glob_to_regex(glob))
 

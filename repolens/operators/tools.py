@@ -5,18 +5,27 @@ file's name. Of the hits of a glob the first ``CAP`` of a repository are shown.
 patterns: with ``*`` a glob over the file's path; with a leading ``/`` a prefix of the path;
 else any component, the file's name included.
 
-Plain patterns meet files by their key in hash joins; only globs are matched one by one, in a
-filter for each, which reads the listing once.
+All patterns meet files by a key in hash joins. A plain pattern is its own key. Of a glob the key is text that
+each of its matches must have: the end, the beginning, or a piece of the inside, whichever is longest, of at most ``KEY`` characters; files have a key for
+each length of these that some glob has. Only pairs with equal keys are held against the pattern. A glob without such
+text, as ``*``, is held against every file.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ..functions.patterns import glob_to_regex
+from ..functions.patterns import glob_key, glob_to_regex
+from .lineage import checkpointed
 
 CAP = 10
+#: The most characters of a glob's key: at an end of the path, and inside of it.
+KEY, INSIDE = 16, 8
 RULE_SCHEMA = "name string, files array<string>, dirs array<string>, language string, category string"
 
 
@@ -47,14 +56,45 @@ def lint(rules: DataFrame) -> DataFrame:
     return explode_rules(rules).filter(((F.col("kind") == "plain") & F.contains(p, F.lit("/"))) | ((F.col("kind") == "glob") & F.startswith(p, F.lit("/")))).select("name", "scope", "pattern")
 
 
+def glob_index(patterns: DataFrame) -> DataFrame:
+    """The glob rows of ``patterns``, with ``regex``, ``place`` (end, start, inside or any), ``size`` and ``key`` of the text that each match must have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            globs = b.column(b.schema.get_field_index("pattern")).to_pylist()
+            keys = [glob_key(g, KEY, INSIDE) for g in globs]
+            more = {"regex": [glob_to_regex(g) for g in globs], "place": [k[0] for k in keys], "size": [len(k[1]) for k in keys], "key": [k[1] for k in keys]}
+            arrays = [pa.array(v, pa.int32() if name == "size" else pa.string()) for name, v in more.items()]
+            yield pa.RecordBatch.from_arrays([*b.columns, *arrays], [*b.schema.names, *more])
+
+    rows = patterns.filter("kind = 'glob'").select("rule_pos", "name", "pattern")
+    return checkpointed(rows.mapInArrow(run, StructType([*rows.schema.fields]).add("regex", "string").add("place", "string").add("size", "integer").add("key", "string")))
+
+
 def _globs(patterns: DataFrame, files: DataFrame, matched: str) -> DataFrame:
-    """Hits of the glob patterns: rows of files are tested against each of the few globs in one pass."""
-    globs = patterns.filter("kind = 'glob'").select("rule_pos", "name", "pattern").collect()
-    if not globs:
-        return files.limit(0).select("repo_path", F.lit(0).cast("long").alias("rule_pos"), F.lit("").alias("name"), F.lit("").alias("pattern"), "file_pos", F.lit("").alias("hit"))
-    each = [F.when(F.col("path").rlike(glob_to_regex(g["pattern"])), F.struct(F.lit(g["rule_pos"]).cast("long").alias("rule_pos"), F.lit(g["name"]).alias("name"), F.lit(g["pattern"]).alias("pattern"))) for g in globs]
-    hits = files.select("repo_path", "file_pos", "path", F.explode(F.array_compact(F.array(*each))).alias("g"))
-    return hits.select("repo_path", "g.rule_pos", "g.name", "g.pattern", "file_pos", F.col("path" if matched == "path" else "g.pattern").alias("hit"))
+    """Hits of the glob patterns: files meet globs by the text that these need, and what meets is held against the pattern."""
+    index = glob_index(patterns)
+    # Lengths are at most KEY at each end and INSIDE within, whatever the number of globs.
+    asked = {(r["place"], r["size"]) for r in index.filter("place <> 'any'").select("place", "size").distinct().collect()}
+    path = F.col("path")
+
+    def key(place: str, size: int):
+        grams = F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(path) - size + 1, F.lit(1))), lambda i: F.substring(path, i, F.lit(size)))
+        keys = F.array_distinct(grams) if place == "inside" else F.array(F.right(path, F.lit(size)) if place == "end" else F.left(path, F.lit(size)))
+        return F.transform(F.when(F.char_length(path) >= size, keys).otherwise(F.array().cast("array<string>")), lambda k: F.struct(F.lit(place).alias("place"), F.lit(size).alias("size"), k.alias("key")))
+
+    each = F.flatten(F.array(*[key(*a) for a in sorted(asked)])) if asked else F.array().cast("array<struct<place:string,size:int,key:string>>")
+    keyed = files.select("repo_path", "file_pos", "path", F.explode(each).alias("k")).select("repo_path", "file_pos", "path", "k.*")
+    met = keyed.join(index, ["place", "size", "key"]).drop("place", "size", "key")
+    # Globs without a key are few kinds (``*``, ``?*``, ..); each is a test of every file, as its meaning is.
+    free = files.select("repo_path", "file_pos", "path").crossJoin(index.filter("place = 'any'").drop("place", "size", "key"))
+    hits = met.unionByName(free).filter(F.regexp_like("path", F.col("regex")))
+    return hits.select("repo_path", F.col("rule_pos").cast("long").alias("rule_pos"), "name", "pattern", "file_pos", (path if matched == "path" else F.col("pattern")).alias("hit"))
+
+
+def glob_hits(files: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(repo_path, rule_pos, name, pattern, file_pos, hit) of the globs of ``patterns``, all hits of each."""
+    return _globs(patterns, files, "path")
 
 
 def file_hits(files: DataFrame, patterns: DataFrame) -> DataFrame:

@@ -342,6 +342,20 @@ def visited_anti_join(spark, sf_dir):
     return H.tree_versions(roots, entries.unionByName(more))
 
 
+@query("""with h as (select distinct regexp_extract(url, '^https?://([a-z.]+)/', 1) as host from pages),
+  g as (select replace(x, 'HOST', host) as pattern from h, (values ('*HOST/*'), ('http://HOST*'), ('*/HOST/??/*'), ('*HOST/e[l-n]/*0')) v(x)),
+  r as (select pattern, replace(replace(replace(pattern, '.', '[.]'), '*', '.*'), '??', '..') as rx from g)
+  select pattern, count(*) as n_files from pages join r on regexp_full_match(url, rx) group by pattern""")
+def glob_index(spark, sf_dir):
+    """Four globs for each host, in all some for each page or two: each page is held against those alone whose text it has."""
+    pages = read(spark, sf_dir, "pages")
+    hosts = pages.select(F.regexp_extract("url", "^https?://([a-z.]+)/", 1).alias("host")).distinct()
+    globs = F.array(*[F.concat(F.lit(a), F.col("host"), F.lit(b)) for a, b in (("*", "/*"), ("http://", "*"), ("*/", "/??/*"), ("*", "/e[l-n]/*0"))])
+    rules = hosts.select(F.xxhash64("host").alias("rule_pos"), F.col("host").alias("name"), globs.alias("files"), F.lit(None).cast("array<string>").alias("dirs"))
+    patterns = tools.explode_rules(rules).filter("kind = 'glob'")
+    return tools.glob_hits(_files(spark, sf_dir), patterns).groupBy("pattern").agg(F.count("*").alias("n_files"))
+
+
 def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions, nations and customers as nested trees: the files are the customers."""
     region, nation, customer = (read(spark, sf_dir, t) for t in ("region", "nation", "customer"))
