@@ -32,10 +32,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the certified cutoffs of their language."""
     scratch = Scratch(spark)
-    counts = scratch.table(risk_rules.text_counts(docs, "doc_id", "lang"), "counts")
+    # Texts are counted once, and nothing but them goes through Python; the counts lie beside their row.
+    counted = scratch.table(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), risk_rules.counts_of(F.col("text")).alias("__counts")), "counted")
+    counts = counted.select(F.col("__row.doc_id").alias("doc_id"), F.col("__row.lang").alias("lang"), "__counts.*")
     cutoffs = risk_rules.calibrate(counts, table(spark, sf_dir, "labels"), "lang")
-    scratch.drop(counts)
-    rows = risk_rules.text_counts(_packed(docs, "lang", "text"), "__row", "lang")
+    rows = counted.select("__row", F.col("__row.lang").alias("lang"), "__counts.*")
     return risk_rules.apply_rules(rows, cutoffs, "lang").filter("kept").select("__row.*")
 
 
