@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.exact import add_limbs, limbs, rounded
 from .lineage import checkpointed
 
 PLAIN_FILE, TREE = "100644", "040000"
@@ -46,15 +47,57 @@ def live(sampled: DataFrame, files: DataFrame, width: int = 256) -> DataFrame:
     return spread.join(at, "__b").filter("chain_pos <= from_pos and chain_pos > to_pos").select("chain_pos", "path", "oid", *rest)
 
 
-def live_totals(sampled: DataFrame, valued: DataFrame, width: int = 256) -> DataFrame:
+def ranks(sampled: DataFrame, width: int) -> tuple[DataFrame, int, int]:
+    """(block, places, before) and the first and last block: the sampled positions of each block of ``width``, and how many lie in earlier ones.
+
+    Blocks without any have a row too, and so has one before and one after all.
+    """
+    at = sampled.select("chain_pos").distinct()
+    own = at.groupBy(F.floor(F.col("chain_pos") / width).alias("block")).agg(F.array_sort(F.collect_list("chain_pos")).alias("places"))
+    own = checkpointed(own)
+    ends = own.agg(F.min("block").alias("low"), F.max("block").alias("high")).first()
+    low, high = ((ends["low"] if ends["low"] is not None else 0) - 1, (ends["high"] if ends["high"] is not None else 0) + 1)
+    every = sampled.sparkSession.range(low, high + 1).withColumnRenamed("id", "block").join(own, "block", "left")
+    n = F.coalesce(F.size("places"), F.lit(0))
+    # A number for each block goes through one task, no position.
+    order = Window.partitionBy(F.lit(0)).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = every.select("block", n.alias("n")).select("block", F.coalesce(F.sum("n").over(order), F.lit(0)).cast("int").alias("before"))
+    none = F.array().cast("array<int>")
+    return every.join(before, "block").select("block", F.coalesce(F.col("places").cast("array<int>"), none).alias("places"), "before"), low, high
+
+
+def sample_spans(sampled: DataFrame, spans: DataFrame, width: int = 4096) -> DataFrame:
+    """``spans`` (from_pos, to_pos and others) with ``first`` and ``stop``: the sampled commits in it are those from the first up to before the stop, counted by position.
+
+    Spans without a sampled commit have no row.
+    """
+    places, low, high = ranks(sampled, width)
+    block = lambda c: F.greatest(F.least(F.floor(F.col(c) / width), F.lit(high)), F.lit(low))
+    out = spans
+    for name, position in (("first", "to_pos"), ("stop", "from_pos")):
+        met = out.withColumn("block", block(position)).join(places, "block")
+        out = met.withColumn(name, F.col("before") + F.size(F.filter("places", lambda p: p <= F.col(position)))).drop("block", "places", "before")  # noqa: B023
+    return out.filter("first < stop")
+
+
+def live_totals(sampled: DataFrame, valued: DataFrame, width: int = 4096) -> DataFrame:
     """(chain_pos, key, total): values summed over the versions that are live at each sampled commit.
 
-    ``valued`` is (key, value, from_pos, to_pos). Versions that are live over the same sampled commits are
-    summed before they meet commits, so a version isn't repeated for each commit that has it.
+    ``valued`` is (key, value, from_pos, to_pos). Positions are exchanged for the numbers of the sampled commits
+    that they lie between, so that versions live over the same sampled commits are one span and are summed before they meet
+    commits: what meets them is at most a span for each key and pair of sampled commits, however many versions there are. Sums are exact
+    and rounded once, so they are the same in any order.
     """
-    spans = valued.groupBy("key", "from_pos", "to_pos").agg(F.sum("value").alias("value"))
-    met = live(sampled, spans.select(F.col("key").alias("path"), F.lit("").alias("oid"), "from_pos", "to_pos", "value"), width)
-    return met.groupBy("chain_pos", F.col("path").alias("key")).agg(F.sum("value").alias("total"))
+    spans = sample_spans(sampled, valued.select("key", F.col("value").cast("double").alias("value"), "from_pos", "to_pos"), width)
+    # A value of zero has a limb as well, so that its key has a row.
+    each = F.when(F.col("value") == 0, F.array(F.struct(F.lit(0).alias("place"), F.lit(0).cast("long").alias("limb")))).otherwise(limbs(F.col("value")))
+    cut = spans.select("key", "first", "stop", F.explode(each).alias("l")).select("key", "first", "stop", "l.*")
+    summed = add_limbs(cut, "key", "first", "stop")
+    met = summed.select("key", F.explode(F.sequence(F.col("first"), F.col("stop") - 1)).alias("number"), "place", "limb")
+    totals = rounded(met, "key", "number")
+    places, *_ = ranks(sampled, width)
+    numbers = places.select(F.posexplode("places").alias("i", "chain_pos"), "before").select((F.col("before") + F.col("i")).alias("number"), "chain_pos")
+    return totals.join(numbers, "number").select("chain_pos", "key", "total")
 
 
 BLOCK = 4096

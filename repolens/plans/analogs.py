@@ -265,6 +265,17 @@ def interval_live_at_sample(spark, sf_dir):
     return H.live(days, files, 64).groupBy(F.date_from_unix_date(-F.col("chain_pos")).alias("d")).agg(F.count("*").alias("n_live"), F.sum(F.col("oid").cast("double")).cast("long").alias("quantity"))
 
 
+@query("""with days as (select distinct date_trunc('month', o_orderdate)::date as d from orders)
+  select d, l_returnflag as key, round(fsum(l_extendedprice), 2) as total from days join
+  (select cast(o_orderdate as date) as a, cast(l_shipdate as date) as b, l_returnflag, l_extendedprice from lineitem join orders on l_orderkey = o_orderkey where l_shipdate > o_orderdate) on a <= d and d < b group by d, l_returnflag""")
+def live_sums_at_samples(spark, sf_dir):
+    """Prices of the order lines that are on their way at the start of each month, by flag: lines of the same months are summed first, and exactly."""
+    orders, items = read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem")
+    both = items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).filter("l_shipdate > o_orderdate")
+    day = lambda c: (-F.unix_date(F.col(c).cast("date"))).cast("int")
+    valued = both.select(F.col("l_returnflag").alias("key"), F.col("l_extendedprice").alias("value"), day("o_orderdate").alias("from_pos"), day("l_shipdate").alias("to_pos"))
+    days = orders.select((-F.unix_date(F.trunc(F.col("o_orderdate").cast("date"), "month"))).cast("int").alias("chain_pos")).distinct()
+    return H.live_totals(days, valued, 64).select(F.date_from_unix_date(-F.col("chain_pos")).alias("d"), "key", F.round("total", 2).alias("total"))
 
 
 @query("""with c as (select cast(ts as date) as d, event_type as k, count(*) as n from events group by 1, 2)

@@ -255,3 +255,32 @@ def test_tree_totals_sum_each_tree_once(spark):
     seen = [x.tree_oid for x in H.reachable_trees(start, df).collect()]
     assert sorted(seen) == sorted(reached | {"missing"})
     assert H.tree_totals(start.limit(0), df, values).count() == 0
+
+
+def test_live_totals_are_exact_and_meet_few_rows(spark):
+    """20,000 versions and 100 samples: totals are the correctly rounded sums, and spans are at most pairs of samples."""
+    import math
+    import random
+
+    r = random.Random(9)
+    samples = sorted(r.sample(range(-2000, 30_000), 100))
+    rows = []
+    for _ in range(20_000):
+        a, b = sorted(r.sample(range(-2500, 31_000), 2))
+        rows.append((r.choice("ab"), r.choice([r.uniform(-1, 1) * 10.0 ** r.randint(-20, 20), 0.1, -0.1, 1e300, -1e300, 0.0, 5e-324]), b, a))
+    sampled = spark.createDataFrame([(p,) for p in samples], "chain_pos int")
+    valued = spark.createDataFrame(rows, "key string, value double, from_pos int, to_pos int")
+    want = {}
+    for p in samples:
+        for k in "ab":
+            live = [v for key, v, b, a in rows if key == k and a < p <= b]
+            if live:
+                want[p, k] = math.fsum(v for v in live if v != 5e-324)
+    got = {(x.chain_pos, x.key): x.total for x in H.live_totals(sampled, valued, 512).collect()}
+    assert got == want
+    spans = H.sample_spans(sampled, valued, 512)
+    assert spans.select("key", "first", "stop").distinct().count() <= 2 * 100 * 101 / 2
+    assert H.live_totals(sampled.limit(0), valued).count() == 0 and H.live_totals(sampled, valued.limit(0)).count() == 0
+    odd = spark.createDataFrame([("i", float("inf"), 9, -1), ("i", 1.0, 9, -1), ("n", float("inf"), 9, -1), ("n", float("-inf"), 9, -1), ("z", 0.0, 9, -1)], "key string, value double, from_pos int, to_pos int")
+    got = {x.key: x.total for x in H.live_totals(spark.createDataFrame([(5,)], "chain_pos int"), odd).collect()}
+    assert got["i"] == float("inf") and math.isnan(got["n"]) and got["z"] == 0.0
