@@ -10,13 +10,19 @@ from .lineage import checkpointed
 MISSING = "0"
 
 
-def wide(commits: DataFrame, series: DataFrame, ids: tuple[str, ...] = ("commit",)) -> DataFrame:
+#: The most columns of a published table.
+COLUMNS = 10_000
+
+
+def wide(commits: DataFrame, series: DataFrame, ids: tuple[str, ...] = ("commit",), most: int = COLUMNS) -> DataFrame:
     """One row for each of ``commits``, a column for each key in byte order, missing cells ``0``.
 
     ``commits`` has ``ids`` and what else is to be shown; ``series`` has ``ids``, ``key`` and ``value`` (text).
-    The keys are few (columns of a table) and are read on the driver.
+    The keys are the columns and are read on the driver: ``most`` of them; if there are more it is an error, and the long series is to be used.
     """
-    keys = sorted((r["key"] for r in series.select("key").distinct().collect()), key=lambda k: k.encode())
+    keys = sorted((r["key"] for r in series.select("key").distinct().limit(most + 1).collect()), key=lambda k: k.encode())
+    if len(keys) > most:
+        raise ValueError(f"more than {most} keys don't make a table: use the long series")
     if not keys:
         return commits
     cells = series.groupBy(*ids).pivot("key", keys).agg(F.first("value"))

@@ -9,16 +9,18 @@ from __future__ import annotations
 
 import hashlib
 import os
+import warnings
 from collections.abc import Callable
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.patterns import glob_matches
 from ..functions.values import loose_datetime, number_text, timestamp_text
 from ..operators import history as H
 from ..operators import tools
+from ..operators.lineage import checkpointed
 from ..operators.measures import Measurement, Script, StatConfig
 from ..operators.reshape import wide
 from ..operators.sampling import Granularity, in_order, sample
@@ -37,29 +39,54 @@ def parse_date(spark: SparkSession, text: str | None) -> datetime | None:
     return datetime.fromtimestamp(got, UTC)
 
 
-def measured(files: DataFrame, contents: DataFrame | Callable[[DataFrame], DataFrame], measurement: Measurement, path_glob: str | None = None) -> DataFrame:
+def measured(files: DataFrame, contents: DataFrame | Callable[[DataFrame], DataFrame], measurement: Measurement, path_glob: str | None = None, watch: Watch | None = None) -> DataFrame:
     """(path, oid, key, value): each distinct (path, oid) of ``files`` once. ``contents`` is (oid, content), or gives it for the ids (oid) that are asked for."""
     once = files.select("path", "oid")
     if path_glob:
         once = once.filter(glob_matches(F.col("path"), path_glob))
     once = once.distinct()
-    if measurement.contents and callable(contents):
-        contents = contents(once.select("oid").distinct())
-    return measurement.measure(once.join(contents.select("oid", "content").dropDuplicates(["oid"]), "oid") if measurement.contents else once)
+    if watch:
+        once = watch.on(checkpointed(once), "versions")
+    if measurement.contents:
+        if callable(contents):
+            contents = contents(once.select("oid").distinct())
+        once = once.join(contents.select("oid", "content").dropDuplicates(["oid"]), "oid")
+        once = watch.on(once, "read") if watch else once
+    values = measurement.measure(once)
+    return checkpointed(watch.on(values, "values")) if watch else values
 
 
-def series(commits: DataFrame, changes: DataFrame, contents: DataFrame, stat: StatConfig, granularity: Granularity | None = None, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
-    """(commit, date, bucket, chain_pos, key, value): ``value`` is text; a sampled commit without keys has one row whose key is null."""
+class Watch:
+    """Counts of what a run has looked at, taken by the run itself as its rows go by."""
+
+    def __init__(self):
+        self.taken: dict[str, Observation] = {}
+
+    def on(self, df: DataFrame, name: str) -> DataFrame:
+        self.taken[name] = Observation(name)
+        return df.observe(self.taken[name], F.count(F.lit(1)).alias("n"))
+
+    def counts(self) -> dict[str, int]:
+        """By name; waits for the actions that take them."""
+        return {name: o.get["n"] for name, o in self.taken.items()}
+
+
+def series(commits: DataFrame, changes: DataFrame, contents: DataFrame, stat: StatConfig, granularity: Granularity | None = None, start: datetime | None = None, end: datetime | None = None, watch: Watch | None = None) -> DataFrame:
+    """(commit, date, bucket, chain_pos, key, value): ``value`` is text; a sampled commit without keys has one row whose key is null.
+
+    With ``watch`` the values are worked out at once and counted: ``versions`` of files that are looked at, those ``read`` (as
+    far as contents are) and ``values`` found; versions without a value are those that couldn't be measured or come to zero.
+    """
     measurement = stat.measurement()
     sampled = sample(commits, granularity or Granularity.parse(stat.granularity), start, end)
     if measurement.whole:
         d = H.deltas(changes)
-        values = measured(d, contents, measurement, stat.path_in_repo)
+        values = measured(d, contents, measurement, stat.path_in_repo, watch)
         steps = d.join(values, ["path", "oid"]).select("chain_pos", "key", (F.col("sign") * F.col("value")).cast("long").alias("value"), F.col("sign").cast("long").alias("n"))
         totals = H.running_totals(sampled, steps)
     else:
         versions = H.versions(changes)
-        values = measured(versions, contents, measurement, stat.path_in_repo)
+        values = measured(versions, contents, measurement, stat.path_in_repo, watch)
         totals = H.live_totals(sampled, versions.join(values, ["path", "oid"]).select("key", "value", "from_pos", "to_pos"))
     return shown(sampled, totals, measurement)
 
@@ -105,6 +132,9 @@ def publish(rows: DataFrame) -> DataFrame:
     return table.select("commit", timestamp_text(F.col("date")).alias("date"), *[f"`{c}`" for c in table.columns if c not in ("commit", "date", "bucket", "chain_pos")])
 
 
+#: The most rules that are warned of.
+SHOWN = 100
+
 from . import increments  # noqa: E402  it uses the functions above
 
 
@@ -114,6 +144,8 @@ class Engine:
     def __init__(self, spark: SparkSession, root: str = config.ROOT, snapshots: str | None = None, increments: str | None = None):
         if spark.conf.get("spark.sql.session.timeZone") != "UTC":
             spark.conf.set("spark.sql.session.timeZone", "UTC")
+        #: Of the last statistic that was worked out from a repository's tables.
+        self.counts: dict[str, int] = {}
         self.spark, self.catalog, self.snapshots, self.increments = spark, config.Catalog.load(root), snapshots, increments
 
     def tables(self, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -141,7 +173,10 @@ class Engine:
         start, end = parse_date(self.spark, since or stat.start), parse_date(self.spark, stat.end)
         if isinstance(stat.measurement(), Script):
             return publish(script_series(self.spark, path, commits, stat, g, start, end))
-        return publish(series(commits, changes, contents, stat, g, start, end))
+        watch = Watch()
+        out = publish(series(commits, changes, contents, stat, g, start, end, watch))
+        self.counts = watch.counts()
+        return out
 
     def run_config(self, config_path: str, repo_path: str, out: str | None = None) -> str:
         stat = config.read_stat(config_path)
@@ -163,5 +198,7 @@ class Engine:
             raise ValueError("either a repository or a folder to scan")
         repos = [repo] if repo else find_repositories(scan_root, max_depth)
         rules = tools.read_rules(self.spark, rules_path) if rules_path else bundled_rules(self.spark)
+        for r in tools.lint(rules).limit(SHOWN).collect():
+            warnings.warn(f"tool {r['name']}: the {r['scope']} pattern {r['pattern']!r} can never match", stacklevel=2)
         files = history(self.spark, "repo_files", *repos) if repos else self.spark.createDataFrame([], "repo_path string, file_pos int, path string")
         return tools.detect(files, rules, strict_dirs)

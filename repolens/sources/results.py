@@ -31,9 +31,11 @@ def write_csv(table: DataFrame, path: str) -> str:
             out.write((",".join(table.columns) + "\n").encode())
             out.close()
         else:
-            fs.delete(target, False)
-            if not fs.rename(parts[0], target):
-                raise OSError(f"cannot write {path}")
+            # One step of the file system: whoever reads sees the old file or the new one.
+            jvm = spark._jvm.org.apache.hadoop.fs
+            replace = spark.sparkContext._gateway.new_array(jvm.Options.Rename, 1)
+            replace[0] = jvm.Options.Rename.valueOf("OVERWRITE")
+            jvm.FileContext.getFileContext(target.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(parts[0], target, replace)
     finally:
         fs.delete(beside, True)
     return path

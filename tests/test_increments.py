@@ -101,3 +101,39 @@ def test_only_wanted_objects_are_read(spark, repo, monkeypatch, tmp_path):
     monkeypatch.undo()
     rows = contents(spark.createDataFrame([(repo, i) for i in [*ids, "f" * 40]], "repo string, oid string")).collect()
     assert {r.oid: bytes(r.content) for r in rows} == dict(got)
+
+
+def test_counts_of_a_run(spark, repo, tmp_path):
+    engine = Engine(spark, str(tmp_path / "c"))
+    engine.table(repo, StatConfig("j", "jq", params={"query": ".n"}, path_in_repo="*.json"))
+    # package.json in two versions, broken.json and zero.json; the broken one and the empty one have no value
+    assert engine.counts == {"versions": 4, "read": 4, "values": 2}
+    engine.table(repo, STATS[1])
+    assert set(engine.counts) == {"versions", "values"} and engine.counts["versions"] > engine.counts["values"] > 0
+
+
+def test_detect_tools_warns_of_patterns_that_never_match(spark, repo, tmp_path):
+    rules = tmp_path / "rules.ndjson"
+    rules.write_text('{"name": "a", "files": ["x/y", "crlf.txt"], "dirs": []}\n')
+    with pytest.warns(UserWarning, match="'x/y' can never match"):
+        found = Engine(spark, str(tmp_path / "c")).detect_tools(repo, str(rules)).collect()
+    assert [r.matching_files for r in found] == [["crlf.txt"]]
+
+
+def test_a_write_that_fails_leaves_the_old_series(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from repolens.operators.reshape import wide
+    from repolens.sources.results import write_csv
+
+    path = str(tmp_path / "s.csv")
+    write_csv(spark.sql("select 'a' as commit, 1 as n"), path)
+    old = open(path).read()
+    with pytest.raises(Exception, match="stop here"):
+        write_csv(spark.sql("select 'b' as commit").withColumn("n", F.raise_error(F.lit("stop here")).cast("string")), path)
+    assert open(path).read() == old == "commit,n\na,1\n"
+    write_csv(spark.sql("select 'b' as commit, 2 as n"), path)
+    assert open(path).read() == "commit,n\nb,2\n" and [f for f in os.listdir(tmp_path) if "-" in f] == []
+    many = spark.range(20).selectExpr("'a' as commit", "cast(id as string) as key", "'1' as value")
+    with pytest.raises(ValueError, match="more than 10"):
+        wide(many.select("commit").distinct(), many, most=10)
