@@ -44,10 +44,19 @@ def byte_letters() -> dict[int, str]:
 
 
 class Vocabulary:
-    """A vocabulary of words (lower case, end-of-word mark), read from a tokenizer file."""
+    """A vocabulary of words (lower case, end-of-word mark), read from a tokenizer file; files that treat texts in another way are refused."""
 
     def __init__(self, spec: dict):
         model = spec["model"]
+        steps = (spec.get("normalizer") or {}).get("normalizers", [])
+        split = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        plain = [n["type"] for n in steps] == ["NFC", "Replace", "Lowercase"] and steps[1]["pattern"] == {"Regex": r"\s+"} and steps[1]["content"] == " "
+        words = [p["type"] for p in split] == ["Split", "ByteLevel"] and split[0]["behavior"] == "Removed" and split[0]["invert"] and "Regex" in split[0]["pattern"]
+        letters = words and not split[1]["add_prefix_space"] and not split[1].get("use_regex", True)
+        own = model.get("type", "BPE") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
+        added = not any(t.get(k) for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized"))
+        if not (plain and letters and own and added) or spec.get("decoder"):
+            raise ValueError("the file does not treat texts as this encoder does")
         self.end = model.get("end_of_word_suffix") or ""
         self.ids: dict[str, int] = dict(model["vocab"])
         merges = [m if isinstance(m, (list, tuple)) else m.split(" ") for m in model["merges"]]

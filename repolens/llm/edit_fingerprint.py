@@ -15,7 +15,7 @@ likeness. Equal fingerprints are one node. Each node of a key is compared with t
 then only nodes outside of the first one's component are compared with nodes of other
 components in their key, whatever the size of the group, and what leaves the join is verified.
 So all pairs that share a key and are near have one component. Of pairs at the least
-likeness, 0.95, about 0.97 share a key, of nearer ones more.
+likeness, 0.95 (25 of 256 bits differ at most), 0.948 share a key: 0.0596 in one table, 48 tables; of nearer ones more.
 
 Rows: a null or empty text has the fingerprint of no features (all zeros); its likeness is 1 to
 another empty text. Equal texts have equal fingerprints. Repeated rows and ties: documents of equal doc_id

@@ -48,3 +48,20 @@ def test_rows(spark):
     df = spark.createDataFrame([(None, "a b", "x"), (1, "a b", None), (1, "a b", None)], "doc_id long, text string, ids string")
     assert sorted((r.doc_id or 0, r.n_tokens) for r in bpe.digests(df, PATH, "doc_id").collect()) == [(0, 2), (1, 2), (1, 2)]
     assert bpe.digests(df.limit(0), PATH, "doc_id").count() == 0
+
+
+@pytest.mark.parametrize("change", [{"normalizer": None}, {"pre_tokenizer": None}, {"decoder": {"type": "ByteLevel"}}, {"dropout": 0.1}, {"lstrip": True}])
+def test_files_that_treat_texts_otherwise_are_refused(change):
+    import json
+
+    spec = json.load(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8"))
+    bpe.Vocabulary(spec)
+    for k, v in change.items():
+        if k in spec:
+            spec[k] = v
+        elif k in spec["model"]:
+            spec["model"][k] = v
+        else:
+            spec["added_tokens"][0][k] = v
+    with pytest.raises(ValueError):
+        bpe.Vocabulary(spec)

@@ -88,7 +88,10 @@ def test_repeated_rows(spark):
 
 @pytest.mark.parametrize("n", [200, 800])
 def test_a_passage_of_all_documents_makes_no_pairs(spark, n, monkeypatch):
-    """What is compared grows with the number of documents that share a passage, not with its square."""
+    """Where a third to a half of each document is one passage, no more documents enter the comparison within groups than there are.
+
+    Where the passage is most of each document, comparisons within a group do grow with its square: see the README.
+    """
     rng = random.Random(4)
     word = lambda: "".join(rng.choices("abcdefgh", k=5))
     passage = [word() for _ in range(60)]
