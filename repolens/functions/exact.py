@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .jq import let
+
 BITS, LOWEST = 32, -31
 
 
@@ -20,15 +22,15 @@ def limbs(value: Column) -> Column:
     """An array of (place int, limb long) of a finite double; none for zero, null for null. An infinity or NaN has place null."""
     top = F.greatest(F.floor(F.log2(F.abs(value)) / BITS).cast("int"), F.lit(LOWEST))
     power = lambda place: F.pow(F.lit(2.0), place * BITS)
+    # Each step is worked out once and bound, as the next one names it several times.
+    cut = lambda rest, place: let(rest / power(place), lambda q: F.when(q >= 0, F.floor(q)).otherwise(F.ceil(q)).cast("long"))
+    limb = lambda place, n: F.struct(place.alias("place"), n.alias("limb"))
 
-    def cut(rest: Column, place: Column) -> Column:
-        return F.when(rest >= 0, F.floor(rest / power(place))).otherwise(F.ceil(rest / power(place))).cast("long")
+    def below(rest: Column, place: Column, left: int) -> Column:
+        own = lambda n: F.array(limb(place, n)) if left == 1 else F.concat(F.array(limb(place, n)), let(rest - n * power(place), lambda r: below(r, place - 1, left - 1)))
+        return let(cut(rest, place), own)
 
-    first = cut(value, top)
-    left = value - first * power(top)
-    second = cut(left, top - 1)
-    third = cut(left - second * power(top - 1), top - 2)
-    each = F.array(*[F.struct((top - i).alias("place"), limb.alias("limb")) for i, limb in enumerate((first, second, third))])
+    each = let(top, lambda t: below(value, t, 3))
     odd = F.isnan(value) | (F.abs(value) == float("inf"))
     kind = F.when(F.isnan(value), 0).when(value > 0, 1).otherwise(-1).cast("long")
     none = F.array().cast("array<struct<place:int,limb:bigint>>")
