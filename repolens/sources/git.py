@@ -8,6 +8,10 @@ Options: ``path`` (a folder that all executors can read; ``|`` separates several
 - ``objects``: repo, oid, kind, size, place - trees and blobs, with their place in git's own order of its packs
 - ``repo_files``: repo_path, file_pos, path - the index, in its order
 
+``commits`` and ``raw_changes`` can also be streamed (``spark.readStream``): an offset is the tip of each repository, and a batch
+has what came onto the chain since the last one. As the tip moves, a stream's ``chain_pos`` counts from the root: 0, -1, -2, ..
+If history was rewritten, the stream fails and must begin anew.
+
 Chains are read in slices of bounded length, as streams. Objects are listed once, and read by
 ``contents``: only those asked for, in ranges of their place, so that a task reads its packs from front to back. On
 top of it ``history`` offers two tables more:
@@ -28,7 +32,7 @@ from datetime import UTC, datetime
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 SCHEMAS = {
     "commits": "repo string, chain_pos int, sha string, tree_oid string, ts timestamp",
@@ -82,24 +86,30 @@ class Slice(InputPartition):
     start: int = 0
     stop: int = 0
     since: str | None = None
+    tip: str = "HEAD"
+    base: int = 0  # the tip's position
 
 
 def _text(b: bytes) -> str:
     return b.decode("utf-8", "replace")
 
 
-def _range(since: str | None) -> list[str]:
-    return ["HEAD", *([f"^{since}"] if since else [])]
+def _range(since: str | None, tip: str = "HEAD") -> list[str]:
+    return [tip, *([f"^{since}"] if since else [])]
+
+
+def _length(repo: str, since: str | None, tip: str = "HEAD") -> int:
+    return int(git(repo, "rev-list", "--first-parent", "--count", *_range(since, tip)))
 
 
 def _chain(s: Slice, fmt: str) -> bytes:
-    return git(s.repo, "log", "--first-parent", f"--skip={s.start}", f"--max-count={s.stop - s.start}", f"--format={fmt}", *_range(s.since))
+    return git(s.repo, "log", "--first-parent", f"--skip={s.start}", f"--max-count={s.stop - s.start}", f"--format={fmt}", *_range(s.since, s.tip))
 
 
 def _commits(s: Slice) -> Iterator[tuple]:
     for i, line in enumerate(_chain(s, "%H %T %ct").decode().splitlines()):
         sha, tree, ts = line.split()
-        yield s.repo, s.start + i, sha, tree, datetime.fromtimestamp(int(ts), UTC)
+        yield s.repo, s.base + s.start + i, sha, tree, datetime.fromtimestamp(int(ts), UTC)
 
 
 def _tokens(stream) -> Iterator[bytes]:
@@ -115,7 +125,7 @@ def _tokens(stream) -> Iterator[bytes]:
 def _raw_changes(s: Slice) -> Iterator[tuple]:
     # A commit and, named as its only one, its first parent; a root has none.
     pairs = [line.split()[:2] for line in _chain(s, "%H %P").decode().splitlines()]
-    at = {p[0]: s.start + i for i, p in enumerate(pairs)}
+    at = {p[0]: s.base + s.start + i for i, p in enumerate(pairs)}
     with tempfile.TemporaryFile() as asked:
         asked.write("".join(f"{' '.join(p)}\n" for p in pairs).encode())
         asked.seek(0)
@@ -224,6 +234,12 @@ def _repo_files(s: Slice) -> Iterator[tuple]:
 READERS = {"commits": _commits, "raw_changes": _raw_changes, "objects": _objects, "repo_files": _repo_files}
 
 
+def _slices(repo: str, parts: int, since: str | None, tip: str = "HEAD", base: int = 0) -> list[Slice]:
+    n = _length(repo, since, tip)
+    step = min(SLICE, max(1, -(-n // parts)))
+    return [Slice(repo, a, min(a + step, n), since, tip, base) for a in range(0, n, step)]
+
+
 class GitReader(DataSourceReader):
     def __init__(self, options: dict):
         self.table = options["table"]
@@ -237,9 +253,38 @@ class GitReader(DataSourceReader):
             if self.table in ("repo_files", "objects"):
                 out.append(Slice(repo))
             else:
-                n = int(git(repo, "rev-list", "--first-parent", "--count", *_range(self.since)))
-                step = min(SLICE, max(1, -(-n // self.parts)))
-                out += [Slice(repo, a, min(a + step, n), self.since) for a in range(0, n, step)]
+                out += _slices(repo, self.parts, self.since)
+        return out
+
+    def read(self, partition: Slice) -> Iterator[tuple]:
+        return READERS[self.table](partition)
+
+
+class GitStream(DataSourceStreamReader):
+    """Tips are named in the offsets, so a batch that is run again reads the same commits, wherever the tip is by then."""
+
+    def __init__(self, options: dict):
+        self.table = options["table"]
+        if self.table not in ("commits", "raw_changes"):
+            raise ValueError(f"{self.table} can't be streamed")
+        self.repos = options["path"].split("|")
+        self.parts = int(options.get("partitions", 8))
+
+    def initialOffset(self) -> dict:
+        return dict.fromkeys(self.repos, "")
+
+    def latestOffset(self) -> dict:
+        return {repo: tip(repo) for repo in self.repos}
+
+    def partitions(self, start: dict, end: dict) -> list[Slice]:
+        out = []
+        for repo, stop in end.items():
+            since = start.get(repo) or None
+            if stop == (since or ""):
+                continue
+            if since and not (stop and follows(repo, since, stop)):
+                raise ValueError(f"the history of {repo} was rewritten: {since} isn't on its chain")
+            out += _slices(repo, self.parts, since, stop, 1 - _length(repo, None, stop))
         return out
 
     def read(self, partition: Slice) -> Iterator[tuple]:
@@ -260,6 +305,9 @@ class GitHistory(DataSource):
     def reader(self, schema) -> GitReader:
         return GitReader(self.options)
 
+    def streamReader(self, schema) -> GitStream:
+        return GitStream(self.options)
+
 
 def history(spark: SparkSession, table: str, *repos: str, partitions: int = 8, since: str | None = None) -> DataFrame:
     """A table of one or several repositories; ``blobs`` and ``tree_entries`` read all contents or trees."""
@@ -272,11 +320,25 @@ def history(spark: SparkSession, table: str, *repos: str, partitions: int = 8, s
     return (out.option("since", since) if since else out).load()
 
 
-def follows(repo: str, old: str) -> bool:
-    """Whether a commit is still one of the first-parent chain of the tip."""
+def stream(spark: SparkSession, table: str, *repos: str, partitions: int = 8) -> DataFrame:
+    """``commits`` or ``raw_changes`` as a stream of what comes onto the chains."""
+    spark.dataSource.register(GitHistory)
+    return spark.readStream.format("githistory").option("path", "|".join(repos)).option("table", table).option("partitions", partitions).load()
+
+
+def tip(repo: str) -> str:
+    """The commit at the tip; empty where there is none yet."""
+    head = subprocess.run(["git", "-C", repo, "rev-parse", "--verify", "-q", "HEAD^{commit}"], capture_output=True)
+    if head.returncode > 1:
+        raise OSError(f"no repository: {repo}")
+    return head.stdout.decode().strip()
+
+
+def follows(repo: str, old: str, new: str = "HEAD") -> bool:
+    """Whether a commit is one of the first-parent chain of another, by default of the tip."""
     if subprocess.run(["git", "-C", repo, "cat-file", "-e", f"{old}^{{commit}}"], capture_output=True).returncode:
         return False
-    last = git(repo, "log", "--first-parent", "--format=%H %P", *_range(old)).decode().splitlines()[-1:]
+    last = git(repo, "log", "--first-parent", "--format=%H %P", *_range(old, new)).decode().splitlines()[-1:]
     if not last:
-        return git(repo, "rev-parse", "HEAD").decode().strip() == old
+        return git(repo, "rev-parse", new).decode().strip() == old
     return last[0].split()[1:2] == [old]
