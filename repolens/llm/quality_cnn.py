@@ -7,8 +7,9 @@ makes one probability of them. A filter is a table of a weight for each of its p
 each byte, so its response is a sum of looked-up weights.
 
 Training takes a bounded sample: at most about ``Training.per_label`` documents of each
-label, chosen by a hash of their id, and of each all chunks. It runs on the driver by gradient descent through the pooled places. The
-sample is balanced; the share of labels among all labelled rows is put back into the
+label, chosen by a hash of their id, and of each all chunks. They are written and weighed first: in the order of that hash, a
+document is taken where it still fits in its label's half of ``Training.bytes``, so that the driver holds no more chunks than
+that, however long documents are. It runs on the driver by gradient descent through the pooled places. The sample is balanced; the share of labels among all labelled rows is put back into the
 score. Scoring covers whole texts.
 
 Rows: a null text is empty; an empty text has no chunk and its score is that of the bias.
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType, IntegerType, StructField, StructType
 
+from .scratch import Scratch
 from .textnum import slices, utf8
 
 CHUNK, STEP, WIDTH = 512, 448, 8
@@ -35,6 +37,7 @@ CHUNK, STEP, WIDTH = 512, 448, 8
 @dataclass(frozen=True)
 class Training:
     per_label: int = 400
+    bytes: int = 64 << 20
     filters: int = 12
     epochs: int = 12
     batch: int = 64
@@ -99,7 +102,7 @@ class Model:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, training: Training, text: str, doc_id: str, label: str) -> tuple[list, dict[int, int]]:
-    """(label, chunk bytes) rows on the driver, of bounded number; and how many labels there are of each kind.
+    """(label, chunk bytes) rows on the driver, of bounded number and bytes; and how many labels there are of each kind.
 
     The labels are sampled before the join, so their side is small whatever the input, and no text is shuffled.
     """
@@ -110,6 +113,8 @@ def _sample(docs: DataFrame, labels: DataFrame, training: Training, text: str, d
         share = F.when(F.col("y") == y, F.lit(min(1.0, training.per_label / n))).otherwise(share)
     few = known.filter(F.pmod("h", F.lit(1 << 30)) < share * float(1 << 30))
     taken = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(few), "__id").select("h", "y", "__text")
+    half = training.bytes // 2
+    taken = taken.filter(F.coalesce(F.octet_length("__text"), F.lit(0)) <= half)
     schema = StructType([StructField("h", taken.schema["h"].dataType), StructField("y", IntegerType()), StructField("chunks", BinaryType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +127,17 @@ def _sample(docs: DataFrame, labels: DataFrame, training: Training, text: str, d
                     out.append(b"".join(int(length[j]).to_bytes(4, "little") + block[j].tobytes() for j in range(row[i], row[i + 1])))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], schema.names)
 
-    got = taken.mapInArrow(cut, schema).toArrow().sort_by("h")
+    scratch = Scratch(docs.sparkSession)
+    written = scratch.table(taken.mapInArrow(cut, schema), "quality-sample")
+    left, fits = {0: half, 1: half}, {0: [], 1: []}
+    # Rows of one id are taken together, or none is.
+    for r in written.groupBy("h", "y").agg(F.sum(F.octet_length("chunks").cast("long")).alias("n")).orderBy("h", "y").collect():
+        if r["n"] <= left[r["y"]]:
+            left[r["y"]] -= r["n"]
+            fits[r["y"]].append(r["h"])
+    got = written.filter(((F.col("y") == 0) & F.col("h").isin(fits[0])) | ((F.col("y") == 1) & F.col("h").isin(fits[1]))).toArrow()
+    got = got.sort_by([("h", "ascending"), ("y", "ascending"), ("chunks", "ascending")])
+    scratch.drop(written)
     return list(zip(got["y"].to_pylist(), got["chunks"].to_pylist(), strict=True)), counts
 
 

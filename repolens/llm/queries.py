@@ -83,8 +83,8 @@ def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents arrive in parts by a hash of their id, are compacted, and are read back from the last manifest."""
     docs = table(spark, sf_dir, "documents")
     store = shards.Store(spark, new_path(spark, "shards"), shards.Policy(least=2 * shards.MB, target=64 * shards.MB))
-    for i in range(ARRIVALS):
-        store.append(docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS)) == i))
+    for staged in store.stage(docs, F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS))):
+        store.adopt(staged)
         store.compact(docs.schema)
         store.vacuum()
     version, listed = store.manifest()

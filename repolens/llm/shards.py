@@ -1,6 +1,7 @@
 """Shards with size-tiered compaction and versioned manifests (operator 6).
 
-A store is a folder. Each arrival is appended as small immutable Parquet shards.
+A store is a folder. Each arrival is appended as small immutable Parquet shards; several that
+are known together are staged by one pass over their rows and adopted one after another.
 Compaction looks at sizes alone: shards of a tier (sizes within a factor of ``fan_in``)
 are merged once there are ``fan_in`` of them, into files of about the target size; larger
 shards are left alone. Merging reads and writes without a shuffle. A reader sees what the
@@ -18,7 +19,7 @@ import json
 import uuid
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -108,6 +109,9 @@ class Store:
     def _write(self, df: DataFrame, version: int) -> list[Shard]:
         folder = f"data/{version:010d}-{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").parquet(f"{self.path}/{folder}")
+        return self._listed(folder, version)
+
+    def _listed(self, folder: str, version: int) -> list[Shard]:
         files = [s for s in self.fs.listStatus(self._at(folder)) if s.getPath().getName().startswith("part-")]
         return [Shard(f"{folder}/{s.getPath().getName()}", s.getLen(), version) for s in files]
 
@@ -116,6 +120,41 @@ class Store:
         version, shards = self.manifest()
         return self._commit(version + 1, shards + self._write(df, version + 1))
 
+    def stage(self, df: DataFrame, arrival: Column) -> list[str]:
+        """Write rows of several arrivals in one pass, a folder for each; returns these in order, for ``adopt``.
+
+        ``arrival`` is a whole number; rows of null are the last arrival. An arrival without rows has no folder.
+        """
+        name = "__arrival"
+        while name.lower() in (c.lower() for c in df.columns):
+            name += "_"
+        folder = f"staged/{uuid.uuid4().hex}"
+        df.withColumn(name, arrival.cast("long")).write.option("compression", "zstd").partitionBy(name).parquet(f"{self.path}/{folder}")
+        below = [s.getPath().getName() for s in self.fs.listStatus(self._at(folder)) if s.isDirectory()]
+        told = {b: b.split("=", 1)[1] for b in below if b.startswith(f"{name}=")}
+        number = {b: int(v) if v.lstrip("-").isdigit() else None for b, v in told.items()}
+        return [f"{folder}/{b}" for b in sorted(number, key=lambda b: (number[b] is None, number[b] or 0))]
+
+    def adopt(self, staged: str) -> int:
+        """Move a staged arrival to its place as new shards, and commit; returns the version.
+
+        Its folder is renamed, and nothing is read or copied by Spark. If another writer commits first, the shards lie in
+        their place unlisted and are put back, so that the arrival can be adopted again.
+        """
+        version, shards = self.manifest()
+        folder = f"data/{version + 1:010d}-{uuid.uuid4().hex}"
+        self._move(staged, folder)
+        try:
+            return self._commit(version + 1, shards + self._listed(folder, version + 1))
+        except Conflict:
+            self._move(folder, staged)
+            raise
+
+    def _move(self, old: str, new: str) -> None:
+        self.fs.mkdirs(self._at(new).getParent())
+        if not self.fs.rename(self._at(old), self._at(new)):
+            raise OSError(f"{old} can't be moved to {new}")
+
     def plan(self, shards: list[Shard]) -> list[list[Shard]]:
         """The runs of shards to merge: per tier, in order of arrival."""
         tiers: dict[int, list[Shard]] = {}

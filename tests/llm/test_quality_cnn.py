@@ -88,3 +88,17 @@ def test_rows_and_whole_texts(spark):
     one = Q.fit(train, train.filter("quality = 1"))
     assert len({r.score for r in Q.score(docs.filter("doc_id < 2"), one, "doc_id").collect()}) == 1
     assert len(model.scores(pa.array([], pa.string()))) == 0
+
+
+def test_the_sample_is_bounded_in_bytes(spark):
+    rows = [(i, "w" * (3000 if i % 3 else 60_000), i % 2) for i in range(60)] + [(99, "z" * 900_000, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    sample = lambda bound: Q._sample(df, df, Q.Training(bytes=bound), "text", "doc_id", "quality")[0]
+    few, all_ = sample(200_000), sample(64 << 20)
+    assert len(all_) == 61
+    for y in (0, 1):
+        assert 0 < sum(len(c) for k, c in few if k == y) <= 100_000
+    whole = {(y, c) for y, c in all_}
+    assert all(r in whole for r in few)  # documents are whole or absent
+    assert few == sample(200_000)
+    assert sample(0) == []

@@ -1,6 +1,7 @@
 from hashlib import sha256
 
 import pytest
+from pyspark.sql import functions as F
 
 from repolens.llm import shards as H
 from repolens.llm.queries import op6_shards
@@ -59,6 +60,31 @@ def test_rows_as_they_come(spark):
     assert got.filter("file like 'data%' or file like '0%'").count() == 3
 
 
+def test_arrivals_are_staged_in_one_pass_and_adopted_in_order(spark, monkeypatch):
+    df = spark.sql("select id as doc_id, 'x' as __arrival, if(id % 10 = 9, null, 11 - id % 10) as a from range(100)").repartition(3)
+    store = H.Store(spark, new_path(spark, "s"))
+    staged = store.stage(df, F.col("a"))
+    assert len(staged) == 10 and store.manifest() == (0, [])
+    seen = []
+    for i, s in enumerate(staged):
+        assert store.adopt(s) == i + 1
+        now = {r.a for r in store.read(df.schema).collect()}
+        seen += now - set(seen)
+    assert seen == [3, 4, 5, 6, 7, 8, 9, 10, 11, None]
+    key = lambda r: r.doc_id
+    assert sorted(store.read(df.schema).collect(), key=key) == sorted(df.collect(), key=key)
+    assert store.stage(df.limit(0), F.col("a")) == []
+    (again,) = store.stage(df, F.lit(0))
+    version = store.manifest()
+    monkeypatch.setattr(store, "manifest", lambda: (version[0] - 1, version[1]))  # another writer was first
+    with pytest.raises(H.Conflict):
+        store.adopt(again)
+    monkeypatch.undo()
+    assert store.read(df.schema).count() == 100
+    store.adopt(again)
+    assert store.read(df.schema).count() == 200 and store.vacuum() == 0
+
+
 def test_tiers():
     p = H.Policy(least=10, target=1000, fan_in=4)
     assert [p.tier(x) for x in (0, 10, 11, 40, 41, 499, 500, 10_000)] == [0, 0, 1, 1, 2, 3, -1, -1]
