@@ -8,6 +8,7 @@ hashed. Spans are joined on their hash over all documents. The first place of a
 
 Only counts and first places are grouped by hash, with partial sums in each task, and
 written; the places themselves meet them in a join, which Spark splits where a hash is hot.
+Texts are read twice: once for all spans and windows, which are written, once for the runs.
 
 A passage within a long sentence, or with few stops, is cut at other places in each
 document. So runs of ``RUN`` words are compared as well where no span is sure to lie in
@@ -32,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StructField, StructType
 
 from .scratch import Scratch
 from .textnum import LOWER_CODE, mix, runs_hash, signed, slices, utf8, words
@@ -81,9 +82,9 @@ def _stops(at: np.ndarray, n: int) -> np.ndarray:
     return np.maximum(np.arange(len(at)) + SENTENCES, np.searchsorted(total, total[:-1] + SPAN_WORDS))
 
 
-def spans(data: np.ndarray, offsets: np.ndarray):
-    """(row, first sentence, last sentence + 1, hash, first byte, end byte) of every span."""
-    hashes, start, word_row, at, _ = _cut(data, offsets)
+def spans(data: np.ndarray, offsets: np.ndarray, parts: tuple | None = None):
+    """(row, first sentence, last sentence + 1, hash, first byte, end byte) of every span; ``parts`` are what ``_cut`` gives."""
+    hashes, start, word_row, at, _ = parts or _cut(data, offsets)
     n, row = len(at), np.searchsorted(at, word_row)
     h, begin = runs_hash(hashes, np.diff(np.append(at, len(hashes)))), start[at]
     i, stop = np.arange(n), _stops(at, len(hashes))
@@ -95,13 +96,13 @@ def spans(data: np.ndarray, offsets: np.ndarray):
     return r, i - row[:-1][r], stop - row[:-1][r], value, begin[i], end
 
 
-def runs(data: np.ndarray, offsets: np.ndarray):
-    """Runs in which no span is sure to lie, and windows.
+def runs(data: np.ndarray, offsets: np.ndarray, parts: tuple | None = None):
+    """Runs in which no span is sure to lie, and windows; ``parts`` are what ``_cut`` gives.
 
     Of each run: its window's number, its hash, first and last sentence, first byte and end
     byte. Of each window: row, hash, first byte and end byte.
     """
-    hashes, begin, row, at, natural = _cut(data, offsets)
+    hashes, begin, row, at, natural = parts or _cut(data, offsets)
     n, w = len(hashes), RUN - WINDOW + 1
     none = np.zeros(0, np.int64)
     if n < RUN:
@@ -128,53 +129,53 @@ def runs(data: np.ndarray, offsets: np.ndarray):
     return (number, _hash_runs(hashes, i, i + RUN), first, last, begin[i], ends(i + RUN, r)), (rj, value[j], begin[j], ends(j + WINDOW, rj))
 
 
-SPANS = StructType([StructField("doc_id", LongType()), StructField("first", IntegerType()), StructField("last", IntegerType()), StructField("hash", LongType()), StructField("start", IntegerType()), StructField("end", IntegerType())])
+PLACES = StructType([StructField("doc_id", LongType()), StructField("window", BooleanType()), StructField("hash", LongType()), *[StructField(c, IntegerType()) for c in ("first", "last", "start", "end")]])
 
 
-def span_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every span: doc_id, first and last sentence, hash, and where it starts and ends in characters."""
+def place_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Every span and, with ``window``, every window: hash, first and last sentence (spans alone), and where it starts and ends in characters."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("__text")).filter("doc_id is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, "__text"):
                 data, offsets = utf8(b.column(1))
-                r, first, stop, value, start, end = spans(data, offsets)
+                parts = _cut(data, offsets)
+                r, first, stop, value, start, end = spans(data, offsets, parts)
+                _, (rw, value_w, start_w, end_w) = runs(data, offsets, parts)
                 chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-                base = chars[offsets[:-1]][r]
-                i32 = lambda x: pa.array(x.astype(np.int32))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(r)), i32(first), i32(stop - 1), pa.array(signed(value)), i32(chars[start] - base), i32(chars[end] - base)], SPANS.names)
+                both = lambda x, y: np.concatenate([x, y])
+                row, start, end = both(r, rw), both(start, start_w), both(end, end_w)
+                base = chars[offsets[:-1]][row]
+                window = np.arange(len(row)) >= len(r)
+                ints = [pa.array(x.astype(np.int32)) for x in (both(first, 0 * rw), both(stop - 1, 0 * rw), chars[start] - base, chars[end] - base)]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(window), pa.array(signed(both(value, value_w))), *ints], PLACES.names)
 
-    return rows.mapInArrow(run, SPANS)
+    return rows.mapInArrow(run, PLACES)
 
 
 RUNS = StructType([StructField("doc_id", LongType()), StructField("hash", LongType()), *[StructField(c, IntegerType()) for c in ("first", "last", "start", "end")]])
 FILTER_BITS = 1 << 24
 
 
-def run_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hashes: DataFrame | None = None) -> DataFrame:
-    """RUNS of the runs whose window is in ``hashes``, and of others that a filter of fixed size lets pass; without it RUNS of the windows."""
+def run_table(docs: DataFrame, hashes: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """RUNS of the runs whose window is in ``hashes``, and of others that a filter of fixed size lets pass."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("__text")).filter("doc_id is not null")
-    shared = None
-    if hashes is not None:
-        # The place is below 2 ** 24, and bit p % 8 of byte p // 8 stands for it.
-        of = hashes.select(F.pmod("hash", F.lit(FILTER_BITS)).alias("p")).select(F.floor(F.col("p") / 32768).alias("b"), (F.col("p") % 32768).alias("bit"))
-        table = np.zeros((FILTER_BITS // 32768, 4096), np.uint8)
-        for x in of.groupBy("b").agg(F.bitmap_construct_agg("bit").alias("bits")).collect():
-            table[x["b"]] = np.frombuffer(bytes(x["bits"]), np.uint8)
-        shared = docs.sparkSession.sparkContext.broadcast(table.ravel())
+    # The place is below 2 ** 24, and bit p % 8 of byte p // 8 stands for it.
+    of = hashes.select(F.pmod("hash", F.lit(FILTER_BITS)).alias("p")).select(F.floor(F.col("p") / 32768).alias("b"), (F.col("p") % 32768).alias("bit"))
+    table = np.zeros((FILTER_BITS // 32768, 4096), np.uint8)
+    for x in of.groupBy("b").agg(F.bitmap_construct_agg("bit").alias("bits")).collect():
+        table[x["b"]] = np.frombuffer(bytes(x["bits"]), np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(table.ravel())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, "__text"):
                 data, offsets = utf8(b.column(1))
-                (number, value, first, last, start, end), (r, window, begin, stop) = runs(data, offsets)
-                if shared is None:
-                    value, first, last, start, end = window, 0 * r, 0 * r, begin, stop
-                else:
-                    p = np.mod(signed(window), FILTER_BITS)
-                    keep = ((shared.value[p // 8] >> (p % 8).astype(np.uint8)) & 1).astype(bool)[number]
-                    r, value, first, last, start, end = (x[keep] for x in (r[number], value, first, last, start, end))
+                (number, value, first, last, start, end), (r, window, _, _) = runs(data, offsets)
+                p = np.mod(signed(window), FILTER_BITS)
+                keep = ((shared.value[p // 8] >> (p % 8).astype(np.uint8)) & 1).astype(bool)[number]
+                r, value, first, last, start, end = (x[keep] for x in (r[number], value, first, last, start, end))
                 chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
                 base = chars[offsets[:-1]][r]
                 i32 = lambda x: pa.array(x.astype(np.int32))
@@ -187,13 +188,16 @@ HIT = ["doc_id", "first", "last", "start", "end", "first_doc_id"]
 
 
 def _later(every: DataFrame, place: str, scratch: Scratch) -> DataFrame:
-    """The rows that are not the first of their hash, by (doc_id, ``place``).
+    """The rows of a written table that are not the first of their hash, by (doc_id, ``place``); a row for each document and place.
 
     First places are written before the join, which then has nothing but the join's own shuffles, so that Spark splits a hot hash.
     """
     firsts = every.groupBy("hash").agg(F.min(F.struct("doc_id", place)).alias("origin"), F.count("*").alias("n")).filter("n > 1").select("hash", F.col("origin.doc_id").alias("first_doc_id"), F.col(f"origin.{place}").alias("origin"))
     firsts = scratch.table(firsts, "firsts")
-    return every.join(firsts, "hash").filter(f"doc_id <> first_doc_id or {place} <> origin").drop("origin")
+    later = every.join(firsts, "hash").filter(f"doc_id <> first_doc_id or {place} <> origin").select(*HIT, "hash")
+    later = scratch.table(later.dropDuplicates(["doc_id", place, "hash"]), "later")
+    scratch.drop(firsts)
+    return later
 
 
 def _apart(hits: DataFrame, found: DataFrame) -> DataFrame:
@@ -213,15 +217,21 @@ def repeated_ranges(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ``n_sentences`` counts those that the range has words of; ``first_doc_id`` is the document that keeps the range's first span or run.
     """
     scratch = scratch or Scratch(docs.sparkSession)
-    hits = scratch.table(_later(span_table(docs, doc_id, text), "first", scratch).select(*HIT).dropDuplicates(["doc_id", "first"]), "hits")
-    windows = _later(run_table(docs, doc_id, text), "start", scratch)
-    open_ = scratch.table(_apart(hits.select("doc_id", "start", "end"), windows.select("doc_id", "start", "end", "hash")).filter("not span").select("hash").distinct(), "open")
-    found = _later(run_table(docs, doc_id, text, open_), "start", scratch).select(*HIT).dropDuplicates(["doc_id", "start"])
-    every = _apart(hits, found)
+    places = scratch.table(place_table(docs, doc_id, text), "places")
+    hits = _later(places.filter("not window"), "first", scratch).drop("hash")
+    windows = _later(places.filter("window"), "start", scratch)
+    scratch.drop(places)
+    of_windows = _apart(hits.select("doc_id", "start", "end"), windows.select("doc_id", "start", "end", "hash"))
+    open_ = scratch.table(of_windows.filter("not span").select("hash").distinct(), "open")
+    scratch.drop(windows)
+    found = scratch.table(run_table(docs, open_, doc_id, text), "runs")
+    scratch.drop(open_)
+    every = _apart(hits, _later(found, "start", scratch).drop("hash"))
+    scratch.drop(found)
     order = Window.partitionBy("doc_id").orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     islands = every.withColumn("new", (F.coalesce(reach, F.lit(-1)) < F.col("start")).cast("int")).withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return islands.groupBy("doc_id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max("last") - F.min("first") + 1).alias("n_sentences"), F.min_by("first_doc_id", F.struct("start", "end")).alias("first_doc_id")).drop("island")
+    return islands.groupBy("doc_id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max("last") - F.min("first") + 1).alias("n_sentences"), F.min_by("first_doc_id", F.struct("start", "end", "first_doc_id")).alias("first_doc_id")).drop("island")
 
 
 def cut(text: str, ranges: list[tuple[int, int]]) -> str:
