@@ -3,11 +3,18 @@
 The language follows from the file's name, then its extension: two small joins. Lines are
 told apart by a small helper that keeps track of block comments and quoted strings.
 Files with a component that starts with a dot aren't counted.
+
+Lines of languages inside a file (scripts, styles and templates of markup, fenced code of
+Markdown) are told apart by a stack of languages, and counted in rows of their own, with the
+file's language as ``host``. The lines of the tags and fences are the surrounding language's, and
+so is a block that ends on its first line, or whose language isn't known. The text of prose is comment.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -72,6 +79,15 @@ LANGUAGES = [
     ("Zig", (), ("zig",), (), ("//",), (), False, ('"',), ()),
 ]
 BY_NAME = {x[0]: x for x in LANGUAGES}
+#: Languages of prose; of markup with blocks of other languages; those that a block has if its tag names none.
+PROSE = ("Markdown", "Plain Text")
+MARKUP = ("HTML", "Vue", "Svelte")
+BLOCKS = {"script": "JavaScript", "style": "CSS", "template": "HTML"}
+HOSTS = ("Markdown", *MARKUP)
+_TAG = re.compile(r"<(script|style|template)(?=[\s>])([^>]*)>", re.I)
+_NAMED = re.compile(r"""(?:^|\s)(?:lang|type)\s*=\s*["']?(?:(?:text|application)/)?(?:x-)?(?:[\w.-]+\+)?([\w.#+-]+)""", re.I)
+_COMMENT = re.compile(r"<!--.*?(?:-->|$)")
+_FENCE = re.compile(r"(`{3,}(?=[^`]*$)|~{3,})\s*\{?\.?([\w#+.-]*)")
 
 
 def language_name(name: str) -> str:
@@ -82,52 +98,130 @@ def language_name(name: str) -> str:
     raise ValueError(f"unknown language: {name}")
 
 
-def classify(text: str, language: str) -> tuple[int, int, int]:
-    """(blanks, code, comments) of a text's lines. A line with both code and comment is code; doc strings are comments."""
-    _, _, _, _, line, blocks, nested, quotes, docs = BY_NAME[language]
-    blanks = code = comments = 0
-    ends: list[str] = []  # of the block comments that are open
-    opener, quote = "", ""
-    rows = text.split("\n")
-    for row in rows[:-1] if rows[-1] == "" else rows:
-        s = row.strip()
+def language_of_tag(tag: str) -> str | None:
+    """The display name of a language by any of its names or extensions; None if it isn't known."""
+    tag = tag.lower()
+    return next((x[0] for x in LANGUAGES if tag in (n.lower() for n in (x[0], *x[1], *x[2]))), None)
+
+
+@dataclass
+class Lines:
+    """What is open within the lines of one language: ends of block comments, a quoted string."""
+
+    language: str
+    ends: tuple[str, ...] = ()
+    opener: str = ""
+    quote: str = ""
+
+    def plain(self) -> bool:
+        return not self.ends and not self.quote
+
+    def kind(self, s: str) -> int:
+        """0 if the line is blank, 1 if it has code, 2 if it is comment alone."""
         if not s:
-            blanks += 1
-            continue
+            return 0
+        if self.language in PROSE:
+            return 2
+        _, _, _, _, line, blocks, nested, quotes, docs = BY_NAME[self.language]
         has_code, i = False, 0
         while i < len(s):
-            if ends:
-                if s.startswith(ends[-1], i):
-                    i += len(ends.pop())
-                elif nested and s.startswith(opener, i):
-                    ends.append(ends[-1])
-                    i += len(opener)
+            if self.ends:
+                if s.startswith(self.ends[-1], i):
+                    i += len(self.ends[-1])
+                    self.ends = self.ends[:-1]
+                elif nested and s.startswith(self.opener, i):
+                    self.ends = (*self.ends, self.ends[-1])
+                    i += len(self.opener)
                 else:
                     i += 1
-            elif quote:
+            elif self.quote:
                 i += 1 + (s[i] == "\\")
-                if s[i - 1 : i] == quote:
-                    quote = ""
+                if s[i - 1 : i] == self.quote:
+                    self.quote = ""
             elif doc := next((d for d in docs if s.startswith(d, i)), None):
-                ends, opener = [doc], ""
+                self.ends, self.opener = (doc,), ""
                 has_code |= i > 0  # a string after code on its line is no doc string
                 i += len(doc)
             elif block := next((b for b in blocks if s.startswith(b[0], i)), None):
-                ends, opener = [block[1]], block[0]
+                self.ends, self.opener = (block[1],), block[0]
                 i += len(block[0])
             elif any(s.startswith(x, i) for x in line):
                 break
             else:
-                quote = next((q for q in quotes if s.startswith(q, i)), "")
+                self.quote = next((q for q in quotes if s.startswith(q, i)), "")
                 has_code |= not s[i].isspace()
                 i += 1
-        if quote and quote != "`":
-            quote = ""  # plain strings end with their line
-        if has_code:
-            code += 1
-        else:
-            comments += 1
-    return blanks, code, comments
+        if self.quote != "`":
+            self.quote = ""  # plain strings end with their line
+        return 1 if has_code else 2
+
+
+@dataclass
+class Block:
+    """A language of the stack. ``end`` is what closes it; within ``raw`` text only a fence around it is looked for as well."""
+
+    lines: Lines
+    end: re.Pattern | None = None
+    raw: bool = False
+    fence: bool = False
+
+
+def _opened(s: str, top: Block) -> Block | None:
+    """The block that a line opens. One that also ends there is none."""
+    host = top.lines.language
+    if top.raw or not top.lines.plain():
+        return None
+    if host == "Markdown" and (m := _FENCE.match(s)):
+        end = re.compile(f"{m[1][0]}{{{len(m[1])},}}$")
+        inner = language_of_tag(m[2])
+        return Block(Lines(inner) if inner else top.lines, end, raw=inner not in HOSTS, fence=True)
+    if host in MARKUP:
+        s = _COMMENT.sub("", s)
+        for m in reversed([m for m in _TAG.finditer(s) if not m[2].endswith("/")]):
+            name = m[1].lower()
+            end = re.compile(f"</{name}\\s*>", re.I)
+            if end.search(s, m.end()):
+                continue
+            named = _NAMED.search(m[2])
+            inner = language_of_tag(named[1]) if named and named[1].lower() != "module" else BLOCKS[name]
+            return Block(Lines(inner) if inner else top.lines, end, raw=inner not in MARKUP)
+    return None
+
+
+def _closed(s: str, stack: list[Block]) -> tuple[int, str] | None:
+    """The place in the stack of the innermost block that a line closes, and what of the line comes after."""
+    raw = False
+    for k in range(len(stack) - 1, 0, -1):
+        if (stack[k].fence or not raw) and (m := stack[k].end.match(s) if stack[k].fence else stack[k].end.search(s)):
+            return k, s[m.end() :]
+        raw |= stack[k].raw
+    return None
+
+
+def classify_all(text: str, language: str) -> dict[str | None, tuple[int, int, int]]:
+    """(blanks, code, comments) of a text's own lines (None), and of those of each language inside it."""
+    counts: dict[str | None, list[int]] = {None: [0, 0, 0]}
+    own = Lines(language)
+    stack = [Block(own)]
+    rows = text.split("\n")
+    for row in rows[:-1] if rows[-1] == "" else rows:
+        s = row.strip()
+        left = s
+        if closed := _closed(s, stack):
+            del stack[closed[0] :]
+            left = closed[1]
+        lines = stack[-1].lines
+        opened = _opened(left, stack[-1]) if left else None
+        counts.setdefault(None if lines is own else lines.language, [0, 0, 0])[lines.kind(s)] += 1
+        if opened:
+            lines.ends, lines.quote = (), ""  # what follows the tag on its line is the block's
+            stack.append(opened)
+    return {k: tuple(v) for k, v in counts.items()}
+
+
+def classify(text: str, language: str) -> tuple[int, int, int]:
+    """(blanks, code, comments) of a text's own lines. A line with both code and comment is code; doc strings are comments."""
+    return classify_all(text, language)[None]
 
 
 def languages(spark, wanted: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
@@ -149,14 +243,25 @@ def with_language(files: DataFrame, wanted: tuple[str, ...] = ()) -> DataFrame:
     return out.withColumn("language", F.coalesce("by_name", "by_extension")).filter("language is not null").drop("name", "extension", "by_name", "by_extension")
 
 
-def count_lines(files: DataFrame, wanted: tuple[str, ...] = ()) -> DataFrame:
-    """(path, oid, language, blanks, code, comments) of ``files`` (path, oid, content)."""
+COUNTED = "path string, oid string, language string, host string, blanks long, code long, comments long"
+
+
+def count_lines(files: DataFrame, wanted: tuple[str, ...] = (), embedded: bool = False) -> DataFrame:
+    """COUNTED of ``files`` (path, oid, content): a row for the file's own lines, and one for each language inside it, with its ``host``.
+
+    ``wanted`` are languages of files; with ``embedded`` they are languages of lines, wherever these are.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [classify((c or b"").decode("utf-8", "replace"), n) for c, n in zip(b.column(3).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            counts = [pa.array([g[i] for g in got], pa.int64()) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], *counts], ["path", "oid", "language", "blanks", "code", "comments"])
+            at, got = [], []
+            for i, (c, n) in enumerate(zip(b.column(3).to_pylist(), b.column(2).to_pylist(), strict=True)):
+                for inner, counts in classify_all((c or b"").decode("utf-8", "replace"), n).items():
+                    at.append(i)
+                    got.append((inner or n, inner and n, *counts))
+            columns = [pa.array([g[i] for g in got], pa.string() if i < 2 else pa.int64()) for i in range(5)]
+            yield pa.RecordBatch.from_arrays([*(x.take(pa.array(at, pa.int64())) for x in b.columns[:2]), *columns], ["path", "oid", "language", "host", "blanks", "code", "comments"])
 
-    rows = with_language(files, wanted).select("path", "oid", "language", "content")
-    return rows.mapInArrow(run, "path string, oid string, language string, blanks long, code long, comments long")
+    of_files = (*wanted, *HOSTS) if wanted and embedded else wanted
+    rows = with_language(files, of_files).select("path", "oid", "language", "content").mapInArrow(run, COUNTED)
+    return rows.filter(F.col("language").isin([language_name(w) for w in wanted])) if wanted and embedded else rows

@@ -74,14 +74,20 @@ class FileCount(Measurement):
 
 @dataclass(frozen=True)
 class Loc(Measurement):
-    """Code lines by language; ``languages`` by any of their names, all if empty; the ``topn`` largest of each commit."""
+    """Code lines by language; ``languages`` by any of their names, all if empty; the ``topn`` largest of each commit.
+
+    Lines of other languages inside a file count for none, or, with ``embedded``, for their own language.
+    """
 
     languages: tuple[str, ...] = ()
     topn: int | None = None
+    embedded: bool = False
 
     def measure(self, files: DataFrame) -> DataFrame:
-        out = count_lines(files, self.languages).filter("blanks + code + comments > 0")
-        return out.select("path", "oid", F.col("language").alias("key"), F.col("code").alias("value"))
+        out = count_lines(files, self.languages, self.embedded).filter("blanks + code + comments > 0")
+        if self.embedded:
+            return out.groupBy("path", "oid", F.col("language").alias("key")).agg(F.sum("code").alias("value"))
+        return out.filter("host is null").select("path", "oid", F.col("language").alias("key"), F.col("code").alias("value"))
 
     def finish(self, totals: DataFrame) -> DataFrame:
         return totals if self.topn is None else top_n(totals, self.topn, ("chain_pos",), "total", "key")

@@ -187,6 +187,43 @@ def loc_blank_code_by_group(spark, sf_dir):
     return counted.groupBy(F.nullif(F.substring_index("path", "/", 1), F.col("path")).alias("lang")).agg(F.sum("blanks").alias("blanks"), F.sum("code").alias("code"))
 
 
+def _line_counts(counted: DataFrame, key: str) -> DataFrame:
+    """Summed line counts by the first component of the path, language, and whether the lines are inside a file of another."""
+    of = counted.groupBy(F.substring_index("path", "/", 1).alias(key), "language", F.col("host").isNotNull().alias("embedded"))
+    return of.agg(*[F.sum(c).alias(c) for c in ("blanks", "code", "comments")])
+
+
+@query("""with files as (select split_part(url, ':', 1) as scheme, regexp_replace(html, '(<!--.*?-->)', chr(10) || '\\1' || chr(10), 'g') as html from pages where html is not null and url is not null),
+  rows as (select scheme, 'HTML' as language, false as embedded, unnest(string_split(regexp_replace(html, '(?s)(<(?:style|script)>).*?(</(?:style|script)>)', '\\1' || chr(10) || '\\2', 'g') || chr(10) || 'x', chr(10))[:-2]) as s from files
+    union all select scheme, 'CSS', true, unnest(string_split(array_to_string(regexp_extract_all(html, '(?s)<style>(.*?)</style>', 1), chr(10)), chr(10))) from files
+    union all select scheme, 'JavaScript', true, unnest(string_split(array_to_string(regexp_extract_all(html, '(?s)<script>(.*?)</script>', 1), chr(10)), chr(10))) from files)
+  select scheme, language, embedded, cast(count(*) filter (regexp_full_match(s, '\\s*')) as bigint) as blanks, cast(count(*) filter (not regexp_full_match(s, '\\s*|\\s*<!--.*-->\\s*')) as bigint) as code,
+    cast(count(*) filter (regexp_full_match(s, '\\s*<!--.*-->\\s*')) as bigint) as comments from rows group by scheme, language, embedded""")
+def loc_embedded_markup(spark, sf_dir):
+    """Pages as markup whose scripts, styles and comments have lines of their own: those of the blocks count for their own language."""
+    html = F.regexp_replace("html", "(<!--.*?-->)", "\n$1\n")
+    html = F.regexp_replace(F.regexp_replace(html, "(<(?:style|script)>)", "$1\n"), "(</(?:style|script)>)", "\n$1")
+    pages = read(spark, sf_dir, "pages").filter("html is not null and url is not null")
+    path = F.concat_ws("/", F.substring_index("url", ":", 1), F.concat("page_id", F.lit(".html")))
+    files = pages.select(path.alias("path"), F.col("page_id").cast("string").alias("oid"), F.encode(html, "UTF-8").alias("content"))
+    return _line_counts(count_lines(files), "scheme")
+
+
+@query("""with lines as (select coalesce(lang, 'none') as lang, unnest(string_split(text, chr(10))) as s from documents where text is not null),
+  counts as (select lang, count(*) filter (regexp_full_match(s, '\\s*')) as b, count(*) filter (not regexp_full_match(s, '\\s*')) as c from lines group by lang),
+  docs as (select coalesce(lang, 'none') as lang, count(*) as n from documents where text is not null group by all)
+  select lang, 'Markdown' as language, false as embedded, cast(b as bigint) as blanks, cast(0 as bigint) as code, cast(c + 2 * n as bigint) as comments from counts join docs using (lang)
+  union all select lang, 'JSON', true, cast(b as bigint), cast(c as bigint), cast(0 as bigint) from counts""")
+def loc_fenced_blocks(spark, sf_dir):
+    """Documents as prose with themselves in a fence below: once comment, once code of the language that the fence names."""
+    docs = read(spark, sf_dir, "documents").filter("text is not null")
+    text = F.replace(F.replace("text", F.lit("`"), F.lit("'")), F.lit("~"), F.lit("-"))
+    path = F.concat_ws("/", F.coalesce("lang", F.lit("none")), F.concat("doc_id", F.lit(".md")))
+    content = F.concat(text, F.lit("\n```json\n"), text, F.lit("\n```\n"))
+    files = docs.select(path.alias("path"), F.col("doc_id").cast("string").alias("oid"), F.encode(content, "UTF-8").alias("content"))
+    return _line_counts(count_lines(files), "lang")
+
+
 @query("""select source, lang, chars from (select *, row_number() over (partition by source order by chars desc, lang) as n from
   (select source, lang, cast(sum(n_chars) as bigint) as chars from documents group by source, lang)) where n <= 2""")
 def topn_per_group(spark, sf_dir):

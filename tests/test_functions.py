@@ -11,7 +11,8 @@ from repolens.functions import json_query as J
 from repolens.functions.lines import content_matching_lines, first_matches, lines
 from repolens.functions.patterns import glob_to_regex, line_regex
 from repolens.functions.values import first_number, number_text, timestamp_text
-from repolens.operators.loc import language_name
+from repolens.operators.loc import classify, classify_all, count_lines, language_name
+from repolens.operators.measures import Loc
 from repolens.operators.measures import StatConfig
 from repolens.operators.sampling import Granularity
 
@@ -117,3 +118,77 @@ def test_numbers_as_text_in_full(spark):
     got = spark.createDataFrame([(v,) for v in values], "x double").select("x", number_text(F.col("x")).alias("t")).collect()
     for r in got:
         assert set(r.t) <= set("-.0123456789") and float(r.t) == r.x, r
+
+
+PAGE = """<!DOCTYPE html>
+<!-- <script> -->
+<script>
+// hidden
+var x = "</template>";
+
+</script><style lang="scss">
+/* a */
+b { c: d }
+</style>
+<script>one()</script>
+<script type="text/unknown">
+<!--
+kept
+-->
+</script>
+<p>text
+"""
+COMPONENT = """<template>
+  <div>
+    <template v-if="a">
+      <!-- note -->
+      <b/>
+    </template>
+  </div>
+</template>
+
+<script setup lang="ts">
+const a = 1; // one
+</script>
+"""
+PROSE = """# Title
+
+~~~python
+# ~~~ no end
+x = 1
+~~~
+```
+plain
+```
+````html
+<style>
+```
+p {}
+</style>
+<i>
+````
+```nonsense
+a
+```
+end
+"""
+
+
+def test_lines_of_languages_inside_files():
+    assert classify_all(PAGE, "HTML") == {None: (0, 8, 4), "JavaScript": (1, 1, 1), "Sass": (0, 1, 1)}
+    assert classify_all(COMPONENT, "Vue") == {None: (1, 4, 0), "HTML": (0, 5, 1), "TypeScript": (0, 1, 0)}
+    assert classify_all(PROSE, "Markdown") == {None: (1, 0, 12), "Python": (0, 1, 1), "HTML": (0, 3, 0), "CSS": (0, 2, 0)}
+    assert classify("a\n\n", "Plain Text") == (1, 0, 1)
+    assert classify_all("", "HTML") == {None: (0, 0, 0)}
+    # A block that never ends goes to the end of the file; another file begins anew.
+    assert classify_all("<script>\na\n<p>", "HTML") == {None: (0, 1, 0), "JavaScript": (0, 2, 0)}
+    assert classify_all("```js\n/*\n```\n```js\nx\n```\n", "Markdown") == {None: (0, 0, 4), "JavaScript": (0, 1, 1)}  # each block begins anew
+
+
+def test_inner_lines_count_for_their_language_when_asked(spark):
+    files = spark.createDataFrame([("a.html", "1", PAGE.encode()), ("b.md", "2", PROSE.encode()), ("c.py", "3", b"x = 1\n"), ("d.vue", "4", b""), ("e.html", "5", None)], "path string, oid string, content binary")
+    got = {(r.path, r.language): r.host for r in count_lines(files).collect()}
+    assert got == {("a.html", "HTML"): None, ("a.html", "JavaScript"): "HTML", ("a.html", "Sass"): "HTML", ("b.md", "Markdown"): None, ("b.md", "Python"): "Markdown", ("b.md", "HTML"): "Markdown", ("b.md", "CSS"): "Markdown", ("c.py", "Python"): None, ("d.vue", "Vue"): None, ("e.html", "HTML"): None}
+    measured = lambda loc: {(r.path, r.key): r.value for r in loc.measure(files).collect()}
+    assert measured(Loc()) == {("a.html", "HTML"): 8, ("b.md", "Markdown"): 0, ("c.py", "Python"): 1}
+    assert measured(Loc(languages=("Python", "HTML"), embedded=True)) == {("a.html", "HTML"): 8, ("b.md", "Python"): 1, ("b.md", "HTML"): 3, ("c.py", "Python"): 1}
