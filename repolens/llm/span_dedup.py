@@ -187,15 +187,16 @@ def run_table(docs: DataFrame, hashes: DataFrame, doc_id: str = "doc_id", text:
 HIT = ["doc_id", "first", "last", "start", "end", "first_doc_id"]
 
 
-def _later(every: DataFrame, place: str, scratch: Scratch) -> DataFrame:
-    """The rows of a written table that are not the first of their hash, by (doc_id, ``place``); a row for each document and place.
+def _later(every: DataFrame, place: str, scratch: Scratch, once: bool = True) -> DataFrame:
+    """The rows of a written table that are not the first of their hash, by (doc_id, ``place``); with ``once`` a row for each document and place, without its hash.
 
     First places are written before the join, which then has nothing but the join's own shuffles, so that Spark splits a hot hash.
+    Nothing after the join may use its partitions either: rows are told apart without their hash.
     """
     firsts = every.groupBy("hash").agg(F.min(F.struct("doc_id", place)).alias("origin"), F.count("*").alias("n")).filter("n > 1").select("hash", F.col("origin.doc_id").alias("first_doc_id"), F.col(f"origin.{place}").alias("origin"))
     firsts = scratch.table(firsts, "firsts")
-    later = every.join(firsts, "hash").filter(f"doc_id <> first_doc_id or {place} <> origin").select(*HIT, "hash")
-    later = scratch.table(later.dropDuplicates(["doc_id", place, "hash"]), "later")
+    later = every.join(firsts, "hash").filter(f"doc_id <> first_doc_id or {place} <> origin")
+    later = scratch.table(later.select(*HIT).dropDuplicates(["doc_id", place]) if once else later.select(*HIT, "hash"), "later")
     scratch.drop(firsts)
     return later
 
@@ -218,15 +219,15 @@ def repeated_ranges(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     scratch = scratch or Scratch(docs.sparkSession)
     places = scratch.table(place_table(docs, doc_id, text), "places")
-    hits = _later(places.filter("not window"), "first", scratch).drop("hash")
-    windows = _later(places.filter("window"), "start", scratch)
+    hits = _later(places.filter("not window"), "first", scratch)
+    windows = _later(places.filter("window"), "start", scratch, once=False)
     scratch.drop(places)
     of_windows = _apart(hits.select("doc_id", "start", "end"), windows.select("doc_id", "start", "end", "hash"))
     open_ = scratch.table(of_windows.filter("not span").select("hash").distinct(), "open")
     scratch.drop(windows)
     found = scratch.table(run_table(docs, open_, doc_id, text), "runs")
     scratch.drop(open_)
-    every = _apart(hits, _later(found, "start", scratch).drop("hash"))
+    every = _apart(hits, _later(found, "start", scratch))
     scratch.drop(found)
     order = Window.partitionBy("doc_id").orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
