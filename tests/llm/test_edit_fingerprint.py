@@ -185,3 +185,49 @@ def test_walks_against_plain_loops():
     rng = random.Random(12)
     for t in ["", "a", "ab", "abc" * 100, prose(rng, 5), prose(rng, 200), "日本語" * 70, "x" * 1000]:
         assert "".join(map(str, np.unpackbits(E.fingerprints([t])[0]))) == walked(t)
+
+
+def test_near_ids_of_the_query_against_all_pairs(spark):
+    """No document is with another that no chain of near pairs reaches, and nearly every near pair is together."""
+    sf = "/root/testdata/sf0.01"
+    rows = sorted((r.doc_id, r.fingerprint, r.near_id) for r in op9_edit_fingerprint(spark, sf).collect())
+    bits = np.array([np.frombuffer(bytes.fromhex(f), np.uint8) for _, f, _ in rows])
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    near = []
+    for i in range(len(rows)):
+        for j in i + 1 + np.flatnonzero(np.bitwise_count(bits[i + 1 :] ^ bits[i]).sum(1) <= 25):
+            near.append((i, j))
+            root[max(find(i), find(j))] = min(find(i), find(j))
+    least = [rows[find(i)][0] for i in range(len(rows))]
+    groups = {}
+    for d, _, n in rows:
+        groups.setdefault(n, []).append(d)
+    at = {d: i for i, (d, _, _) in enumerate(rows)}
+    assert all(n == min(g) for n, g in groups.items())
+    assert all(len({least[at[d]] for d in g}) == 1 for g in groups.values())
+    together = sum(rows[i][2] == rows[j][2] for i, j in near)
+    assert len(near) > 20 and together >= 0.95 * len(near)
+
+
+def test_recall_of_edited_texts(spark):
+    """Whole documents with a few edits of characters, spread over them: near by their texts, not by planted bits."""
+    docs = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect() if len(r.text or "") > 1500]
+    docs = list(dict.fromkeys(docs))[:150]
+    rng = random.Random(8)
+    rows = []
+    for i, t in enumerate(docs):
+        u = list(t)
+        for _ in range(max(1, len(t) // 1000)):
+            u[rng.randrange(len(u))] = rng.choice("qxz")
+        rows += [(2 * i, t), (2 * i + 1, "".join(u))]
+    prints = spark.createDataFrame([(i, f.tobytes().hex()) for (i, _), f in zip(rows, E.fingerprints([t for _, t in rows]))], "doc_id long, fingerprint string")
+    of = {r.doc_id: r.near_id for r in prints.join(E.near_groups(prints), "fingerprint").collect()}
+    found = sum(of[2 * i] == of[2 * i + 1] for i in range(len(docs))) / len(docs)
+    print("recall of edited texts", found)
+    assert len(docs) > 100 and found >= 0.9
