@@ -120,6 +120,8 @@ def running_totals(sampled: DataFrame, steps: DataFrame, block: int = BLOCK, blo
     of_block = F.floor(F.col("chain_pos") / block).alias("block")
     asked = sampled.select(of_block).distinct()
     if blocks is None:
+        # What the steps come from, such as all contents, is read once; the sums have a row for each key and commit that changes it.
+        summed = checkpointed(summed)
         blocks = block_sums(summed, block)
     else:
         summed = steps.join(asked, of_block == asked["block"], "left_semi").groupBy("chain_pos", "key").agg(F.sum("value").alias("value"), F.sum("n").alias("n"))

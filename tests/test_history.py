@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from repolens.operators import history as H
-from repolens.operators.measures import StatConfig
+from repolens.operators.measures import Loc, StatConfig
 from repolens.operators.sampling import Granularity
 from repolens.plans.engine import Engine, parse_date, publish, series
 from repolens.sources import config, results
@@ -284,3 +284,28 @@ def test_live_totals_are_exact_and_meet_few_rows(spark):
     odd = spark.createDataFrame([("i", float("inf"), 9, -1), ("i", 1.0, 9, -1), ("n", float("inf"), 9, -1), ("n", float("-inf"), 9, -1), ("z", 0.0, 9, -1)], "key string, value double, from_pos int, to_pos int")
     got = {x.key: x.total for x in H.live_totals(spark.createDataFrame([(5,)], "chain_pos int"), odd).collect()}
     assert got["i"] == float("inf") and math.isnan(got["n"]) and got["z"] == 0.0
+
+
+def test_contents_are_measured_once_for_a_series(spark):
+    """A statistic in the delta form measures its contents once, however many of its sums need the values."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    class Counted(Loc):
+        def measure(self, files):
+            return super().measure(files.mapInArrow(count, files.schema))
+
+    class Stat(StatConfig):
+        def measurement(self):
+            return Counted()
+
+    commits = spark.sql("select 'r' as repo, cast(id as int) as chain_pos, concat('c', id) as sha, timestamp_seconds(1709251200 - id * 86400) as ts from range(3)")
+    changes = spark.sql("select cast(id % 3 as int) as chain_pos, '000000' as old_mode, '' as old_oid, '100644' as new_mode, cast(id as string) as new_oid, concat(id, '.json') as path from range(12)")
+    contents = spark.sql("select cast(id as string) as oid, encode('a\\n\\nb', 'UTF-8') as content from range(12)")
+    got = {r.commit: r.value for r in series(commits, changes, contents, Stat("n", "loc"), Granularity("daily")).collect()}
+    assert got == {"c0": "24", "c1": "16", "c2": "8"}
+    assert seen.value == 12
