@@ -1,6 +1,7 @@
 import random
 import fnmatch
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -192,3 +193,15 @@ def test_inner_lines_count_for_their_language_when_asked(spark):
     measured = lambda loc: {(r.path, r.key): r.value for r in loc.measure(files).collect()}
     assert measured(Loc()) == {("a.html", "HTML"): 8, ("b.md", "Markdown"): 0, ("c.py", "Python"): 1}
     assert measured(Loc(languages=("Python", "HTML"), embedded=True)) == {("a.html", "HTML"): 8, ("b.md", "Python"): 1, ("b.md", "HTML"): 3, ("c.py", "Python"): 1}
+
+
+def test_lines_are_told_apart_by_their_marks_alone():
+    text = "\n".join(["some words of a line, and others", "", " \t", "more"] * 100_000)
+    start = time.process_time()
+    assert classify(text, "JSON") == classify(text, "Rust") == (200_000, 200_000, 0)
+    assert classify_all(text + "\n```json\n" + text + "\n```\n", "Markdown") == {None: (200_000, 0, 200_002), "JSON": (200_000, 200_000, 0)}
+    assert time.process_time() - start < 5  # each character alone takes more than 20 s
+    # An escaped quote ends no string, so that what follows is no comment; a doc string of a language with nested comments ends.
+    assert classify('a = "\\" /* b";\nc\n', "Rust") == (0, 2, 0)
+    assert classify('"""\na\n"""\nb\n', "Julia") == (0, 1, 3)
+    assert classify("a = '`'\n/* b */ c /*\n\n*/ d", "JavaScript") == (1, 3, 0)
