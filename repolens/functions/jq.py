@@ -56,8 +56,15 @@ def _variant(x: Column) -> Column:
 
 def _kind(v: Column) -> Column:
     """null, boolean, number, string, array or object."""
-    k = F.schema_of_variant(v)
-    return F.when(k == "VOID", "null").when(k == "BOOLEAN", "boolean").when(k == "STRING", "string").when(k.startswith("ARRAY"), "array").when(k.startswith("OBJECT"), "object").otherwise("number")
+    named = lambda k: F.when(k == "VOID", "null").when(k == "BOOLEAN", "boolean").when(k == "STRING", "string").when(k.startswith("ARRAY"), "array").when(k.startswith("OBJECT"), "object").otherwise("number")
+    return let(F.schema_of_variant(v), named)
+
+
+def _by_kind(f: Callable[..., Column], *values: Column) -> Column:
+    """``f`` of the kinds of some values. Within lambdas Spark works out each mention of an expression anew, and a kind reads its whole value."""
+    if not values:
+        return f()
+    return let(_kind(values[0]), lambda k: _by_kind(lambda *more: f(k, *more), *values[1:]))
 
 
 def _as(v: Column, kind: str) -> Column:
@@ -66,8 +73,7 @@ def _as(v: Column, kind: str) -> Column:
 
 def _items(v: Column) -> Column:
     """The elements of an array or the values of an object; an error for others."""
-    k = _kind(v)
-    return F.when(k == "array", _as(v, MANY)).when(k == "object", F.map_values(_as(v, "map<string,variant>")))
+    return _by_kind(lambda k: F.when(k == "array", _as(v, MANY)).when(k == "object", F.map_values(_as(v, "map<string,variant>"))), v)
 
 
 def _each(outputs: Column, f: Filter) -> Column:
@@ -85,29 +91,34 @@ def _truthy(v: Column) -> Column:
 
 
 def _equal(a: Column, b: Column) -> Column:
-    numbers = (_kind(a) == "number") & (_kind(b) == "number")
-    return F.when(numbers, _as(a, "double") == _as(b, "double")).otherwise((_kind(a) == _kind(b)) & (F.to_json(a) == F.to_json(b)))
+    same = F.to_json(a) == F.to_json(b)
+    return _by_kind(lambda k, m: F.when((k == "number") & (m == "number"), _as(a, "double") == _as(b, "double")).otherwise((k == m) & same), a, b)
 
 
 def _less(a: Column, b: Column) -> Column:
     """Null before false before true before numbers before strings; null for arrays and objects."""
-    rank = lambda v: F.when(_kind(v) == "null", 0).when(_kind(v) == "boolean", F.when(_truthy(v), 2).otherwise(1)).when(_kind(v) == "number", 3).when(_kind(v) == "string", 4)
-    same = F.when(rank(a) == 3, _as(a, "double") < _as(b, "double")).when(rank(a) == 4, _as(a, "string") < _as(b, "string")).otherwise(F.lit(False))
-    return F.when(rank(a) != rank(b), rank(a) < rank(b)).when(rank(a) == rank(b), same)
+    rank = lambda v: _by_kind(lambda k: F.when(k == "null", 0).when(k == "boolean", F.when(_truthy(v), 2).otherwise(1)).when(k == "number", 3).when(k == "string", 4), v)
+    same = lambda r: F.when(r == 3, _as(a, "double") < _as(b, "double")).when(r == 4, _as(a, "string") < _as(b, "string")).otherwise(F.lit(False))
+    return let(rank(a), lambda r: let(rank(b), lambda s: F.when(r != s, r < s).when(r == s, same(r))))
 
 
 def _arithmetic(op: str, a: Column, b: Column) -> Column:
     """The output of ``a op b``."""
+    return _by_kind(lambda k, m: _computed(op, a, b, k, m), a, b)
+
+
+def _computed(op: str, a: Column, b: Column, k: Column, m: Column) -> Column:
+    """The output of ``a op b``, values of the kinds k and m."""
     x, y = _as(a, "double"), _as(b, "double")
-    numbers, kinds = (_kind(a) == "number") & (_kind(b) == "number"), _kind(a) == _kind(b)
+    numbers, kinds = (k == "number") & (m == "number"), k == m
     one = lambda c: F.array(_variant(c))
     if op == "+":
         out = F.when(F.is_variant_null(a), F.array(b)).when(F.is_variant_null(b), F.array(a)).when(numbers, one(x + y))
-        out = out.when(kinds & (_kind(a) == "string"), one(F.concat(_as(a, "string"), _as(b, "string"))))
-        return out.when(kinds & (_kind(a) == "array"), F.array(F.to_variant_object(F.concat(_as(a, MANY), _as(b, MANY)))))
+        out = out.when(kinds & (k == "string"), one(F.concat(_as(a, "string"), _as(b, "string"))))
+        return out.when(kinds & (k == "array"), F.array(F.to_variant_object(F.concat(_as(a, MANY), _as(b, MANY)))))
     if op == "-":
         left = F.filter(_as(a, MANY), lambda v: ~F.exists(_as(b, MANY), lambda w: _equal(v, w)))
-        return F.when(numbers, one(x - y)).when(kinds & (_kind(a) == "array"), F.array(F.to_variant_object(left)))
+        return F.when(numbers, one(x - y)).when(kinds & (k == "array"), F.array(F.to_variant_object(left)))
     if op == "*":
         return F.when(numbers, one(x * y))
     whole = lambda c: F.when(c >= 0, F.floor(c)).otherwise(F.ceil(c)).cast("double")
@@ -162,25 +173,25 @@ def _field(name: str) -> Filter:
 
 def _index(n: int) -> Filter:
     def get(v: Column) -> Column:
-        k = _kind(v)
         at = let(_as(v, MANY), lambda items: F.get(items, F.lit(n) if n >= 0 else F.size(items) + n))
-        return F.when(k == "array", F.array(F.coalesce(at, _null()))).when(k == "null", F.array(_null()))
+        return _by_kind(lambda k: F.when(k == "array", F.array(F.coalesce(at, _null()))).when(k == "null", F.array(_null())), v)
 
     return get
 
 
 def _length(v: Column) -> Column:
-    k = _kind(v)
-    size = F.when(k == "null", 0.0).when(k == "number", F.abs(_as(v, "double"))).when(k == "string", F.char_length(_as(v, "string")).cast("double"))
-    size = size.when(k == "array", F.size(_as(v, MANY)).cast("double")).when(k == "object", F.size(_as(v, "map<string,variant>")).cast("double"))
-    return let(size, lambda n: F.when(n.isNotNull(), F.array(_variant(n))))
+    def size(k: Column) -> Column:
+        out = F.when(k == "null", 0.0).when(k == "number", F.abs(_as(v, "double"))).when(k == "string", F.char_length(_as(v, "string")).cast("double"))
+        return out.when(k == "array", F.size(_as(v, MANY)).cast("double")).when(k == "object", F.size(_as(v, "map<string,variant>")).cast("double"))
+
+    return let(_by_kind(size, v), lambda n: F.when(n.isNotNull(), F.array(_variant(n))))
 
 
 def _keys(v: Column) -> Column:
-    k = _kind(v)
     places = F.transform(F.sequence(F.lit(0), F.size(_as(v, MANY)) - 1), _variant)
     names = F.transform(F.array_sort(F.map_keys(_as(v, "map<string,variant>"))), _variant)
-    return F.when(k == "object", F.array(F.to_variant_object(names))).when(k == "array", F.array(F.to_variant_object(F.when(F.size(_as(v, MANY)) > 0, places).otherwise(_none()))))
+    listed = F.array(F.to_variant_object(F.when(F.size(_as(v, MANY)) > 0, places).otherwise(_none())))
+    return _by_kind(lambda k: F.when(k == "object", F.array(F.to_variant_object(names))).when(k == "array", listed), v)
 
 
 def _add(v: Column) -> Column:
@@ -188,14 +199,15 @@ def _add(v: Column) -> Column:
 
 
 def _to_entries(v: Column) -> Column:
-    entries = F.transform(F.map_entries(_as(v, "map<string,variant>")), lambda e: F.to_variant_object(F.struct(e["key"].alias("key"), e["value"].alias("value"))))
-    return F.when(_kind(v) == "object", F.array(F.to_variant_object(F.array_sort(entries, lambda a, b: F.when(_as(F.variant_get(a, "$.key", "variant"), "string") < _as(F.variant_get(b, "$.key", "variant"), "string"), -1).otherwise(1)))))
+    in_order = F.array_sort(F.map_entries(_as(v, "map<string,variant>")), lambda a, b: F.when(a["key"] < b["key"], -1).otherwise(1))
+    entries = F.transform(in_order, lambda e: F.to_variant_object(F.struct(e["key"].alias("key"), e["value"].alias("value"))))
+    return F.when(_kind(v) == "object", F.array(F.to_variant_object(entries)))
 
 
 def _least(largest: bool) -> Filter:
     def find(v: Column) -> Column:
         better = lambda a, x: ~_less(x, a) if largest else _less(x, a)
-        step = lambda a, x: F.when(F.size(a) == 0, F.array(x)).when(better(F.get(a, F.lit(0)), x).isNull(), _error()).when(better(F.get(a, F.lit(0)), x), F.array(x)).otherwise(a)
+        step = lambda a, x: F.when(F.size(a) == 0, F.array(x)).otherwise(let(better(F.get(a, F.lit(0)), x), lambda yes: F.when(yes.isNull(), _error()).when(yes, F.array(x)).otherwise(a)))
         best = F.aggregate(_as(v, MANY), _none(), step)
         return F.when(_kind(v) == "array", F.when(F.size(best) == 0, F.array(_null())).otherwise(best))
 

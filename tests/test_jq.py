@@ -64,3 +64,10 @@ def test_numbers_and_counts(spark):
     assert [got[i][0] for i in range(7)] == [2.0, None, None, 0.0, 0.0, 9223372036854775808.0, 0.0]
     assert got[0][1] == {"a": 2} and got[1][1] is None and got[5][1] == {"b": 9223372036854775807, "c": 3} and got[6][1] is None
     assert [got[i][2] for i in range(7)] == [0.0, None, None, 0.0, 0.0, 0.0, 0.0]
+
+
+def test_a_filter_asks_for_the_kind_of_a_value_once(spark):
+    """A kind reads its whole value, and Spark works out each mention of it in a lambda anew."""
+    run = lower('.p | to_entries | map(select(.key == "k" and .value > 50)) | length')
+    plan = spark.range(1).select(run(F.parse_json(F.lit('{"p":{}}'))))._jdf.queryExecution().analyzed().toString()
+    assert 0 < plan.count("schema_of_variant(") < 50
