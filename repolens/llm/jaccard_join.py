@@ -332,12 +332,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     own = facts.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id")).join(nodes, "sid", "left_semi")
     sets = scratch.table(_sets(rows, nodes, k).join(own, ["sid", "doc_id"], "left_semi").dropDuplicates(["sid"]), "sets")
 
-    every = scratch.table(_every_block(sets, percent), "every")
+    # Blocks take as much room as the sets, so they are made again from these rather than kept beside them and their own shuffle.
+    every = _every_block(sets, percent)
     counts = scratch.table(_shared(every.select("sid", F.explode("keys").alias("key"))), "counts")
     rarest = scratch.table(_rarest(every, counts), "rarest")
     pivots = rarest.groupBy("key").agg(F.min(F.struct("private", "sid")).alias("least"), F.min("sid").alias("low"), F.max("sid").alias("high")).filter("low < high").select("key", F.col("least.sid").alias("pivot"))
     members = scratch.table(rarest.join(pivots, "key").select("key", "band", "sid", "pivot"), "members")
-    scratch.drop(shared, nodes, every, counts, rarest)
+    scratch.drop(shared, nodes, counts, rarest)
 
     star = scratch.table(_close(members.filter("sid <> pivot").select(F.least("sid", "pivot").alias("a"), F.greatest("sid", "pivot").alias("b"), "band").distinct(), sets, percent), "star")
     labels = components(_linked(star, sets, percent), scratch)
