@@ -12,7 +12,8 @@ anchor's score with the centroid. Lists are visited by this upper bound, a growi
 round; lists that lie wholly outside of the windows are skipped, and a window is done with when the
 next bound is strictly below its k-th score: rows that tie could still have a smaller id. So the
 result is exact. Anchors are sent to the lists that they visit in bounded batches; neither they nor
-rows are gathered in one place.
+rows are gathered in one place. Joins with anchors are merge joins by request: as compressed Parquet, what anchors
+send is so small that Spark would broadcast it, and all of it, unpacked, would pass through the driver.
 
 Rows: null ids, labels and vectors, and vectors with a null or non-finite component, take no
 part. Rows of equal id count once, the least by label and vector. Vectors of different lengths
@@ -39,12 +40,13 @@ LOW, HIGH = -(1 << 62), 1 << 62
 
 @dataclass(frozen=True)
 class Lists:
-    """``values``: how many numbers the sample for k-means may have; ``most_lists``: the most centroids; ``block``: rows of a block; ``batch``: anchors of a batch; ``first`` and ``grow``: lists visited in the first round, and how many times more in each later one."""
+    """``values``: how many numbers the sample for k-means may have; ``most_lists``: the most centroids; ``block``: rows of a block; ``bunch``: blocks of a list that one copy of an anchor meets; ``batch``: anchors of a batch; ``first`` and ``grow``: lists visited in the first round, and how many times more in each later one."""
 
     values: int = 1 << 20
     most_lists: int = 1024
     rounds: int = 8
     block: int = 1024
+    bunch: int = 8
     batch: int = 128
     first: int = 8
     grow: int = 4
@@ -117,7 +119,8 @@ class Index:
     centroids: np.ndarray
     radius: np.ndarray  # 0 or more; -1 for a list without rows
     rows: DataFrame  # vec_id, label, v: each id once
-    blocks: DataFrame  # cluster, ids, labels, matrix
+    bunches: np.ndarray  # of each list
+    blocks: DataFrame  # cluster, bunch, ids, labels, matrix
     scratch: Scratch
     most: int
     lists: Lists
@@ -147,22 +150,23 @@ class Index:
         few = once.withColumn("__n", F.row_number().over(tied)).filter(F.col("__n") <= most + 1).drop("__n")
         placed = scratch.table(few.mapInArrow(assign, "cluster long, far double, vec_id long, label long, v array<int>"), "lists")
         found = placed.groupBy("cluster").agg(F.max("far").alias("far"), F.count("*").alias("n")).collect()
-        radius = np.full(len(c), -1.0)
+        radius, bunches = np.full(len(c), -1.0), np.zeros(len(c), np.int64)
         for r in found:
             radius[r["cluster"]] = r["far"] * (1 + 1e-9) + 1e-6  # rounding must not make it smaller
+            bunches[r["cluster"]] = -(-r["n"] // (lists.block * lists.bunch))
         parts = spark.createDataFrame([(r["cluster"], -(-r["n"] // lists.block)) for r in found], "cluster long, parts long")
 
         def pack(table: pa.Table) -> pa.Table:
             table = table.sort_by("vec_id")
             whole = table.column("v").combine_chunks()
             ids, labels = (table.column(x).to_numpy() for x in ("vec_id", "label"))
-            row = [table.column("cluster")[0].as_py(), ids.tobytes(), labels.tobytes(), matrix(whole, dim).astype(np.int32).tobytes()]
-            return pa.table({name: pa.array([value]) for name, value in zip(("cluster", "ids", "labels", "matrix"), row, strict=True)})
+            row = [table.column("cluster")[0].as_py(), table.column("part")[0].as_py() // lists.bunch, ids.tobytes(), labels.tobytes(), matrix(whole, dim).astype(np.int32).tobytes()]
+            return pa.table({name: pa.array([value]) for name, value in zip(("cluster", "bunch", "ids", "labels", "matrix"), row, strict=True)})
 
         cut = placed.join(F.broadcast(parts), "cluster").withColumn("part", F.expr("pmod(xxhash64(vec_id, 'block'), parts)")).select("cluster", "part", "vec_id", "label", "v")
-        blocks = scratch.table(cut.groupBy("cluster", "part").applyInArrow(pack, "cluster long, ids binary, labels binary, matrix binary"), "blocks")
+        blocks = scratch.table(cut.groupBy("cluster", "part").applyInArrow(pack, "cluster long, bunch long, ids binary, labels binary, matrix binary"), "blocks")
         scratch.drop(placed)
-        return cls(c, radius, once, blocks, scratch, most, lists)
+        return cls(c, radius, once, bunches, blocks, scratch, most, lists)
 
     def search(self, asked: DataFrame, k: int, same: bool) -> DataFrame:
         """(anchor_id, slot, rank, vec_id, score): the first k rows of each window.
@@ -175,7 +179,7 @@ class Index:
         spark, scratch, lists = asked.sparkSession, self.scratch, self.lists
         shared, dim = spark.sparkContext.broadcast((self.centroids, self.radius)), self.centroids.shape[1]
         asked = scratch.table(asked, "asked")
-        batches_ = max(1, -(-asked.count() // lists.batch))
+        tasks = max(1, -(-asked.count() // lists.batch))
         found = None
         begin, size = 0, lists.first
         while begin < len(self.centroids):
@@ -207,17 +211,21 @@ class Index:
                         yield pa.RecordBatch.from_arrays([pa.array(clusters, pa.int64()), *out.columns], ["cluster", "anchor_id", "label", "v", "windows"])
 
             kth = F.lit(None).cast("long")
-            state = asked.withColumn("windows", F.transform("windows", lambda w: F.struct(w["slot"].alias("slot"), w["lo"].alias("lo"), w["hi"].alias("hi"), kth.alias("kth"))))
+            dealt = asked.repartition(tasks, "anchor_id")
+            state = dealt.withColumn("windows", F.transform("windows", lambda w: F.struct(w["slot"].alias("slot"), w["lo"].alias("lo"), w["hi"].alias("hi"), kth.alias("kth"))))
             if found is not None:
-                full = found.groupBy("anchor_id", "slot").agg(F.count("*").alias("n"), F.min("score").alias("kth")).filter(F.col("n") >= k).groupBy("anchor_id").agg(F.map_from_entries(F.collect_list(F.struct("slot", "kth"))).alias("full"))
+                full = found.repartition(tasks, "anchor_id").groupBy("anchor_id", "slot").agg(F.count("*").alias("n"), F.min("score").alias("kth")).filter(F.col("n") >= k).groupBy("anchor_id").agg(F.map_from_entries(F.collect_list(F.struct("slot", "kth"))).alias("full"))
                 at = F.coalesce(F.col("full"), F.create_map().cast("map<int,long>"))
-                state = asked.join(full, "anchor_id", "left").select("anchor_id", "label", "v", F.transform("windows", lambda w: F.struct(w["slot"].alias("slot"), w["lo"].alias("lo"), w["hi"].alias("hi"), F.try_element_at(at, w["slot"]).alias("kth"))).alias("windows"))
+                state = dealt.join(full.hint("merge"), "anchor_id", "left").select("anchor_id", "label", "v", F.transform("windows", lambda w: F.struct(w["slot"].alias("slot"), w["lo"].alias("lo"), w["hi"].alias("hi"), F.try_element_at(at, w["slot"]).alias("kth"))).alias("windows"))
             window = "array<struct<slot:int,lo:long,hi:long,kth:long>>"
             going = scratch.table(state.select("anchor_id", "label", "v", "windows").mapInArrow(visits, f"cluster long, anchor_id long, label long, v array<int>, windows {window}"), "visits")
-            if not going.isEmpty():
-                salt = F.expr(f"pmod(xxhash64(anchor_id, 'batch'), {batches_})").alias("salt")
-                batch = going.groupBy("cluster", salt).agg(F.collect_list(F.struct("anchor_id", "label", "v", "windows")).alias("anchors")).select("cluster", "anchors")
-                hits = batch.join(self.blocks, "cluster").select("anchors", "ids", "labels", "matrix").mapInArrow(_scan(dim, k, same), "anchor_id long, slot int, vec_id long, score long")
+            visited = going.groupBy("cluster").count().collect()  # at most most_lists
+            if visited:
+                sizes = spark.createDataFrame([(r["cluster"], -(-r["count"] // lists.batch), int(self.bunches[r["cluster"]])) for r in visited], "cluster long, batches long, bunches long")
+                sent = going.join(F.broadcast(sizes), "cluster").withColumn("bunch", F.explode(F.expr("sequence(0L, bunches - 1)"))).repartition("cluster", "bunch")
+                salt = F.expr("pmod(xxhash64(anchor_id, 'batch'), batches)").alias("salt")
+                batch = sent.groupBy("cluster", "bunch", salt).agg(F.collect_list(F.struct("anchor_id", "label", "v", "windows")).alias("anchors"))
+                hits = batch.join(self.blocks.hint("merge"), ["cluster", "bunch"]).select("anchors", "ids", "labels", "matrix").mapInArrow(_scan(dim, k, same), "anchor_id long, slot int, vec_id long, score long")
                 hits = hits if found is None else hits.unionAll(found)
                 best = Window.partitionBy("anchor_id", "slot").orderBy(F.col("score").desc(), "vec_id")
                 new = scratch.table(hits.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k).drop("n"), "found")
@@ -271,6 +279,6 @@ def mine(rows: DataFrame, is_anchor: Column, positives: int = 5, negatives: int
     score = F.col("score")
     each = window(F.col("rank"), F.expr(f"({low} * score + 99) div 100"), F.expr(f"({high} * score) div 100"))
     windows = near.filter(score >= 0).groupBy("anchor_id").agg(F.array_sort(F.collect_list(each)).alias("windows"))
-    far = index.search(anchors.join(windows, "anchor_id"), negatives, False)
+    far = index.search(anchors.join(windows.hint("merge"), "anchor_id"), negatives, False)
     given = near.select("anchor_id", F.col("rank").alias("slot"), F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score"))
-    return far.join(given, ["anchor_id", "slot"]).select("anchor_id", "positive_id", "rank", F.col("vec_id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
+    return far.join(given.hint("merge"), ["anchor_id", "slot"]).select("anchor_id", "positive_id", "rank", F.col("vec_id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))

@@ -1,4 +1,7 @@
 
+import itertools
+import re
+
 import duckdb
 import numpy as np
 import pytest
@@ -6,6 +9,7 @@ from pyspark.sql import functions as F
 
 from repolens.llm import hard_negatives as N
 from repolens.llm.queries import OP11_SQL, op11_hard_negatives
+from repolens.llm.scratch import Scratch
 
 
 def brute(rows, step=100, positives=5, negatives=10):
@@ -75,6 +79,42 @@ def test_search_skips_and_stops(spark):
     assert sum(seen) < len(index.centroids)
 
 
+def test_lists_of_many_bunches(spark):
+    """Rows of one list lie in many blocks; an anchor is sent to each bunch of them."""
+    r = np.random.default_rng(5)
+    rows = [(i, int(r.integers(0, 3)), [int(x) for x in r.normal(0, 20, 6)]) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, label long, v array<int>")
+    lists = N.Lists(most_lists=2, block=8, bunch=3, batch=4)
+    index = N.Index.build(df, 10, lists)
+    assert index.bunches.min() > 2 and index.blocks.select("cluster", "bunch").distinct().count() == index.bunches.sum()
+    assert run(spark, rows, 10, lists=lists) == brute(rows, 10)
+
+
+def test_anchors_are_not_broadcast(spark):
+    """What is broadcast has a row for each list at most; anchors and their hits, however small, are not."""
+    plans = {}
+
+    class Watched(Scratch):
+        def table(self, df, name):
+            plans[f"{name} {len(plans)}"] = plan(df)
+            return super().table(df, name)
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    rows = [(i, i % 3, [i % 7, i % 11, 5]) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, label long, v array<int>")
+    plans["result"] = plan(N.mine(df, F.col("vec_id") % 10 == 0, scratch=Watched(spark)))
+    assert sum(x.startswith("found") for x in plans) >= 2
+    for name, text in plans.items():
+        lines = text.split("\n")
+        for at, line in enumerate(lines):
+            if "BroadcastExchange" in line:
+                depth = lines[at].index("BroadcastExchange")
+                below = [x for x in itertools.takewhile(lambda x: re.search(r"\w", x) and re.search(r"\w", x).start() > depth, lines[at + 1 :])]
+                assert below and not [x for x in below if "FileScan" in x], (name, text)
+
+
 def test_quantized(spark):
     rows = [(0, [0.5, -0.001, 1e300, -1e300]), (1, [float("nan")]), (2, [float("inf"), 0.0]), (3, [None, 0.1]), (4, None), (5, [])]
     got = spark.createDataFrame(rows, "i int, e array<double>").select("i", N.quantized(F.col("e")).alias("v")).collect()
